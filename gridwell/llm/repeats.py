@@ -26,7 +26,7 @@ from .common import Powers, joined, kept, mix, read, slices, span_hashes, words_
 
 WINDOW = 13
 #: Bytes of text in a group of documents, and so in a bucket of hash values; the fewest groups.
-GROUP_BYTES, LEAST_GROUPS = 16 << 20, 64
+GROUP_BYTES, LEAST_GROUPS = 8 << 20, 64
 
 BLOCKS, PROBES, KNOWN = 0, 1, 2
 SENT = "bucket int, kind byte, grp int, hashes binary, docs binary, at binary"
