@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import SPACE, Powers, crc_mod, joined, kept, labelled_sample, read, slices, span_hashes, words_of
 
 #: Labelled documents of each class that the field is trained on, at most.
-LEARNED_DOCS = 1500
+LEARNED_DOCS = 800
 STEPS, RIDGE = 250, 1e-3
 
 #: Kinds of bytes whose shares are features of a line.
