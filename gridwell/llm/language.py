@@ -27,7 +27,7 @@ ROUNDS = 12
 PENALTY = 8.0
 UNKNOWN = "und"
 
-SCHEMA = "lang_pred string, score double, languages array<struct<lang:string,share:double>>"
+RESULTS = {"lang_pred": "string", "score": "double", "languages": "array<struct<lang:string,share:double>>"}
 
 
 class Model(NamedTuple):
@@ -86,13 +86,14 @@ def identify(text: bytes, model: Model) -> list[tuple[str, float]]:
     return sorted(((model.names[i], float(s)) for i, s in zip(chosen, shares, strict=True)), key=lambda x: (-x[1], x[0]))
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
+def predict(docs: DataFrame, model: Model, prefix: str = "") -> DataFrame:
     """docs with lang_pred, score (that language's proportion) and languages (all of the chosen set).
 
     lang_pred is "und" and score 0 where the text is null or has no letter, or where no language was learned.
-    Columns of docs that are named like these give way; all other columns and all rows stay.
+    Columns of docs that are named like these (with prefix before the name) give way; all other columns and all rows stay.
     """
-    names = [c for c in docs.columns if c not in ("lang_pred", "score", "languages")]
+    results = [prefix + c for c in RESULTS]
+    names = [c for c in docs.columns if c not in results]
     held = docs.sparkSession.sparkContext.broadcast(model)  # 2**BITS numbers for each language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,12 +104,13 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 first = found[0] if found else (UNKNOWN, 0.0)
                 rows.append((*first, [{"lang": a, "share": b} for a, b in found]))
             kinds = (pa.string(), pa.float64(), pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())])))
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=[*names, "lang_pred", "score", "languages"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=[*names, *results])
 
     from pyspark.sql import types as T
 
     docs = docs.select(*names)
-    schema = T.StructType([*docs.schema, *T._parse_datatype_string(SCHEMA)])
+    added = [T.StructField(n, T.DataType.fromDDL(kind)) for n, kind in zip(results, RESULTS.values(), strict=True)]
+    schema = T.StructType([*docs.schema, *added])
     return docs.mapInArrow(run, schema)
 
 

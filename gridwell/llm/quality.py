@@ -67,8 +67,8 @@ def lines_of(texts: pa.Array) -> Lines:
     at[word_first + 1] = 1
     at = np.cumsum(at)
     words = at[last] - at[first]
-    same = np.zeros(len(hashes) + 1, np.int64)
-    same[2:] = np.cumsum(hashes[1:] == hashes[:-1])
+    same = np.zeros(max(len(hashes) + 1, 2), np.int64)
+    same[2 : len(hashes) + 1] = np.cumsum(hashes[1:] == hashes[:-1])
     repeated = np.where(words > 1, same[np.maximum(at[last], 1)] - same[np.minimum(at[first] + 1, len(same) - 1)], 0)
     upper_words = np.zeros(len(data), bool)
     upper_words[word_first] = KINDS[0][data[np.minimum(word_first + 1, len(data) - 1)]]
@@ -191,22 +191,22 @@ def quality(texts: pa.Array, model: Model) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(value, -30, 30)))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with score, the probability of good quality; a column of docs with that name gives way, all rows stay.
+def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """docs with the probability of good quality as name; a column of docs with that name gives way, all rows stay.
 
     A text that is null, empty or white space has no lines; its score is what the curve gives for even odds.
     """
     from pyspark.sql import types as T
 
-    names = [c for c in docs.columns if c != "score"]
+    names = [c for c in docs.columns if c != name]
     held = docs.sparkSession.sparkContext.broadcast(model)  # a few hundred numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(quality(part.column("text"), held.value))], names=[*names, "score"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(quality(part.column("text"), held.value))], names=[*names, name])
 
     docs = docs.select(*names)
-    return docs.mapInArrow(run, T.StructType([*docs.schema, T.StructField("score", T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema, T.StructField(name, T.DoubleType())]))
 
 
 def learn(docs: DataFrame, labels: DataFrame, where) -> Model:

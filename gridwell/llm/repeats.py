@@ -216,7 +216,7 @@ def _resolve(sent: pa.Table) -> pa.Table:
     return _table(rows, FOUND_NAMES, FOUND_KINDS)
 
 
-def _kept(window: int, names: list[str]):
+def _kept(window: int, names: list[str], results: list[str]):
     """A group's documents with the text that is left."""
 
     def run(key: tuple, docs: pa.Table, found: pa.Table) -> pa.Table:
@@ -243,31 +243,33 @@ def _kept(window: int, names: list[str]):
             spans.append(own)
         out = [words.docs.column(c) for c in names]
         out += [pa.array(texts, pa.binary()).cast(pa.string()), pa.array(words.counts, pa.int64()), pa.array(lost, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])))]
-        return pa.table(out, names=[*names, "kept", "n_words", "n_removed", "removed"])
+        return pa.table(out, names=[*names, *results])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: str = "") -> DataFrame:
     """docs (doc_id, text and any others) with kept, n_words, n_removed and removed (spans of words: start, length).
 
     A word goes if a window of window words that covers it also starts in a document with a smaller doc_id.
     kept has the other words, with one space between. A null or empty text has no words. A row with a null
     doc_id keeps all its words and takes none from others; rows with the same doc_id take none from each
-    other. Columns of docs that are named like a result's give way to it. An empty table gives none.
+    other. Columns of docs that are named like a result (with prefix before its name) give way to it. An empty table gives none.
     """
     block = (window + 1) // 2
-    results = ["kept", "n_words", "n_removed", "removed"]
-    names = [c for c in docs.columns if c not in results]
+    results = [prefix + c for c in ("kept", "n_words", "n_removed", "removed")]
+    names = [c for c in docs.columns if c not in (*results, "_group")]
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(LEAST_GROUPS, -(-total // GROUP_BYTES))
-    dealt = docs.select(*names).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("grp", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int"))
-    sent = dealt.groupBy("grp").applyInArrow(_anchors(block, groups), SENT)
+    dealt = docs.select(*names).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("_group", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int"))
+    sent = dealt.groupBy("_group").applyInArrow(_anchors(block, groups), SENT)
     hits = sent.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_probe, FOUND)
-    windows = dealt.groupBy("grp").cogroup(hits.groupBy("grp")).applyInArrow(_candidates(block, window, groups), SENT)
+    windows = dealt.groupBy("_group").cogroup(hits.groupBy("grp")).applyInArrow(_candidates(block, window, groups), SENT)
     gone = windows.groupBy("bucket").applyInArrow(_resolve, FOUND)
-    schema = T.StructType([dealt.schema[c] for c in names] + [T.StructField("kept", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("length", T.LongType())])))])
-    return dealt.groupBy("grp").cogroup(gone.groupBy("grp")).applyInArrow(_kept(window, names), schema)
+    span = T.StructType([T.StructField("start", T.LongType()), T.StructField("length", T.LongType())])
+    kinds = (T.StringType(), T.LongType(), T.LongType(), T.ArrayType(span))
+    schema = T.StructType([dealt.schema[c] for c in names] + [T.StructField(n, k) for n, k in zip(results, kinds, strict=True)])
+    return dealt.groupBy("_group").cogroup(gone.groupBy("grp")).applyInArrow(_kept(window, names, results), schema)
 
 
 def op9_repeats(spark, sf_dir: str) -> DataFrame:
