@@ -14,6 +14,7 @@ one per document, and no pairs are formed anywhere.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Powers, joined, kept, mix, read, slices, span_hashes, words_of
+from .common import STEP_BYTES, Powers, joined, kept, mix, read, slices, span_hashes, words_of
 
 WINDOW = 13
 #: Bytes of text in a group of documents, and so in a bucket of hash values; the fewest groups.
@@ -51,6 +52,17 @@ def _decode(code: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(np.frombuffer(code, np.uint8).reshape(4, -1).T).view("<u4").ravel(), dtype=np.uint32)
 
 
+def _cut(text: bytes) -> list[bytes]:
+    """text in parts of about STEP_BYTES, cut at white space, so that hashing a very long one needs no more memory."""
+    cuts = [0]
+    while len(text) - cuts[-1] > 2 * STEP_BYTES:
+        space = re.compile(rb"[\t-\r ]").search(text, cuts[-1] + STEP_BYTES)
+        if space is None:
+            break
+        cuts.append(space.start())
+    return [text[a:b] for a, b in zip(cuts, [*cuts[1:], len(text)], strict=True)]
+
+
 class Words:
     """The words of a group's documents in the order of doc_id: a hash of each, its row, and where each row's words start."""
 
@@ -60,6 +72,12 @@ class Words:
         self.key = self.docs.column("doc_id").combine_chunks()
         hashes, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for part in slices(self.docs.select(["text"]).to_batches()):
+            if part.num_rows == 1 and part.column("text")[0].is_valid:
+                own = [np.frombuffer(piece + b"\n", np.uint8) for piece in _cut(part.column("text")[0].as_py().encode())]
+                spans = [words_of(data) for data in own]
+                hashes += [span_hashes(data, *span, powers) for data, span in zip(own, spans, strict=True)]
+                counts.append(np.array([sum(len(first) for first, _ in spans)]))
+                continue
             data, starts = joined(part.column("text"))
             first, last = words_of(data)
             hashes.append(span_hashes(data, first, last, powers))

@@ -7,6 +7,10 @@ halves of its dimensions: in that half both lie in one grid cell or in cells a s
 The pair's smaller half is sent up each step, so every pair meets in an equi-join on cells, is held
 against the Manhattan bound and then verified exactly. Numbers of bits are written in unary (sorted
 bits of a segment), which makes the Manhattan distance a count of bits as well.
+
+Rows with equal fingerprints are one node, so a group of copies costs one row however large it is. A
+fingerprint has at most 43,744 others within 3 bits, and no more than 128 are within 3 bits of each
+other, so links never grow with the square of a group's rows.
 """
 
 from __future__ import annotations

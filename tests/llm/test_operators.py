@@ -281,6 +281,16 @@ def test_repeats_of_the_test_documents(spark, documents):
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in rows} == _removed([(r.doc_id, r.text) for r in documents.collect()])
 
 
+def test_repeats_in_very_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "STEP_BYTES", 50)
+    text = " ".join(f"w{i}" for i in range(400))
+    assert b"".join(repeats._cut(text.encode())) == text.encode() and max(map(len, repeats._cut(text.encode()))) <= 100
+    from pyarrow import table
+
+    whole = repeats.Words(table({"doc_id": [1], "text": [text]})).hashes
+    assert len(whole) == 400 and len(set(whole.tolist())) == 400
+
+
 def test_repeats_leave_rows_without_ids_and_equal_ids(awkward):
     rows = repeats.remove_repeats(awkward).collect()
     assert all(r.n_removed == 0 for r in rows if r.doc_id is None or r.doc_id == -5)
