@@ -19,7 +19,7 @@ from .common import crc_mod, labelled_sample, read, slices
 from .grams import grams
 
 #: Labelled documents of each class that the classifier is trained on, at most.
-LEARNED_DOCS = 2500
+LEARNED_DOCS = 2000
 BITS, SIZES = 18, (3, 5)
 #: Standard errors by which the shares of documents must differ for an n-gram to count.
 BEYOND_CHANCE = 3.5
