@@ -89,3 +89,10 @@ def changed_settings(spark: SparkSession, old: Mapping, new: Mapping) -> DataFra
     """Settings that differ: name, old, new, as text."""
     rows = [(k, str(old.get(k)), str(new.get(k))) for k in sorted({*old, *new}) if old.get(k) != new.get(k)]
     return spark.createDataFrame(rows, "name string, old string, new string")
+
+
+def files(table: DataFrame) -> DataFrame:
+    """The Parquet files of table: name, rows, bytes, and the compression that the name tells."""
+    name = F.col("_metadata.file_name")
+    own = table.select(name.alias("name"), F.col("_metadata.file_size").alias("bytes")).groupBy("name").agg(F.count("*").alias("rows"), F.max("bytes").alias("bytes"))
+    return own.withColumn("codec", F.nullif(F.regexp_extract("name", r"\.(\w+)\.parquet$", 1), F.lit("")))

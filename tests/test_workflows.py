@@ -54,3 +54,29 @@ def test_moments_follow_new_files(spark, tmp_path):
         own = [float(i) for i in range(30) if i % 2 == k]
         mean = sum(own) / 15
         assert got[k] == (15, pytest.approx(mean), pytest.approx((sum((x - mean) ** 2 for x in own) / 15) ** 0.5))
+
+
+def test_fetching_by_plan(spark):
+    import pandas as pd
+
+    from gridwell.sources import remote
+
+    def good(request):
+        return pd.DataFrame({"v": [request["south"], request["east"]], "name": ["|".join(request["variables"])] * 2})
+
+    def broken(request):
+        raise OSError("down")
+
+    plan = spark.createDataFrame([("a", 2000), ("b", 2000), ("c", 2000), ("d", 2000)], "product string, year int")
+    asked = remote.requests(plan, Grid(), {"a": ["x", "y"], "b": ["z"], "c": ["z"]})
+    got = remote.fetch(asked, {"a": good, "b": lambda r: None, "c": broken}, "v double, name string", tries=2, wait=0.0).collect()
+    assert sorted((r.product, r.status, r.v, r.name) for r in got if r.product == "a") == [("a", "ok", 4.8, "x|y"), ("a", "ok", 100.2, "x|y")]
+    assert {(r.product, r.status, r.v, r.detail) for r in got if r.product != "a"} == {("b", "missing", None, ""), ("c", "failed", None, "OSError: down")}
+
+
+def test_file_audit(spark, tmp_path):
+    from gridwell.operators import audit
+
+    spark.range(10).coalesce(1).write.option("compression", "zstd").parquet(str(tmp_path / "t"))
+    row = audit.files(spark.read.parquet(str(tmp_path / "t"))).first()
+    assert (row.rows, row.codec) == (10, "zstd") and row.bytes > 0
