@@ -208,12 +208,13 @@ def op3_topk(spark, sf_dir: str) -> DataFrame:
 
 ORACLES = {
     "op3_topk": """
-        WITH v AS (
-            SELECT vec_id, list_transform(embedding, x -> CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS value FROM embeddings
-            WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+        WITH x AS (SELECT vec_id, unnest(embedding) AS x, unnest(range(len(embedding))) AS d FROM embeddings WHERE vec_id IS NOT NULL),
+        v AS (
+            SELECT vec_id, d, CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT) AS value FROM x
+            WHERE vec_id NOT IN (SELECT vec_id FROM x WHERE x IS NULL OR NOT isfinite(x))
         ), s AS (
-            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.value, c.value), p -> p[1] * p[2])) AS BIGINT) AS score
-            FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(sum(q.value * c.value) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.d = c.d AND q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id GROUP BY 1, 2
         )
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
         FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5

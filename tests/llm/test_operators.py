@@ -359,3 +359,16 @@ def test_digests_of_the_queries(spark, documents):
         assert (r.payload_sha256, r.tail_crc32, r.media_sha256) == (hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), hashlib.sha256(media.to_wav(payload)).hexdigest())
     for r in repeats.op9_repeats(spark, SMALL).collect():
         assert r.n_removed <= r.n_words
+
+
+@pytest.mark.parametrize(("query", "sql"), [(topk.op3_topk, topk.ORACLES["op3_topk"]), (licenses.op7_licenses, licenses.ORACLES["op7_licenses"])])
+def test_sql_twins(spark, query, sql):
+    import duckdb
+
+    connection = duckdb.connect()
+    for table in ("documents", "embeddings"):
+        connection.execute(f"create view {table} as select * from '{SMALL}/{table}.parquet'")
+    own, twin = query(spark, SMALL).toPandas(), connection.execute(sql).fetchdf()
+    names = sorted(own.columns)
+    plain = [t[names].astype(str).sort_values(names).reset_index(drop=True) for t in (own, twin)]
+    assert len(own) and plain[0].equals(plain[1])
