@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licenses, topk
+from . import licenses, repeats, topk
 from .bpe import op10_bpe
 from .language import op8_language
 from .licenses import op7_licenses
@@ -25,4 +25,4 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    return licenses.ORACLES | topk.ORACLES | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return licenses.ORACLES | repeats.ORACLES | topk.ORACLES | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

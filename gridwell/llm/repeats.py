@@ -293,3 +293,16 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: str = "") -> D
 def op9_repeats(spark, sf_dir: str) -> DataFrame:
     """What is left of all documents without passages that an earlier document has."""
     return remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLES = {
+    "op9_repeats": rf"""
+        WITH d AS (SELECT doc_id, CASE WHEN text IS NULL THEN CAST([] AS VARCHAR[]) ELSE regexp_extract_all(text, '[^\x20\x09-\x0D]+') END AS words FROM documents),
+        windows AS (SELECT doc_id, i, array_to_string(words[i:i + {WINDOW - 1}], ' ') AS s FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - {WINDOW - 2}, 1))) AS i FROM d)),
+        first AS (SELECT s, min(doc_id) AS first_id FROM windows GROUP BY s),
+        gone AS (SELECT DISTINCT doc_id, i + k AS i FROM (SELECT doc_id, i, unnest(range(0, {WINDOW})) AS k FROM windows JOIN first USING (s) WHERE first_id < doc_id)),
+        placed AS (SELECT doc_id, unnest(words) AS w, unnest(range(1, len(words) + 1)) AS i FROM d),
+        kept AS (SELECT doc_id, count(*) AS n, string_agg(w, ' ' ORDER BY i) AS text FROM placed ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+        SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - COALESCE(n, 0) AS BIGINT) AS n_removed, sha256(COALESCE(text, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+    """,
+}

@@ -361,7 +361,7 @@ def test_digests_of_the_queries(spark, documents):
         assert r.n_removed <= r.n_words
 
 
-@pytest.mark.parametrize(("query", "sql"), [(topk.op3_topk, topk.ORACLES["op3_topk"]), (licenses.op7_licenses, licenses.ORACLES["op7_licenses"])])
+@pytest.mark.parametrize(("query", "sql"), [(topk.op3_topk, topk.ORACLES["op3_topk"]), (licenses.op7_licenses, licenses.ORACLES["op7_licenses"]), (repeats.op9_repeats, repeats.ORACLES["op9_repeats"])])
 def test_sql_twins(spark, query, sql):
     import duckdb
 
