@@ -94,13 +94,13 @@ def predict(docs: DataFrame, model: Model, prefix: str = "") -> DataFrame:
     """
     results = [prefix + c for c in RESULTS]
     names = [c for c in docs.columns if c not in results]
-    held = docs.sparkSession.sparkContext.broadcast(model)  # 2**BITS numbers for each language
+    held = docs.sparkSession.sparkContext.broadcast(tuple(model))  # 2**BITS numbers for each language; a plain tuple, so that executors need no class
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             rows = []
             for text in part.column("text").to_pylist():
-                found = identify(text.encode(), held.value) if text and any(map(str.isalpha, text)) else []
+                found = identify(text.encode(), Model(*held.value)) if text and any(map(str.isalpha, text)) else []
                 first = found[0] if found else (UNKNOWN, 0.0)
                 rows.append((*first, [{"lang": a, "share": b} for a, b in found]))
             kinds = (pa.string(), pa.float64(), pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())])))

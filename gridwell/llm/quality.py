@@ -199,11 +199,11 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     from pyspark.sql import types as T
 
     names = [c for c in docs.columns if c != name]
-    held = docs.sparkSession.sparkContext.broadcast(model)  # a few hundred numbers
+    held = docs.sparkSession.sparkContext.broadcast(tuple(model))  # a few hundred numbers; a plain tuple, so that executors need no class
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(quality(part.column("text"), held.value))], names=[*names, name])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(quality(part.column("text"), Model(*held.value)))], names=[*names, name])
 
     docs = docs.select(*names)
     return docs.mapInArrow(run, T.StructType([*docs.schema, T.StructField(name, T.DoubleType())]))

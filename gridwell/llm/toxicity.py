@@ -84,11 +84,11 @@ def margin_of(text: bytes, model: Model) -> float:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs (doc_id, text; others are ignored) to (doc_id, score). A null text is an empty one; all rows stay."""
-    held = docs.sparkSession.sparkContext.broadcast(model)  # 2**BITS numbers
+    held = docs.sparkSession.sparkContext.broadcast(tuple(model))  # 2**BITS numbers; a plain tuple, so that executors need no class
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            margin = np.array([margin_of(t or b"", held.value) for t in part.column("text").cast(pa.binary()).to_pylist()])
+            margin = np.array([margin_of(t or b"", Model(*held.value)) for t in part.column("text").cast(pa.binary()).to_pylist()])
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(margin, -30, 30))))], names=["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
