@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -23,6 +24,16 @@ from .common import kept, read, slices
 
 #: Fixed value: the pieces that the vocabulary was made for.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Letters and numbers that are newer than the tables that texts are cut by (Unicode 16), and stand for other signs there.
+LATER = (
+    "558 58b-58c 88f c5c cdc 208f 209d-209f a7ce-a7cf a7d2 a7d4 a7dd a7e2 a7f1 ab6c-ab6d 107bb-107bf 10940-10959 10ec5-10ec7 10ed9-10eee 11b0a 11db0-11ddb "
+    "11de0-11de9 11df1 1246f 12475-1247f 12550-12686 16ea0-16eb8 16ebb-16ed3 16ff2-16ff6 187f8-187ff 18cd6-18cda 18d09-18d20 18d80-18df2 18e00-19191 "
+    "191a0-191d2 1b123-1b128 1b168 1d6a6 1df1f-1df24 1df2b-1df81 1df90-1df96 1dfcd-1dfff 1e6c0-1e6de 1e6e0-1e6e2 1e6e4-1e6e5 1e6e7-1e6ed 1e6f0-1e6f4 "
+    "1e6fe-1e6ff 2b73a-2b73f 2b81e 2cea2-2cead 323b0-33479 3d000-3fc3f"
+)
+#: Lower-case forms that Python's tables don't have yet: single ones, and the first and last of ranges with their distance.
+LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+LOWER_RANGES = [(0x10D50, 0x10D65, 32), (0x16EA0, 0x16EB8, 27)]
 #: Words whose codes are remembered in a generation; the last two generations are kept.
 REMEMBERED = 250_000
 #: Parts up to which a scan for the lowest rank is used; longer pieces take a heap over the same boundaries.
@@ -57,6 +68,11 @@ class WordBpe:
         self.tokens = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.special.items()}
         self.specials = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.pieces = regex.compile(PIECES)
+        later = "".join("-".join(chr(int(c, 16)) for c in span.split("-")) for span in LATER.split())
+        self.lower = LOWER | {c: c + step for a, b, step in LOWER_RANGES for c in range(a, b + 1)}
+        #: Texts with signs on which the tables of Python, of its regex module and of the vocabulary's library differ: they are rare.
+        self.maybe_later, self.has_later = re.compile("[\u0558-\U0010ffff]"), re.compile(f"[{later}{''.join(map(chr, self.lower))}]")
+        self.pieces_of_later = regex.compile(PIECES.replace("[^\\s\\p{L}\\p{N}]", f"[[^\\s\\p{{L}}\\p{{N}}]||[{later}]]").replace("[\\p{L}]", f"[\\p{{L}}--[{later}]]").replace("[\\p{N}]", f"[\\p{{N}}--[{later}]]"), regex.V1)
         signs = byte_signs()
         self.first = [self.ids[c] for c in signs]
         self.last = [self.ids[c + self.end] for c in signs]
@@ -115,8 +131,14 @@ class WordBpe:
 
     def _plain(self, text: str, ids: list[int]) -> None:
         # white space only parts pieces, so its runs need no replacing; each sign is lowered by itself, so a last sigma is like any other
-        text = text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower()
-        for piece in self.pieces.findall(text):
+        pieces = self.pieces
+        if text.isascii():
+            text = text.lower()
+        else:
+            text = unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower()
+            if self.maybe_later.search(text) and self.has_later.search(text):
+                text, pieces = text.translate(self.lower), self.pieces_of_later
+        for piece in pieces.findall(text):
             ids += self.known.get(piece) or self._word(piece)
 
     def encode(self, text: str) -> list[int]:

@@ -194,6 +194,19 @@ def test_packing_is_exact_for_planned_lengths():
         assert len(places) <= 11 / 9 * max(-(-total // capacity), sum(n for k, n in histogram.items() if 2 * k > capacity)) + 4
 
 
+def test_bpe_of_every_sign_is_that_of_the_tokenizers_library():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    theirs, ours = Tokenizer.from_file(path), bpe.WordBpe(path)
+    theirs.no_truncation()
+    theirs.no_padding()
+    texts = [f"a{chr(c)}!{chr(c)}1" for c in range(0x40000) if not 0xD800 <= c < 0xE000]
+    wrong = [t for t, e in zip(texts, theirs.encode_batch(texts, add_special_tokens=False), strict=True) if e.ids != ours.encode(t)]
+    assert not wrong
+
+
 def test_packing_against_the_tokenizers_library(spark, awkward):
     import public_tokenizers
     from tokenizers import Tokenizer
