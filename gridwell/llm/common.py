@@ -131,5 +131,13 @@ def shared_folder(spark: SparkSession) -> None:
         context.setCheckpointDir(named)
 
 
+def unused(name: str, *tables: DataFrame) -> str:
+    """name with as many underscores behind it as it takes that no column of tables starts with it, in any case."""
+    taken = [c.lower() for t in tables for c in t.columns]
+    while any(c.startswith(name.lower()) for c in taken):
+        name += "_"
+    return name
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

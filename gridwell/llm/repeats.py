@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import STEP_BYTES, Powers, joined, kept, mix, read, slices, span_hashes, words_of
+from .common import STEP_BYTES, Powers, joined, kept, mix, read, slices, span_hashes, unused, words_of
 
 WINDOW = 13
 #: Bytes of text in a group of documents, and so in a bucket of hash values; the fewest groups.
@@ -276,18 +276,19 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: str = "") -> D
     """
     block = (window + 1) // 2
     results = [prefix + c for c in ("kept", "n_words", "n_removed", "removed")]
-    names = [c for c in docs.columns if c not in (*results, "_group")]
+    names = [c for c in docs.columns if c.lower() not in [r.lower() for r in results]]
+    own = unused("_group", docs)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(LEAST_GROUPS, -(-total // GROUP_BYTES))
-    dealt = docs.select(*names).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("_group", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int"))
-    sent = dealt.groupBy("_group").applyInArrow(_anchors(block, groups), SENT)
+    dealt = docs.select(*names).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn(own, F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int"))
+    sent = dealt.groupBy(own).applyInArrow(_anchors(block, groups), SENT)
     hits = sent.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_probe, FOUND)
-    windows = dealt.groupBy("_group").cogroup(hits.groupBy("grp")).applyInArrow(_candidates(block, window, groups), SENT)
+    windows = dealt.groupBy(own).cogroup(hits.groupBy("grp")).applyInArrow(_candidates(block, window, groups), SENT)
     gone = windows.groupBy("bucket").applyInArrow(_resolve, FOUND)
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("length", T.LongType())])
     kinds = (T.StringType(), T.LongType(), T.LongType(), T.ArrayType(span))
     schema = T.StructType([dealt.schema[c] for c in names] + [T.StructField(n, k) for n, k in zip(results, kinds, strict=True)])
-    return dealt.groupBy("_group").cogroup(gone.groupBy("grp")).applyInArrow(_kept(window, names, results), schema)
+    return dealt.groupBy(own).cogroup(gone.groupBy("grp")).applyInArrow(_kept(window, names, results), schema)
 
 
 def op9_repeats(spark, sf_dir: str) -> DataFrame:
