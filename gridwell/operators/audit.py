@@ -29,6 +29,44 @@ def failed(of: DataFrame) -> bool:
     return not of.where(~F.col("passed")).isEmpty()
 
 
+def _rules(table: DataFrame, rules: Mapping[str, tuple[Column, Column]]) -> DataFrame:
+    """A row for each rule: whether its aggregate holds over table, and its detail. One scan for all rules."""
+    rows = [F.struct(F.lit(name).alias("rule"), F.coalesce(passed, F.lit(False)).alias("passed"), F.coalesce(detail.cast("string"), F.lit("")).alias("detail")) for name, (passed, detail) in rules.items()]
+    return table.agg(F.array(*rows).alias("r")).select(F.explode("r").alias("r")).select("r.*")
+
+
+def mask_rules(mask: DataFrame, cells: int, ocean: tuple[int, int]) -> DataFrame:
+    """Rules on mask (lat_i, lon_j, ocean): each of cells once, ocean known everywhere, and as many ocean cells as ocean allows."""
+    wet, unknown = F.count_if("ocean"), F.count_if(F.col("ocean").isNull())
+    return _rules(mask, {
+        "every cell once": ((F.count("*") == cells) & (F.countDistinct("lat_i", "lon_j") == cells), F.count("*")),
+        "ocean or land": (unknown == 0, unknown),
+        "ocean cells plausible": (wet.between(*ocean), wet),
+    })
+
+
+def split_rules(table: DataFrame, cells: int, days: tuple[object, object], inputs: Sequence[str], targets: Sequence[str], tolerances: tuple[float, float] | None = None) -> DataFrame:
+    """Rules on a standardised split (day, lat_i, lon_j, variables) that should have every cell on every day from days[0] to days[1].
+
+    Days and cells are complete and met once; inputs have no nulls, targets have some; with tolerances (for the
+    training split) means are near 0 and deviations near 1. One scan of all days instead of a sample of them.
+    """
+    first, last = (F.lit(d).cast("date") for d in days)
+    expected = F.datediff(last, first) + 1
+    rules = {
+        "first day": (F.min("day") == first, F.min("day")),
+        "last day": (F.max("day") == last, F.max("day")),
+        "no gaps in days": (F.countDistinct("day") == expected, F.countDistinct("day")),
+        "every cell once a day": ((F.count("*") == expected * F.lit(cells)) & (F.countDistinct("day", "lat_i", "lon_j") == F.count("*")), F.count("*")),
+    }
+    rules |= {f"{c} has no nulls": (F.count_if(F.col(c).isNull()) == 0, F.count_if(F.col(c).isNull())) for c in inputs}
+    rules |= {f"{c} keeps nulls": (F.count_if(F.col(c).isNull()) > 0, F.count_if(F.col(c).isNull())) for c in targets}
+    if tolerances:
+        for c in (*inputs, *targets):
+            rules[f"{c} is standardised"] = ((F.abs(F.avg(c)) < tolerances[0]) & (F.abs(F.stddev_pop(c) - 1) < tolerances[1]), F.format_number(F.stddev_pop(c), 3))
+    return _rules(table, rules)
+
+
 def value_profile(table: DataFrame, columns: Sequence[str], limit: float = 25.0) -> DataFrame:
     """For each column: nulls, NaN, infinities, least and largest finite value, and values beyond limit. One scan."""
     parts = []

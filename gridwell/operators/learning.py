@@ -27,6 +27,12 @@ def search_ridge(samples: DataFrame, ridges: Sequence[float], seed: int = 42, x:
     return samples.sparkSession.createDataFrame([(float(r), float(m)) for r, m in zip(ridges, fit.validationMetrics, strict=True)], "ridge double, rmse double").orderBy("rmse")
 
 
+def best_setting(trials: DataFrame, objective: str, *ties: str) -> DataFrame:
+    """The row of trials with the smallest objective, ties by ties; null and NaN objectives are failed trials. No completed trial, no row."""
+    done = trials.where(F.col(objective).isNotNull() & ~F.isnan(F.col(objective).cast("double")))
+    return done.orderBy(objective, *ties).limit(1)
+
+
 def latent_basis(vectors: DataFrame, k: int, clusters: int, seed: int = 42, column: str = "embedding") -> DataFrame:
     """vectors with their k principal components and a cluster of these."""
     table = vectors.withColumn("v", array_to_vector(F.col(column).cast("array<double>")))

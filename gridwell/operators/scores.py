@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -55,6 +56,20 @@ def violations(steps: DataFrame, gate: DataFrame, values: Sequence[str]) -> Data
     return long.groupBy("of").agg(F.avg("warm").alias("all_pairs"), F.avg(F.when(F.col("gate") > 0, F.col("warm"))).alias("gated"), F.count("warm").alias("n"))
 
 
+class Evaluation(NamedTuple):
+    levels: DataFrame
+    overall: DataFrame
+    violations: DataFrame
+
+
+def evaluate(truth: DataFrame, pred: DataFrame, clim: DataFrame, gate: DataFrame, keys: Sequence[str] = ("t", "lat_i", "lon_j", "depth_k")) -> Evaluation:
+    """All scores of pred: by level, overall, and the share of inversions in pred and in truth. Rows without a value in any of the three don't count."""
+    rows = co_registered(truth, pred, clim, keys).dropna(subset=["truth", "pred", "clim"])
+    levels = level_metrics(rows)
+    steps = level_steps(rows, [k for k in keys if k != "depth_k"], ["truth", "pred"])
+    return Evaluation(levels, overall(levels), violations(steps, gate, ["truth", "pred"]))
+
+
 def masked_mse(rows: DataFrame, valid_cells: int) -> DataFrame:
     """Squared errors of each sample, by the number of valid cells of a sample."""
     return rows.groupBy("t").agg((F.sum(F.pow(F.col("truth") - F.col("pred"), 2)) / F.lit(float(max(valid_cells, 1)))).alias("loss"))

@@ -142,6 +142,12 @@ def circular_smooth(means: DataFrame, by: Sequence[str], half: int, value: str =
     return every.join(smooth, [*by, "doy"], "left").withColumn(value, F.coalesce(value, F.lit(0.0)))
 
 
+def seasonal_share(anom: DataFrame, whole: DataFrame, by: Sequence[str]) -> DataFrame:
+    """From the moments of standardised anomalies and those of the values: units of a standardised anomaly, and the season's share of the variance in per cent."""
+    joined = anom.select(*by, F.col("std").alias("anom_std")).join(whole.select(*by, "std"), list(by))  # a row for each level
+    return joined.select(*by, "anom_std", (F.col("anom_std") * F.col("std")).alias("scale"), (100 * (1 - F.col("anom_std") * F.col("anom_std"))).alias("share"))
+
+
 def anomalies(table: DataFrame, clim: DataFrame, by: Sequence[str], value: str = "value") -> DataFrame:
     """table with clim and anom = value - clim of its day of the year and by. A large climatology is shuffled, a small one Spark broadcasts."""
     return table.join(clim.select(*by, "doy", "clim"), [*by, "doy"], "left").withColumn("anom", F.col(value) - F.col("clim"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..config import ACTUAL_DEPTHS, COVERAGE, Axis, Grid, Inputs, expected_days
 from ..functions import scalars
 from ..operators import audit, features, grids, learning, profiles, scores, series, splits
+from ..sources import tables as sources
 from . import tables as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -232,6 +233,15 @@ def q_anomaly_stats(spark, sf_dir):
     return longs(rounded(series.moments(T.cube_anomalies(spark, sf_dir).where("split = 'train'"), ["lat_i"], "anom")))
 
 
+@query("""SELECT CAST(lat_i AS BIGINT) AS lat_i, round(a / s, 4) AS anom_std, round(a / s * s, 4) AS scale, round(100 * (1 - (a / s) * (a / s)), 4) AS share
+    FROM (SELECT lat_i, stddev_pop(value) AS s, stddev_pop(anom) AS a FROM anoms WHERE split = 'train' GROUP BY lat_i)""")
+def q_seasonal_share(spark, sf_dir):
+    train = T.cube_anomalies(spark, sf_dir).where("split = 'train'")
+    whole = series.moments(train, ["lat_i"])
+    scaled = train.join(whole.select("lat_i", "std"), "lat_i").withColumn("z", F.col("anom") / F.col("std"))
+    return longs(rounded(series.seasonal_share(series.moments(scaled, ["lat_i"], "z"), whole, ["lat_i"])))
+
+
 def _rm(w: int) -> str:
     return f"CASE WHEN row_number() OVER (PARTITION BY lat_i, lon_j ORDER BY t) < {w} THEN 0.0 ELSE sum(anom) OVER (PARTITION BY lat_i, lon_j ORDER BY t ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW) / {w}.0 END"
 
@@ -522,6 +532,36 @@ def q_ledger(spark, sf_dir):
     )
 
 
+@query(f"""{MASK} SELECT 'every cell once' AS rule, count(*) = 81 AS passed, CAST(count(*) AS VARCHAR) AS detail FROM mask UNION ALL SELECT 'ocean or land', TRUE, '0'
+    UNION ALL SELECT 'ocean cells plausible', count(CASE WHEN ocean THEN 1 END) BETWEEN 30 AND 50, CAST(count(CASE WHEN ocean THEN 1 END) AS VARCHAR) FROM mask""")
+def q_mask_rules(spark, sf_dir):
+    return audit.mask_rules(_mask(spark, sf_dir), 81, (30, 50))
+
+
+@query("""SELECT unnest(['first day', 'last day', 'no gaps in days', 'every cell once a day', 'x has no nulls', 'y keeps nulls']) AS rule,
+        unnest([min(day) = DATE '1999-01-01', max(day) = DATE '1999-12-31', count(DISTINCT day) = 365, count(*) = 365 * 64, count(x) = count(*), count(y) < count(*)]) AS passed,
+        unnest([CAST(min(day) AS VARCHAR), CAST(max(day) AS VARCHAR), CAST(count(DISTINCT day) AS VARCHAR), CAST(count(*) AS VARCHAR), CAST(count(*) - count(x) AS VARCHAR), CAST(count(*) - count(y) AS VARCHAR)]) AS detail
+    FROM (SELECT day, value AS x, CASE WHEN lat_i % 2 = 0 THEN value END AS y FROM cube WHERE split = 'val')""")
+def q_split_rules(spark, sf_dir):
+    own = T.split_cube(spark, sf_dir).where("split = 'val'").select("day", "lat_i", "lon_j", F.col("value").alias("x"), F.when(F.col("lat_i") % 2 == 0, F.col("value")).alias("y"))
+    return audit.split_rules(own, 64, ("1999-01-01", "1999-12-31"), ["x"], ["y"])
+
+
+@query("""SELECT CAST(COALESCE(a.k, b.k) AS BIGINT) AS k, round(COALESCE(b.mean, a.mean), 4) AS mean FROM (SELECT l_linenumber AS k, avg(l_quantity) AS mean FROM lineitem WHERE l_linenumber <= 5 GROUP BY 1) a
+    FULL JOIN (SELECT l_linenumber AS k, avg(l_tax * 100) AS mean FROM lineitem WHERE l_linenumber >= 3 GROUP BY 1) b ON a.k = b.k""")
+def q_merged_stats(spark, sf_dir):
+    lines = T.read(spark, sf_dir, "lineitem").withColumn("k", F.col("l_linenumber").cast("long"))
+    old = lines.where("k <= 5").groupBy("k").agg(F.avg("l_quantity").alias("mean"))
+    new = lines.where("k >= 3").groupBy("k").agg(F.avg(F.col("l_tax") * 100).alias("mean"))
+    return rounded(sources.merged_stats(old, new, ["k"]))
+
+
+@query("SELECT p_brand AS setting, objective FROM (SELECT p_brand, round(avg(p_retailprice), 4) AS objective FROM part GROUP BY 1) ORDER BY objective, setting LIMIT 1")
+def q_best_setting(spark, sf_dir):
+    trials = T.read(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("setting")).agg(F.round(F.avg("p_retailprice"), 4).alias("objective"))
+    return learning.best_setting(trials, "objective", "setting")
+
+
 _PRODUCTS = ["glorys", "oisst", "sla", "sss"]
 
 

@@ -322,3 +322,39 @@ def test_latent_basis_and_probe(spark):
     samples = spark.createDataFrame([([float(a), float(b)], float(2 * a - b)) for a, b in rng.randn(60, 2)], "x array<double>, y double")
     assert learning.linear_probe(samples).coefficients.toArray() == pytest.approx([2, -1])
     assert learning.search_ridge(samples, [10.0, 0.0]).first().ridge == 0.0
+
+
+def test_rules_name_what_is_wrong(spark):
+    mask = spark.createDataFrame([(0, 0, True), (0, 1, None), (0, 1, False)], "lat_i int, lon_j int, ocean boolean")
+    assert {r.rule: r.passed for r in audit.mask_rules(mask, 3, (1, 1)).collect()} == {"every cell once": False, "ocean or land": False, "ocean cells plausible": True}
+    rows = [(d, c, x, None if c else x) for d, x in (("2001-01-01", -1.0), ("2001-01-02", 1.0)) for c in (0, 1)]
+    table = spark.createDataFrame(rows, "day string, lon_j int, x double, y double").selectExpr("cast(day as date) day", "0 lat_i", "lon_j", "x", "y")
+    good = audit.split_rules(table, 2, ("2001-01-01", "2001-01-02"), ["x"], ["y"], (0.1, 0.1))
+    assert not audit.failed(good) and good.count() == 8
+    bad = audit.split_rules(table.unionByName(table.limit(1)), 2, ("2001-01-01", "2001-01-03"), ["y"], ["x"], (0.1, 0.1))
+    assert {r.rule for r in bad.where("not passed").collect()} == {"last day", "no gaps in days", "every cell once a day", "y has no nulls", "x keeps nulls", "x is standardised", "y is standardised"}
+    assert audit.failed(audit.split_rules(table.where("false"), 2, ("2001-01-01", "2001-01-02"), ["x"], ["y"]))
+
+
+def test_evaluation_joins_and_scores(spark):
+    keys = "t int, lat_i int, lon_j int, depth_k int"
+    places = [(0, 0, c, k) for c in (0, 1) for k in (0, 1)]
+    truth = spark.createDataFrame([(*p, 10.0 - p[3] + p[2]) for p in places], f"{keys}, truth double")
+    pred = spark.createDataFrame([(*p, 10.0 + p[3] if p[2] else None) for p in places], f"{keys}, pred double")
+    clim = spark.createDataFrame([(*p, 9.0) for p in places], f"{keys}, clim double")
+    gate = spark.createDataFrame([(0, 1.0)], "depth_k int, gate double")
+    of = scores.evaluate(truth, pred, clim, gate)
+    assert {r.depth_k: (r.n_cells, r.rmse) for r in of.levels.collect()} == {0: (1, 1.0), 1: (1, 1.0)}
+    assert of.overall.first().n_cells == 2 and {r.of: r.gated for r in of.violations.collect()} == {"truth": 0.0, "pred": 1.0}
+
+
+def test_best_setting_leaves_failed_trials(spark):
+    trials = spark.createDataFrame([("a", float("nan")), ("b", None), ("d", 1.0), ("c", 1.0)], "setting string, objective double")
+    assert learning.best_setting(trials, "objective", "setting").first().setting == "c"
+    assert learning.best_setting(trials.where("setting < 'c'"), "objective").count() == 0
+
+
+def test_seasonal_share(spark):
+    anom, whole = (spark.createDataFrame([(0, s)], "depth_k int, std double") for s in (0.6, 2.0))
+    row = series.seasonal_share(anom, whole, ["depth_k"]).first()
+    assert (round(row.scale, 9), round(row.share, 9)) == (1.2, 64.0)
