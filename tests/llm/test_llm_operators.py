@@ -227,6 +227,21 @@ def test_packing_against_the_tokenizers_library(spark, awkward):
         assert [o for o, _ in sorted(own)] == list(np.cumsum([0] + [n for _, n in sorted(own)])[:-1]) and sum(n for _, n in own) <= 2048
 
 
+def test_packing_takes_a_million_white_space_signs_in_a_row(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    coder = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    n = 1_100_000
+    texts = ["x" + " " * n + "y", "x" + "\n" * n + "y <|endoftext|> z", "x" + " \n" * (n // 2), "\u3000" * n + "1", "a plain text"]
+    rows = packing.pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id", "piece").collect()
+    for key, text in enumerate(texts):
+        ids = np.array([*coder.encode(text, add_special_tokens=False).ids, 0], "<u4")
+        own = [r for r in rows if r.doc_id == key]
+        assert sum(r.length for r in own) == len(ids)
+        assert all(zlib.crc32(ids[r.start : r.start + r.length].tobytes()) == r.ids_crc32 for r in own)
+
+
 def test_simhash_links_against_brute_force(spark):
     rng = random.Random(4)
     base = [rng.getrandbits(64) for _ in range(60)]
