@@ -74,3 +74,10 @@ def test_stage_drops_what_shares_four_fifths_of_its_shingles(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     left = {r.doc_id for r in P.drop_near_duplicates(spark, docs, SMALL).collect()}
     assert left == {min(g) for g in groups(texts)}
+
+
+def test_stage_leaves_one_row_of_repeated_and_null_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a, "s"), (1, a, "s"), (1, a, None), (2, b, "s"), (2, c, "s"), (3, c + " end", "s"), (None, a, "s"), (None, a, "s"), (None, a + " end", "s"), (1, b, "s")]
+    left = P.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), SMALL).collect()
+    assert sorted((str(r.doc_id), r.text[0]) for r in left) == [("1", "a"), ("1", "b"), ("2", "c"), ("None", "a")]
