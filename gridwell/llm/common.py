@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -106,7 +108,8 @@ def crc_mod(column: str, n: int) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_class: int) -> list[tuple[str, int]]:
     """At most per_class whole texts of each class, the same at every run, with their labels.
 
-    Null labels, ids and texts take no part. Only these rows reach the driver.
+    Null labels, ids and texts take no part. Where ids repeat, those that come first by hash of id and text count. Only
+    these rows reach the driver.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & learn).select("doc_id", F.col(label).cast("int").alias("label"))
     chosen = None
@@ -114,21 +117,55 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
         part = known.where(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
     texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text")
-    rows = texts.join(F.broadcast(chosen), "doc_id").limit(2 * per_class).collect()  # the broadcast side has 2 * per_class ids at most
+    met = texts.join(F.broadcast(chosen), "doc_id")  # the broadcast side has 2 * per_class ids at most
+    rows = met.orderBy(F.xxhash64("doc_id"), "doc_id", "label", F.xxhash64("text")).limit(2 * per_class).collect()
     rows.sort(key=lambda r: (r.doc_id, r.label, r.text))
     return [(r.text, r.label) for r in rows]
 
 
-def shared_folder(spark: SparkSession) -> None:
-    """See that checkpoint() has a folder; a cluster names a shared one in spark.checkpoint.dir."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of checkpoint(). A cluster names a shared one in spark.checkpoint.dir; only a local session gets one of its own."""
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         named = context.getConf().get("spark.checkpoint.dir", None)
         if named is None:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             import tempfile
 
             named = tempfile.mkdtemp(prefix="checkpoints-")
         context.setCheckpointDir(named)
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+#: Folders of tables that written() made in this process and that nothing has deleted.
+WRITTEN: list[str] = []
+
+
+def written(table: DataFrame) -> DataFrame:
+    """table from Parquet in the shared folder, packed and of a size that Spark knows, so that small ones are broadcast."""
+    folder = f"{shared_folder(table.sparkSession)}/table-{uuid.uuid4().hex}"
+    WRITTEN.append(folder)
+    table.write.parquet(folder)
+    return table.sparkSession.read.parquet(folder)
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of any file system that Spark knows."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def delete_written(spark: SparkSession, since: int = 0) -> None:
+    """Deletes what written() made after the first since tables, once nothing reads them any more."""
+    while len(WRITTEN) > since:
+        delete(spark, WRITTEN.pop())
+
+
+def others(docs: DataFrame, results: list[str]) -> list[str]:
+    """The columns of docs that aren't named like a result, in any case."""
+    taken = {r.lower() for r in results}
+    return [c for c in docs.columns if c.lower() not in taken]
 
 
 def unused(name: str, *tables: DataFrame) -> str:

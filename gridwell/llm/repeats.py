@@ -3,12 +3,14 @@
 A window of 13 words always covers a whole block of 7 of those that a document is cut into from its
 start. So each document's non-overlapping blocks are indexed, every rolling window of 7 words probes
 that index, and only where a probe hits is a passage extended to windows of 13 words, which are then
-held against each other exactly by long hashes: the smallest document with a window keeps it, and
-neighbouring windows that go make maximal repeats.
+held against each other by digests of their bytes (BLAKE2b of 128 bits): the smallest document with a
+window keeps it, and neighbouring windows that go make maximal repeats. Blocks and probes are met by
+quick hashes of 32 bits; where these agree by chance, the digests tell the windows apart.
 
 Documents are dealt into groups of bounded size by a hash. Groups send their blocks and probes to
-buckets of hash values, packed into one binary row for a group and bucket. What a group already
-sees twice isn't sent again, so a passage that many documents share costs an entry per group, not
+buckets of hash values, packed into one binary row for a group and bucket. A bucket's blocks alone
+are held, its probes pass by, so buckets are wider than groups and packed rows stay long. What a group
+already sees twice isn't sent again, so a passage that many documents share costs an entry per group, not
 one per document, and no pairs are formed anywhere.
 """
 
@@ -16,6 +18,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import STEP_BYTES, Powers, joined, kept, mix, read, slices, span_hashes, unused, words_of
+from .common import STEP_BYTES, Powers, joined, kept, mix, others, read, slices, span_hashes, unused, words_of
 
 WINDOW = 13
-#: Bytes of text in a group of documents, and so in a bucket of hash values; the fewest groups.
+#: Bytes of text in a group of documents, and those whose blocks or windows meet in a bucket; the fewest groups and buckets.
 GROUP_BYTES, LEAST_GROUPS = 8 << 20, 64
+BLOCK_BUCKET_BYTES, WINDOW_BUCKET_BYTES = 64 << 20, 16 << 20
 
 BLOCKS, PROBES, KNOWN = 0, 1, 2
 SENT = "bucket int, kind byte, grp int, hashes binary, docs binary, at binary"
@@ -86,12 +90,12 @@ class Words:
         self.starts = np.concatenate([[0], np.cumsum(self.counts)])
         self.row = np.repeat(np.arange(len(self.counts), dtype=np.int32), self.counts)
 
-    def rolling(self, n: int, base: np.uint64 = np.uint64(0xD6E8FEB86659FD93)) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the n words from each place on, and whether they are all in one document that has an id."""
+    def rolling(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Quick hashes of the n words from each place on, and whether they are all in one document that has an id."""
         places = max(0, len(self.hashes) - n + 1)
         total = np.zeros(places, np.uint64)
         for k in range(n):
-            total = total * base + self.hashes[k : k + places]
+            total = total * np.uint64(0xD6E8FEB86659FD93) + self.hashes[k : k + places]
         within = (self.row[:places] == self.row[n - 1 :]) & self.key.is_valid().to_numpy(zero_copy_only=False)[self.row[:places]] if places else np.zeros(0, bool)
         return mix(total), within
 
@@ -101,8 +105,11 @@ def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _runs(sorted_keys: np.ndarray) -> np.ndarray:
-    """Where each run of equal keys starts, one more for the end."""
-    return np.concatenate([[0], np.flatnonzero(sorted_keys[1:] != sorted_keys[:-1]) + 1, [len(sorted_keys)]]) if len(sorted_keys) else np.zeros(1, np.int64)
+    """Where each run of equal keys (numbers or rows of them) starts, one more for the end."""
+    if not len(sorted_keys):
+        return np.zeros(1, np.int64)
+    new = sorted_keys[1:] != sorted_keys[:-1]
+    return np.concatenate([[0], np.flatnonzero(new.any(axis=1) if new.ndim > 1 else new) + 1, [len(sorted_keys)]])
 
 
 def _by_bucket(hashes: np.ndarray, at: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -181,6 +188,36 @@ def _places(found: pa.Table, n: int) -> np.ndarray:
     return at
 
 
+def _plain(text: bytes) -> bytes:
+    """The words of text with one space between; a very long text is taken in parts."""
+    return b" ".join([b" ".join(words) for part in _cut(text) if (words := part.split())])
+
+
+def _digests(words: Words, places: np.ndarray, window: int) -> np.ndarray:
+    """Digests of 128 bits (two columns) of the words of the windows that start at places, which ascend and stay in their documents."""
+    rows, counts = np.unique(words.row[places], return_counts=True)
+    out, done = [], 0
+    for row, n in zip(rows.tolist(), counts.tolist(), strict=True):
+        plain = _plain(words.docs.column("text")[row].as_py().encode())
+        space = np.flatnonzero(np.frombuffer(plain, np.uint8) == 32)
+        first, last = np.concatenate([[0], space + 1]), np.concatenate([space, [len(plain)]])
+        own = places[done : done + n] - words.starts[row]
+        out += [blake2b(plain[a:b], digest_size=16).digest() for a, b in zip(first[own].tolist(), last[own + window - 1].tolist(), strict=True)]
+        done += n
+    return np.frombuffer(b"".join(out), "<u8").reshape(-1, 2)
+
+
+def _code_ids(ids: np.ndarray) -> bytes:
+    """Ascending ids, each different one once."""
+    own, place = np.unique(ids, return_inverse=True)
+    return len(own).to_bytes(4, "little") + own.astype("<i8").tobytes() + _code(place)
+
+
+def _decode_ids(code: bytes) -> np.ndarray:
+    n = int.from_bytes(code[:4], "little")
+    return np.frombuffer(code, "<i8", n, 4)[_decode(code[4 + 8 * n :])]
+
+
 def _candidates(block: int, window: int, buckets: int):
     """A group's windows around hits: those that an earlier document of the group has go at once, the first of each is sent to its bucket."""
 
@@ -189,21 +226,21 @@ def _candidates(block: int, window: int, buckets: int):
         if docs.num_rows and found.num_rows:
             group = key[0].as_py()
             words = Words(docs)
-            hashes, within = words.rolling(window)
+            within = words.rolling(window)[1]
             hit = np.concatenate([[0], np.cumsum(_places(found, len(words.hashes)))])
-            near = np.flatnonzero(within & (hit[window - block + 1 :][: len(hashes)] > hit[: len(hashes)]))
-            second = words.rolling(window, np.uint64(0xA0761D6478BD642F))[0][near].astype("<u4")
+            near = np.flatnonzero(within & (hit[window - block + 1 :][: len(within)] > hit[: len(within)]))
+            digests = _digests(words, near, window)
             ids = np.asarray(words.key.fill_null(0))[words.row[near]]
-            order = np.lexsort((near, second, hashes[near]))
-            cuts = _runs(hashes[near][order])
+            order = np.lexsort((near, digests[:, 1], digests[:, 0]))
+            cuts = _runs(digests[order])
             first = np.repeat(ids[order[cuts[:-1]]], np.diff(cuts)) if len(order) else ids
             later = ids[order] > first
             gone, sent = np.sort(near[order[later]]), np.sort(order[~later])
             if len(gone):
                 rows.append((group % buckets, KNOWN, group, None, None, _code(gone)))
-            at = near[sent]
-            for bucket, chosen in _by_bucket(hashes, at, buckets):
-                rows.append((bucket, PROBES, group, hashes[at[chosen]].astype("<u8").tobytes() + second[sent[chosen]].tobytes(), ids[sent[chosen]].astype("<i8").tobytes(), _code(at[chosen])))
+            for bucket, chosen in _by_bucket(digests[:, 0], sent, buckets):
+                own = sent[chosen]
+                rows.append((bucket, PROBES, group, digests[own].tobytes(), _code_ids(ids[own]), _code(near[own])))
         return _table(rows, SENT_NAMES, SENT_KINDS)
 
     return run
@@ -212,21 +249,19 @@ def _candidates(block: int, window: int, buckets: int):
 def _resolve(sent: pa.Table) -> pa.Table:
     """A bucket's windows: those that a document with a smaller id has as well, by group."""
     rows, entries = [], []
-    for kind, group, hashes, docs, at in zip(*(sent.column(c).to_pylist() for c in ("kind", "grp", "hashes", "docs", "at")), strict=True):
+    for kind, group, digests, docs, at in zip(*(sent.column(c).to_pylist() for c in ("kind", "grp", "hashes", "docs", "at")), strict=True):
         if kind == KNOWN:
             rows.append((group, at))
         else:
-            n = len(docs) // 8
-            entries.append((group, np.frombuffer(hashes, "<u8", n), np.frombuffer(hashes, "<u4", n, 8 * n), np.frombuffer(docs, "<i8"), at))
+            entries.append((group, np.frombuffer(digests, "<u8").reshape(-1, 2), _decode_ids(docs), at))
     if entries:
-        high, low, docs = (np.concatenate([e[i] for e in entries]) for i in (1, 2, 3))
-        order = np.lexsort((docs, low, high))
-        new = np.concatenate([[True], (high[order][1:] != high[order][:-1]) | (low[order][1:] != low[order][:-1])])
-        smallest = docs[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+        digests, docs = (np.concatenate([e[i] for e in entries]) for i in (1, 2))
+        order = np.lexsort((docs, digests[:, 1], digests[:, 0]))
+        cuts = _runs(digests[order])
         gone = np.zeros(len(order), bool)
-        gone[order] = docs[order] > smallest
+        gone[order] = docs[order] > np.repeat(docs[order[cuts[:-1]]], np.diff(cuts))
         done = 0
-        for group, _, _, own, at in entries:
+        for group, _, own, at in entries:
             part = gone[done : done + len(own)]
             done += len(own)
             if part.any():
@@ -250,14 +285,19 @@ def _kept(window: int, names: list[str], results: list[str]):
         texts: list[bytes] = []
         spans: list[list[dict]] = []
         for i, text in enumerate(words.docs.column("text").cast(pa.binary()).to_pylist()):
-            parts = (text or b"").split()
             own: list[dict] = []
+            left = []
+            at = int(words.starts[i])
+            for part in _cut(text or b""):
+                parts = part.split()
+                if lost[i]:
+                    parts, at = [w for w, g in zip(parts, gone[at : at + len(parts)].tolist(), strict=True) if not g], at + len(parts)
+                if parts:
+                    left.append(b" ".join(parts))
             if lost[i]:
-                mask = gone[words.starts[i] : words.starts[i + 1]]
-                edge = np.flatnonzero(np.diff(mask.view(np.int8), prepend=0, append=0))
+                edge = np.flatnonzero(np.diff(gone[words.starts[i] : words.starts[i + 1]].view(np.int8), prepend=0, append=0))
                 own = [{"start": int(a), "length": int(b - a)} for a, b in zip(edge[0::2], edge[1::2], strict=True)]
-                parts = [w for w, g in zip(parts, mask.tolist(), strict=True) if not g]
-            texts.append(b" ".join(parts))
+            texts.append(b" ".join(left))
             spans.append(own)
         out = [words.docs.column(c) for c in names]
         out += [pa.array(texts, pa.binary()).cast(pa.string()), pa.array(words.counts, pa.int64()), pa.array(lost, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])))]
@@ -272,18 +312,19 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: str = "") -> D
     A word goes if a window of window words that covers it also starts in a document with a smaller doc_id.
     kept has the other words, with one space between. A null or empty text has no words. A row with a null
     doc_id keeps all its words and takes none from others; rows with the same doc_id take none from each
-    other. Columns of docs that are named like a result (with prefix before its name) give way to it. An empty table gives none.
+    other. A text of any length is one value, whose words are taken in parts. Columns of docs that are named like a
+    result (with prefix before its name) give way to it. An empty table gives none.
     """
     block = (window + 1) // 2
     results = [prefix + c for c in ("kept", "n_words", "n_removed", "removed")]
-    names = [c for c in docs.columns if c.lower() not in [r.lower() for r in results]]
+    names = others(docs, results)
     own = unused("_group", docs)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    groups = max(LEAST_GROUPS, -(-total // GROUP_BYTES))
+    groups, block_buckets, window_buckets = (max(LEAST_GROUPS, -(-total // size)) for size in (GROUP_BYTES, BLOCK_BUCKET_BYTES, WINDOW_BUCKET_BYTES))
     dealt = docs.select(*names).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn(own, F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int"))
-    sent = dealt.groupBy(own).applyInArrow(_anchors(block, groups), SENT)
+    sent = dealt.groupBy(own).applyInArrow(_anchors(block, block_buckets), SENT)
     hits = sent.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_probe, FOUND)
-    windows = dealt.groupBy(own).cogroup(hits.groupBy("grp")).applyInArrow(_candidates(block, window, groups), SENT)
+    windows = dealt.groupBy(own).cogroup(hits.groupBy("grp")).applyInArrow(_candidates(block, window, window_buckets), SENT)
     gone = windows.groupBy("bucket").applyInArrow(_resolve, FOUND)
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("length", T.LongType())])
     kinds = (T.StringType(), T.LongType(), T.LongType(), T.ArrayType(span))

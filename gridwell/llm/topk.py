@@ -6,6 +6,9 @@ weights the slices of the dimensions that have it are added by carry-save bitmap
 these sums are added with their shifts. A negative weight adds the complement of its slices. The
 sums are again bit slices, from which the best rows are chosen from the most significant slice
 downward; rows that tie at the boundary are resolved by the smallest id, and scores are read off exactly.
+
+A task holds a shard of the index, some blocks of rows, and the queries pass by: what a shard finds for
+a query is merged there, so only its best rows are sent on.
 """
 
 from __future__ import annotations
@@ -19,20 +22,25 @@ from pyspark.sql import functions as F
 
 from .common import read
 
-#: Rows of an index block, and queries that are sent to a block together.
-BLOCK_ROWS, BLOCK_QUERIES = 8192, 512
+#: Rows of an index block, blocks of a shard, and queries that are sent together.
+BLOCK_ROWS, SHARD_BLOCKS, BLOCK_QUERIES = 32_768, 16, 64
+#: Tasks at least; where there are fewer shards, the queries are dealt to copies of them.
+LEAST_TASKS = 32
 TOP = 5
 SCALE = 256
+#: Quantised components stay within this, and scores within a long: what lies beyond counts as the limit.
+LARGEST, LONG = 1 << 62, (1 << 63) - 1
 
-INDEX = "block int, index binary"
-QUERIES = "part int, queries binary"
-FOUND = "query_id long, part int, place int, vec_id long, score long"
+SENT = "task int, kind byte, part int, data binary"
+FOUND = "query_id long, times long, part int, place int, vec_id long, score long"
+INDEX, QUERIES = 0, 1
 
 
 def quantised(vector: Column, scale: int = SCALE) -> Column:
     """floor(scale * x) of each component x, as double; null where the vector or a component is null or not finite."""
     valid = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    return F.when(valid, F.transform(vector, lambda x: F.floor(x.cast("double") * F.lit(float(scale)))))
+    whole = F.transform(vector, lambda x: F.greatest(F.least(F.floor(x.cast("double") * F.lit(float(scale))), F.lit(LARGEST)), F.lit(-LARGEST)))
+    return F.when(valid, whole)
 
 
 class Slices:
@@ -58,7 +66,7 @@ class Slices:
     def scores(self, weights: np.ndarray) -> tuple[np.ndarray, int]:
         """Bit slices (least significant first) of the rows' scores less a constant, and that constant."""
         weights = np.concatenate([weights, np.zeros(len(self.bits), np.int64)])[: len(self.bits)]
-        constant = int(weights @ self.low)
+        constant = sum(int(w) * int(low) for w, low in zip(weights, self.low, strict=True))  # exact, however large
         size = [abs(int(w)) for w in weights]
         parts = [~s if w < 0 else s for s, w in zip(self.slices, weights, strict=True)]
         constant -= sum(a * ((1 << n) - 1) for a, n, w in zip(size, self.bits, weights, strict=True) if w < 0)
@@ -122,11 +130,15 @@ class Slices:
         return np.flatnonzero(np.unpackbits(bitmap.view(np.uint8), bitorder="little"))
 
     def search(self, weights: np.ndarray, k: int, without: int) -> list[tuple[int, int]]:
-        """Ids and scores of the k best rows but those with the id without."""
+        """Ids and scores of the k best rows but those with the id without, the best first."""
         total, constant = self.scores(weights)
         chosen = self.best(total, k, without)
         bits = (total[:, chosen >> 6] >> (chosen & 63).astype(np.uint64) & np.uint64(1)).astype(np.int64)
-        return list(zip(self.ids[chosen].tolist(), ((bits << np.arange(len(total))[:, None]).sum(axis=0) + constant).tolist(), strict=True))
+        if len(total) < 62:
+            scores = ((bits << np.arange(len(total))[:, None]).sum(axis=0) + constant).tolist() if abs(constant) < LARGEST else [int(x) + constant for x in (bits << np.arange(len(total))[:, None]).sum(axis=0)]
+        else:
+            scores = [sum(int(b) << i for i, b in enumerate(row)) + constant for row in bits.T]
+        return sorted(zip(self.ids[chosen].tolist(), scores, strict=True), key=lambda x: (-x[1], x[0]))
 
     def pack(self) -> bytes:
         head = np.array([self.rows, len(self.bits), *self.bits], "<i8").tobytes()
@@ -156,26 +168,39 @@ def _matrix(table: pa.Table, column: str) -> np.ndarray:
     return out
 
 
-def _index(key: tuple, rows: pa.Table) -> pa.Table:
-    packed = Slices(np.asarray(rows.column("vec_id"), np.int64), _matrix(rows, "value")).pack()
-    return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([packed], pa.binary())], names=["block", "index"])
+def _index(k: int):
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        times = np.minimum(np.asarray(rows.column("times"), np.int64), k)  # of equal rows no more than k can be among the best
+        packed = Slices(np.repeat(np.asarray(rows.column("vec_id"), np.int64), times), np.repeat(_matrix(rows, "value"), times, axis=0)).pack()
+        return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([packed], pa.binary())], names=["part", "data"])
+
+    return run
 
 
 def _queries(key: tuple, rows: pa.Table) -> pa.Table:
     weights = _matrix(rows, "value")
-    packed = np.concatenate([[weights.shape[1]], np.column_stack([np.asarray(rows.column("vec_id"), np.int64), weights]).ravel()]).astype("<i8").tobytes()
-    return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([packed], pa.binary())], names=["part", "queries"])
+    packed = np.concatenate([[weights.shape[1]], np.column_stack([np.asarray(rows.column("vec_id"), np.int64), np.asarray(rows.column("times"), np.int64), weights]).ravel()]).astype("<i8").tobytes()
+    return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([packed], pa.binary())], names=["part", "data"])
 
 
 def _search(k: int):
+    """Rows in the order of task and kind: keeps a task's blocks of the index and answers the queries that follow."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, blocks = None, []
         for batch in batches:
-            for packed, part, queries in zip(*(batch.column(c).to_pylist() for c in ("index", "part", "queries")), strict=True):
-                index, numbers, rows = Slices.unpack(packed), np.frombuffer(queries, "<i8"), []
-                for place, (query, *weights) in enumerate(numbers[1:].reshape(-1, int(numbers[0]) + 1)):
-                    rows += [(int(query), part, place, *found) for found in index.search(np.array(weights, np.int64), k, int(query))]
+            for own, kind, part, data in zip(*(batch.column(c).to_pylist() for c in ("task", "kind", "part", "data")), strict=True):
+                if own != task:
+                    task, blocks = own, []
+                if kind == INDEX:
+                    blocks.append(Slices.unpack(data))
+                    continue
+                numbers, rows = np.frombuffer(data, "<i8"), []
+                for place, (query, times, *weights) in enumerate(numbers[1:].reshape(-1, int(numbers[0]) + 2)):
+                    found = [x for block in blocks for x in block.search(np.array(weights, np.int64), k, int(query))]
+                    rows += [(int(query), int(times), part, place, i, min(max(s, -LONG - 1), LONG)) for i, s in sorted(found, key=lambda x: (-x[1], x[0]))[:k]]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["query_id", "part", "place", "vec_id", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["query_id", "times", "part", "place", "vec_id", "score"])
 
     return run
 
@@ -185,19 +210,33 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
 
     Both have vec_id and value (array of whole numbers); a row of vectors with the query's own vec_id is no
     candidate. Ties go to the smaller vec_id. Rows with null ids or values take no part; a shorter value has zeros
-    behind. Repeated rows of vectors are candidates each; repeated queries are answered each. Blocks of
-    queries are sent to blocks of the index by block number; neither table is gathered anywhere.
+    behind. Repeated rows of vectors are candidates each; repeated queries are answered each. Sums are exact however
+    large; a score beyond a long is given as the largest or smallest long. Blocks of queries are sent to shards of
+    the index by number; neither table is gathered anywhere. No queries or no vectors, no rows.
     """
     vectors = vectors.where(F.col("vec_id").isNotNull() & F.col("value").isNotNull()).select(F.col("vec_id").cast("long"), "value")
     queries = queries.where(F.col("vec_id").isNotNull() & F.col("value").isNotNull()).select(F.col("vec_id").cast("long"), "value")
-    blocks = max(1, -(-vectors.count() // BLOCK_ROWS))
-    parts = max(1, -(-queries.count() // BLOCK_QUERIES))
-    index = vectors.withColumn("block", F.pmod(F.xxhash64("vec_id", "value"), F.lit(blocks)).cast("int")).groupBy("block").applyInArrow(_index, INDEX)
-    asked = queries.withColumn("part", F.pmod(F.xxhash64("vec_id", "value"), F.lit(parts)).cast("int")).groupBy("part").applyInArrow(_queries, QUERIES)
-    sent = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    found = sent.join(index, "block").select("index", "part", "queries").mapInArrow(_search(k), FOUND)
+    blocks, parts = (max(1, -(-table.count() // size)) for table, size in ((vectors, BLOCK_ROWS), (queries, BLOCK_QUERIES)))
+    per_shard = min(SHARD_BLOCKS, max(1, blocks // LEAST_TASKS))
+    shards = -(-blocks // per_shard)
+    copies = min(parts, -(-LEAST_TASKS // shards))  # more than one only where the index is small
+    parts = max(parts, copies)
+
+    def dealt(table: DataFrame, n: int) -> DataFrame:
+        """Each different row once, with how often it is there, by a hash; equal rows meet in the counts, before they are dealt."""
+        once = table.groupBy("vec_id", "value").agg(F.count("*").alias("times"))
+        return once.withColumn("part", F.pmod(F.xxhash64("vec_id", "value"), F.lit(n)).cast("int")).repartition(n, "part").groupBy("part")
+
+    def sent(packed: DataFrame, kind: int, to: Column) -> DataFrame:
+        return packed.select("part", "data", F.explode(to).alias("task")).select(F.col("task").cast("int").alias("task"), F.lit(kind).cast("byte").alias("kind"), "part", "data")
+
+    own = F.floor(F.col("part") / per_shard) * copies
+    index = sent(dealt(vectors, blocks).applyInArrow(_index(k), "part int, data binary"), INDEX, F.sequence(own, own + copies - 1))
+    asked = sent(dealt(queries, parts).applyInArrow(_queries, "part int, data binary"), QUERIES, F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda i: i * copies + F.col("part") % copies))
+    found = index.unionByName(asked).repartition(shards * copies, "task").sortWithinPartitions("task", "kind").mapInArrow(_search(k), FOUND)
     rank = F.row_number().over(Window.partitionBy("query_id", "part", "place").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = found.withColumn("rank", rank).where(F.col("rank") <= k)
+    return best.withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times")))).select("query_id", "rank", "vec_id", "score")
 
 
 def op3_topk(spark, sf_dir: str) -> DataFrame:
