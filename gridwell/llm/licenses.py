@@ -3,10 +3,13 @@
 Texts and templates become lower-case words and shingles of five words. Templates are taken by size: those
 of more than B/2 and at most B shingles are looked for in windows of 2B shingles that start every
 B, so that any run of B shingles lies wholly in a window. A window and a template are compared where
-they agree in a band. A band is one row: it agrees with a probability of the two sets' Jaccard
-similarity, which is known from below, and the number of bands is chosen so that a match is missed
-with a probability of at most MISS. A band only agrees on a shingle that both have, so windows
-without any shingle of a template need no signature.
+they agree in a band: in the minima of all of the band's hash functions. Where a template is contained, the two
+sets' Jaccard similarity s is known from below, and a band of r functions agrees with a probability of s**r at
+least; the number of bands is chosen so that none does with a probability of at most MISS.
+
+Windows are not signed one by one. A window's minimum can only be a template's if the window has the shingle that
+gives it, so the index holds the shingle of each band's first minimum, the text's shingles are joined with it,
+and only around these places is a window's minimum taken under each function of the bands that start there.
 """
 
 from __future__ import annotations
@@ -19,8 +22,12 @@ from pyspark.sql import functions as F
 from .common import read
 
 SHINGLE, CONTAINED, MISS = 5, 0.8, 1e-6
-#: Shingles of all templates up to which windows without any are left out beforehand; more are left to the join.
+#: Hash functions of a band: one for templates of a shingle or two, whose windows have four at most, two for longer ones.
+SHORT_BLOCK, BAND_ROWS = 2, 2
+#: Shingles of all templates up to which the index is broadcast; a larger one is joined by shuffles, with the same result.
 KNOWN_SHINGLES = 20_000
+#: Signs of a text that are cut into words at once, and for each word that a window may reach beyond them; shingles that are joined at once.
+PIECE, REACH, CHUNK = 1 << 18, 256, 2048
 
 #: Notices of public licences, as projects state them.
 TEMPLATES = {
@@ -52,25 +59,63 @@ def _words(text: Column) -> Column:
     return F.split(F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), " ")
 
 
+def _shingled(words: Column, size: int = SHINGLE) -> Column:
+    hashed = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - size + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, F.lit(size))))
+    return F.when(F.size(words) >= size, hashed).otherwise(F.array().cast("array<bigint>"))
+
+
 def shingles(text: Column, size: int = SHINGLE) -> Column:
     """64-bit hashes of all runs of size words, in order; none for shorter or null texts."""
     words = F.coalesce(_words(text), F.array())
-    # the words stand in a lambda's variable, so that they are split once
-    hashed = F.transform(F.array(words), lambda w: F.when(F.size(w) >= size, F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - size + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, F.lit(size))))).otherwise(F.array().cast("array<bigint>")))
-    return hashed[0]
+    return F.transform(F.array(words), lambda w: _shingled(w, size))[0]  # the words stand in a lambda's variable, so that they are split once
+
+
+def band_rows(block: int) -> int:
+    return 1 if block <= SHORT_BLOCK else BAND_ROWS
 
 
 def bands(block: int, contained: float = CONTAINED, miss: float = MISS) -> int:
-    """Bands of one row with which templates of over block/2 shingles are missed with a probability of at most miss."""
+    """Bands with which templates of over block/2 shingles are missed with a probability of at most miss."""
     least = block // 2 + 1
     need = math.ceil(contained * least)
-    similarity = need / (2 * block + least - need)
-    return math.ceil(math.log(miss) / math.log(1 - similarity)) if similarity < 1 else 1
+    agrees = (need / (2 * block + least - need)) ** band_rows(block)
+    return math.ceil(math.log(miss) / math.log(1 - agrees)) if agrees < 1 else 1
+
 
+def _minimum(hashes: Column, function: Column) -> Column:
+    return F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, function)))
 
-def _signature(hashes: Column, block: Column | int, n: Column) -> Column:
-    """Band numbers and the smallest value of each band's hash function."""
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda f: F.struct(f.alias("band"), F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, f))).alias("low")))
+
+def _index(forms: DataFrame) -> DataFrame:
+    """forms (template, parts, block, bands, rows) by the shingle of each band's first minimum: part, template, block, and the bands there as lists of (function, low)."""
+    band = F.transform(F.sequence(F.lit(0), F.col("rows") - 1), lambda j: F.col("band") * F.col("rows") + j)
+    signed = forms.withColumn("band", F.explode(F.sequence(F.lit(0), F.col("bands") - 1))).withColumn("functions", band)
+    first = F.array_min(F.transform("parts", lambda h: F.struct(F.xxhash64(h, F.col("functions")[0]).alias("low"), h.alias("part"))))["part"]
+    lows = F.transform("functions", lambda f: F.struct(f.alias("function"), _minimum(F.col("parts"), f).alias("low")))
+    return signed.select(first.alias("part"), "template", "block", lows.alias("lows")).groupBy("part", "template", "block").agg(F.collect_list("lows").alias("lows"))
+
+
+def _pieces(docs: DataFrame, block: int) -> DataFrame:
+    """docs by parts of their texts: doc_id, base (words before), own (shingles that windows may start at) and hashes, which go on for two blocks.
+
+    A row that is exploded is copied for each part, so rows carry no more than a part each.
+    """
+    wordy, size, reach = r"[\p{L}\p{N}]", F.lit(PIECE), F.lit(REACH * (2 * block + SHINGLE))
+    spaced = docs.where(F.col("text").isNotNull()).select("doc_id", F.concat(F.lit(" "), "text").alias("text"))
+    last = F.greatest(F.ceil((F.length("text") - 1) / size), F.lit(1)).cast("int") - 1
+    # each part begins with the sign before it: if a word starts there, it is the end of one that the part before has
+    parts = F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(F.col("text"), i * size + 1, size + 1 + reach))
+    counted = F.transform(parts, lambda p: F.struct(p.alias("text"), (F.regexp_count(F.substring(p, F.lit(2), size), F.lit(wordy + "+")) - p.rlike(f"^{wordy}{{2}}").cast("int")).alias("own")))
+    listed = spaced.select("doc_id", F.length("text").alias("signs"), F.when(last > 0, counted).otherwise(F.array(F.struct(F.col("text"), F.lit(None).cast("int").alias("own")))).alias("parts"))
+    cut = listed.select("doc_id", "signs", F.transform("parts", lambda p: p["own"]).alias("counts"), F.posexplode("parts").alias("i", "part"))
+    i, words = F.col("i"), _words(F.col("part.text"))
+    torn_first, torn_last = F.col("part.text").rlike("^" + wordy).cast("int"), (i * size + size + 1 + reach < F.col("signs")).cast("int")
+    whole = F.when(F.size("counts") == 1, words).otherwise(F.slice(words, torn_first + 1, F.greatest(F.size(words) - torn_first - torn_last, F.lit(0))))
+    base = F.when(i > 0, F.aggregate(F.slice("counts", 1, i), F.lit(0), lambda a, x: a + x)).otherwise(0)
+    hashed = cut.select("doc_id", base.alias("base"), F.when(i + 1 < F.size("counts"), F.col("part.own")).alias("own"), whole.alias("words")).select("doc_id", "base", "own", _shingled(F.col("words")).alias("hashes"))
+    owned = hashed.withColumn("own", F.least(F.coalesce("own", F.size("hashes")), F.size("hashes")))
+    chunk = owned.withColumn("s", F.explode(F.sequence(F.lit(0), F.greatest(F.col("own") - 1, F.lit(0)), F.lit(CHUNK))))
+    return chunk.select("doc_id", (F.col("base") + F.col("s")).alias("base"), F.least(F.col("own") - F.col("s"), F.lit(CHUNK)).alias("own"), F.slice("hashes", F.col("s") + 1, CHUNK + 2 * block).alias("hashes"))
 
 
 def scan(docs: DataFrame, forms: DataFrame, contained: float = CONTAINED) -> DataFrame:
@@ -80,31 +125,34 @@ def scan(docs: DataFrame, forms: DataFrame, contained: float = CONTAINED) -> Dat
     row tells the best window (the first of equals): how many it has and the word that it starts at. A
     null or short text and a template of fewer words than a shingle match nothing. Rows of docs with the
     same doc_id count as one document, null ids among them; other columns are ignored; an empty table gives none.
+    A very long text is cut into words in parts of PIECE signs; a window that goes on into the next part ends there
+    after REACH signs for each of its words.
     """
     forms = forms.select("template", F.array_distinct(shingles(F.col("text"))).alias("parts")).where(F.size("parts") > 0)
     forms = forms.withColumn("block", F.pow(F.lit(2), F.ceil(F.log2(F.size("parts")))).cast("int"))
-    sizes = {r.block: r.n for r in forms.groupBy("block").agg(F.count("*").alias("n")).collect()}  # one row for each power of two
-    hashed = docs.select("doc_id", shingles(F.col("text")).alias("hashes"))
+    sizes = {r.block: r.n for r in forms.groupBy("block").agg(F.sum(F.size("parts")).alias("n")).collect()}  # one row for each power of two
     if not sizes:
-        return hashed.select("doc_id", F.lit("").alias("template"), F.lit(0).alias("found"), F.lit(0).alias("shingles"), F.lit(0.0).alias("containment"), F.lit(0).cast("long").alias("start")).where(F.lit(False))
-    known = None
-    if forms.agg(F.sum(F.size("parts"))).first()[0] <= KNOWN_SHINGLES:
-        known = F.array(*[F.lit(r.part) for r in forms.select(F.explode("parts").alias("part")).distinct().collect()])  # KNOWN_SHINGLES at most
-        hashed = hashed.where(F.arrays_overlap("hashes", known))
-    per_block = F.create_map(*[F.lit(x) for b in sizes for x in (b, bands(b, contained))])
-    forms = forms.withColumn("bands", per_block[F.col("block")])
-
-    def windows(block: int) -> Column:
-        every = F.transform(F.sequence(F.lit(0), F.greatest(F.size("hashes") - 1, F.lit(0)), F.lit(block)), lambda s: F.struct(F.lit(block).alias("block"), s.cast("long").alias("start"), F.slice(F.col("hashes"), s + 1, F.lit(2 * block)).alias("window")))
-        return F.filter(every, lambda w: F.arrays_overlap(w["window"], known)) if known is not None else every
-
-    cut = hashed.select("doc_id", F.explode(F.concat(*[windows(b) for b in sorted(sizes)])).alias("w")).select("doc_id", "w.*").withColumn("bands", per_block[F.col("block")])
-    sent = cut.select("doc_id", "block", "start", "window", F.explode(_signature(F.col("window"), F.col("block"), F.col("bands"))).alias("b")).select("doc_id", "block", "start", "window", "b.band", "b.low")
-    index = forms.select("template", "parts", "block", F.explode(_signature(F.col("parts"), F.col("block"), F.col("bands"))).alias("b")).select("template", "parts", "block", "b.band", "b.low")
-    met = sent.join(index, ["block", "band", "low"]).select("doc_id", "template", "start", F.size(F.array_intersect("window", "parts")).alias("found"), F.size("parts").alias("shingles"))
-    matched = met.where(F.col("found") >= F.lit(contained) * F.col("shingles"))
-    best = matched.groupBy("doc_id", "template").agg(F.max(F.struct("found", -F.col("start"))).alias("best"), F.max("shingles").alias("shingles"))
-    return best.select("doc_id", "template", F.col("best.found").alias("found"), "shingles", (F.col("best.found") / F.col("shingles")).alias("containment"), (-F.col("best.col2")).alias("start"))
+        return docs.select("doc_id", F.lit("").alias("template"), F.lit(0).alias("found"), F.lit(0).alias("shingles"), F.lit(0.0).alias("containment"), F.lit(0).cast("long").alias("start")).where(F.lit(False))
+    few = sum(sizes.values()) <= KNOWN_SHINGLES
+
+    def checked(table: DataFrame) -> DataFrame:
+        return F.broadcast(table) if few else table
+
+    def by_block(f) -> Column:
+        return F.create_map(*[F.lit(x) for b in sizes for x in (b, f(b))])[F.col("block")]
+
+    forms = forms.withColumns({"bands": by_block(lambda b: bands(b, contained)), "rows": by_block(band_rows)})
+    hits = _pieces(docs, max(sizes)).select("doc_id", "base", "own", "hashes", F.posexplode_outer("hashes").alias("at", "part")).join(checked(_index(forms)), "part")
+    home = F.floor((F.col("base") + F.col("at")) / F.col("block")) * F.col("block")
+    near = hits.withColumn("start", F.explode(F.array(home, home - F.col("block"))))
+    near = near.where((F.col("start") >= F.col("base")) & (F.col("start") < F.col("base") + F.col("own")))
+    windows = near.select("doc_id", "template", "start", "lows", F.slice("hashes", (F.col("start") - F.col("base") + 1).cast("int"), 2 * F.col("block")).alias("window"))
+    agree = F.exists("lows", lambda band: F.forall(band, lambda x: _minimum(F.col("window"), x["function"]) == x["low"]))
+    met = windows.where(agree).select("doc_id", "template", "start", "window").join(checked(forms.select("template", "parts")), "template")
+    found = met.select("doc_id", "template", "start", F.size(F.array_intersect("window", "parts")).alias("found"), F.size("parts").alias("shingles"))
+    matched = found.where(F.col("found") >= F.lit(contained) * F.col("shingles"))
+    best = matched.groupBy("doc_id", "template").agg(F.max(F.struct("found", (-F.col("start")).alias("before"))).alias("best"), F.max("shingles").alias("shingles"))
+    return best.select("doc_id", "template", F.col("best.found").alias("found"), "shingles", (F.col("best.found") / F.col("shingles")).alias("containment"), (-F.col("best.before")).alias("start"))
 
 
 def op7_licenses(spark, sf_dir: str) -> DataFrame:
