@@ -185,7 +185,8 @@ def _encoded(path: str | None):
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Per row of docs (doc_id, text; others are ignored): its ids and the text that they decode to.
 
-    A null text is an empty one and has no ids; repeated rows and null ids stay; an empty table gives none.
+    A null text is an empty one and has no ids; repeated rows and null ids stay; an empty table gives none. A very long
+    text is one list of ids, and a very long word is merged by a heap over the same boundaries, in n log n steps.
     path: the vocabulary file, read on the executors; by default the public one that is installed there.
     """
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_encoded(path), SCHEMA)

@@ -2,8 +2,8 @@
 
 A text's bytes are the samples. What is stored is read back by the wave module, and a short-time
 Fourier transform of the samples gives the strongest peak of each frequency band in each frame.
-Each kept peak is paired with the next few ones in time; a pair is coded as both bands' bins and
-the frames between them, and stands beside the frame of its first peak.
+Each kept peak is paired with the next few ones in time; a pair is coded as both bins and
+the frames between them, however many, and stands beside the frame of its first peak.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ FRAME, HOP, BANDS, FAN_OUT = 256, 128, 4, 3
 BLOCK = 4096
 RATE = 8000
 
-SCHEMA = "doc_id long, n_bytes long, payload binary, media binary, pair_code array<int>, pair_time array<int>"
+SCHEMA = "doc_id long, n_bytes long, payload binary, media binary, pair_code array<long>, pair_time array<int>"
 
 
 def padded(text: bytes, unit: int = 192) -> bytes:
@@ -79,15 +79,17 @@ def peaks(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pairs(times: np.ndarray, bins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes and first frames of all pairs of a peak and one of the FAN_OUT after it, in order of time."""
+    """Codes and first frames of all pairs of a peak and one of the FAN_OUT after it, in order of time.
+
+    A code has the first bin from bit 48 on, the second from bit 40 on, and the frames between them below.
+    """
     codes, at = [], []
     for step in range(1, FAN_OUT + 1):
-        gap = np.minimum(times[step:] - times[:-step], 4095)
-        codes.append(bins[:-step] << 19 | bins[step:] << 12 | gap)
+        codes.append(bins[:-step] << 48 | bins[step:] << 40 | times[step:] - times[:-step])
         at.append(times[:-step])
     code, time = np.concatenate(codes), np.concatenate(at)
     order = np.lexsort((code, time))
-    return code[order].astype(np.int32), time[order].astype(np.int32)
+    return code[order].astype(np.int64), time[order].astype(np.int32)
 
 
 def _columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,15 +100,15 @@ def _columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             media = to_wav(padded(text))
             payload = from_wav(media)
             rows.append((key, len(text), payload, media, *pairs(*peaks(np.frombuffer(payload, np.uint8)))))
-        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()))
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()))
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "n_bytes", "payload", "media", "pair_code", "pair_time"])
 
 
 def media_columns(docs: DataFrame) -> DataFrame:
     """Per row of docs (doc_id, text; others are ignored): the stored WAV, the payload read back from it, and its fingerprint.
 
-    A null or empty text is 192 spaces; a row with a null doc_id stays. Repeated rows stay, with equal values.
-    Rows are independent, so nothing is shuffled; an empty table gives none.
+    A null or empty text is 192 spaces; a row with a null doc_id stays. Repeated rows stay, with equal values. A very
+    long text is transformed in parts, with the same peaks. Rows are independent, so nothing is shuffled; an empty table gives none.
     """
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_columns, SCHEMA)
 

@@ -1,10 +1,12 @@
 """Best-fit packing of token sequences with exact-complement hashing.
 
 Documents become pieces of at most the capacity. What is planned is only the histogram of piece
-lengths, which has no more entries than the capacity, so planning costs the same for any corpus:
+lengths, which has no more entries than the capacity, so planning costs the same for any corpus.
+An index by sum holds the pairs of lengths that make it, and the first lengths of triples that do;
 from the longest length down, the gap that a length leaves is looked up among single lengths, sums of
 two and sums of three, and a combination that fills it exactly is taken as often as its lengths
-last. What finds no exact complement is packed best fit, longest first. The plan gives ranges
+last. Counts only fall, so the index drops for good what can't be had any more. What finds no exact
+complement is packed best fit, longest first. The plan gives ranges
 of ranks within each length; the pieces get their ranks by two levels of counting, so that a length
 with most of the pieces is spread over many tasks.
 """
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import byte_signs, vocabulary
-from .common import kept, read, shared_folder, slices
+from .common import kept, others, read, shared_folder, slices, unused
 
 CAPACITY = 2048
 #: Pieces of one length that are ranked together; more are dealt to more tasks.
@@ -42,34 +44,47 @@ class Range(NamedTuple):
     offset: int
 
 
-def _complement(counts: np.ndarray, length: int, capacity: int) -> Counter | None:
-    """One, two or three lengths that fill the gap beside length exactly, the largest first, within their counts."""
-    gap = capacity - length
-    counts[length] -= 1
-    try:
-        if counts[gap] > 0:
-            return Counter([length, gap])
-        have = counts[: gap + 1] > 0
-
-        def two(total: int, spent: int = 0) -> tuple[int, int] | None:
-            half = np.flatnonzero(have[(total + 1) // 2 : total] & have[total // 2 : 0 : -1]) if total > 1 else ()
-            for at in reversed(half):
-                a, b = int(at) + (total + 1) // 2, total // 2 - int(at)
-                need = Counter([a, b] + [spent] * (spent > 0))
-                if all(counts[k] >= n for k, n in need.items()):
-                    return a, b
-            return None
-
-        if pair := two(gap):
-            return Counter([length, *pair])
-        for a in np.flatnonzero(have)[::-1]:
-            if 3 * a < gap:
-                break
-            if a < gap and (pair := two(gap - int(a), int(a))):
-                return Counter([length, int(a), *pair])
+class Sums:
+    """Single lengths and sums of two and three of them, by sum, with what is left of each length.
+
+    A sum's list is made when it is first asked for, longest lengths first. counts may only fall between calls.
+    """
+
+    def __init__(self, counts: np.ndarray) -> None:
+        self.counts = counts
+        self.pairs: dict[int, list[tuple[int, int]]] = {}
+        self.triples: dict[int, list[int]] = {}
+
+    def have(self, *lengths: int) -> bool:
+        return all(self.counts[k] >= n for k, n in Counter(lengths).items())
+
+    def pair(self, total: int, *spent: int) -> tuple[int, int] | None:
+        """Two lengths with this sum, the longer first, that can be had beside spent."""
+        if total not in self.pairs:
+            there = self.counts[: total + 1] > 0
+            longer = np.flatnonzero(there & there[::-1])
+            longer = longer[2 * longer >= total]
+            self.pairs[total] = [(int(a), total - int(a)) for a in longer if a < total]  # ascending, so the best are last
+        own = self.pairs[total]
+        while own and not self.have(*own[-1]):
+            own.pop()
+        return next(((a, b) for a, b in reversed(own) if self.have(a, b, *spent)), None)
+
+    def triple(self, total: int) -> tuple[int, int, int] | None:
+        """Three lengths with this sum, the longest first."""
+        if total not in self.triples:
+            self.triples[total] = [int(a) for a in np.flatnonzero(self.counts[:total] > 0) if 3 * a >= total]
+        own = self.triples[total]
+        while own:
+            a = own[-1]
+            if self.have(a) and (two := self.pair(total - a, a)):
+                return a, *two
+            own.pop()
         return None
-    finally:
-        counts[length] += 1
+
+    def complement(self, gap: int) -> tuple[int, ...] | None:
+        """One, two or three lengths that fill gap exactly, the fewest."""
+        return (gap,) if self.counts[gap] > 0 else self.pair(gap) or self.triple(gap)
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[Range]:
@@ -79,16 +94,17 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[Range]:
         counts[length] += n
     filled: list[tuple[Counter, int]] = []
     left: list[tuple[int, int]] = []
+    sums = Sums(counts)
     for length in range(capacity, 0, -1):
         while n := int(counts[length]):
-            if length == capacity:
-                need: Counter | None = Counter([length])
-            else:
-                need = _complement(counts, length, capacity)
-            if need is None:
+            counts[length] -= 1  # the one whose gap is to be filled
+            own = () if length == capacity else sums.complement(capacity - length)
+            counts[length] += 1
+            if own is None:
                 left.append((length, n))
                 counts[length] = 0
                 break
+            need = Counter((length, *own))
             times = min(int(counts[k]) // m for k, m in need.items())
             for k, m in need.items():
                 counts[k] -= times * m
@@ -179,7 +195,8 @@ def _cut(path: str | None, capacity: int):
 def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
     """docs (doc_id, text; others are ignored) as pieces of at most capacity tokens, id 0 last.
 
-    A null or empty text is id 0 alone. Only longer documents are cut; the first piece may be shorter.
+    A null or empty text is id 0 alone. Only longer documents are cut; the first piece may be shorter. A very long text
+    is encoded in one go, at about 4 bytes a token. Repeated rows and null ids stay; an empty table gives none.
     """
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_cut(path, capacity), PIECES)
 
@@ -187,8 +204,8 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -
 def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """parts (with doc_id, piece and length from 1 to capacity) with sequence_id and offset.
 
-    Places in a sequence are gapless from 0. Repeated rows are pieces of their own; null ids stay; an
-    empty table gives none. parts is read three times, so it should be cheap to read.
+    Places in a sequence are gapless from 0. Repeated rows are pieces of their own; null ids stay; columns named like
+    the results give way, all others stay; an empty table gives none. parts is read three times, so it should be cheap to read.
     """
     spark = parts.sparkSession
     histogram = {r.length: r.n for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
@@ -196,11 +213,13 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     keys = np.array([r.length << 44 | r.first for r in ranges], np.int64)
     place = spark.sparkContext.broadcast((keys, np.array(ranges, np.int64).reshape(-1, 5)))  # its size depends on capacity alone
     salts = max(256, sum(histogram.values()) // RANKED_TOGETHER)
-    dealt = parts.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
-    before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = dealt.groupBy("length", "salt").agg(F.count("*").alias("n")).select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    within = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece")) - 1
-    ranked = dealt.withColumn("within", within).join(sizes, ["length", "salt"]).withColumn("rank", F.col("within") + F.col("before"))
+    own = unused("_own_", parts)
+    salt, within, ahead, at, piece, size = (own + c for c in ("salt", "within", "ahead", "at", "piece", "size"))
+    dealt = parts.withColumns({size: F.col("length").cast("long"), salt: F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts))})
+    before = Window.partitionBy(size).orderBy(salt).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = dealt.groupBy(size, salt).agg(F.count("*").alias(piece)).select(size, salt, F.coalesce(F.sum(piece).over(before), F.lit(0)).alias(ahead))
+    number = F.row_number().over(Window.partitionBy(size, salt).orderBy("doc_id", "piece")) - 1
+    ranked = dealt.withColumn(within, number).join(sizes, [size, salt])
 
     @F.pandas_udf("sequence_id long, offset long")
     def placed(length, rank):
@@ -211,8 +230,9 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         at = rank.to_numpy() - first
         return pd.DataFrame({"sequence_id": sequence + at // bins, "offset": offset + at % bins * length.to_numpy()})
 
-    placed_at = placed.asNondeterministic()("length", "rank")  # so that it is evaluated once
-    return ranked.withColumn("placed", placed_at).select(*parts.columns, "placed.sequence_id", "placed.offset")
+    placed_at = placed.asNondeterministic()(size, F.col(within) + F.col(ahead))  # so that it is evaluated once
+    names = others(parts, ["sequence_id", "offset"])
+    return ranked.withColumn(at, placed_at).select(*names, f"{at}.sequence_id", f"{at}.offset")
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, Powers, crc_mod, joined, kept, labelled_sample, read, slices, span_hashes, words_of
+from .common import SPACE, Powers, crc_mod, joined, kept, labelled_sample, others, read, slices, span_hashes, words_of
 
 #: Labelled documents of each class that the field is trained on, at most.
 LEARNED_DOCS = 800
@@ -192,13 +192,14 @@ def quality(texts: pa.Array, model: Model) -> np.ndarray:
 
 
 def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
-    """docs with the probability of good quality as name; a column of docs with that name gives way, all rows stay.
+    """docs with the probability of good quality as name; a column of docs with that name (in any case) gives way, all rows stay.
 
-    A text that is null, empty or white space has no lines; its score is what the curve gives for even odds.
+    A text that is null, empty or white space has no lines; its score is what the curve gives for even odds. Repeated
+    texts get equal scores; one of any length is taken whole, at about 50 bytes of memory a byte. An empty table gives none.
     """
     from pyspark.sql import types as T
 
-    names = [c for c in docs.columns if c != name]
+    names = others(docs, [name])
     held = docs.sparkSession.sparkContext.broadcast(tuple(model))  # a few hundred numbers; a plain tuple, so that executors need no class
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc_mod, labelled_sample, read, slices
-from .grams import grams
+from .grams import character_grams
 
 #: Labelled documents of each class that the classifier is trained on, at most.
 LEARNED_DOCS = 2000
@@ -32,9 +32,8 @@ class Model(NamedTuple):
 
 def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """The buckets of the n-grams that text has, each once, ascending, with one plus the logarithm of how often."""
-    codes = np.sort(grams(text, SIZES, BITS))
-    first = np.flatnonzero(np.diff(codes, prepend=np.uint32(0xFFFFFFFF)) != 0)
-    return codes[first], 1 + np.log(np.diff(first, append=len(codes)))
+    codes, times = character_grams(text, SIZES, BITS)
+    return codes, 1 + np.log(times)
 
 
 def train(rows: list[tuple[str, int]], positive_share: float, steps: int = 300, ridge: float = 1e-5) -> Model:
