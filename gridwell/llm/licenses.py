@@ -107,7 +107,7 @@ def _pieces(docs: DataFrame, block: int) -> DataFrame:
     parts = F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(F.col("text"), i * size + 1, size + 1 + reach))
     counted = F.transform(parts, lambda p: F.struct(p.alias("text"), (F.regexp_count(F.substring(p, F.lit(2), size), F.lit(wordy + "+")) - p.rlike(f"^{wordy}{{2}}").cast("int")).alias("own")))
     listed = spaced.select("doc_id", F.length("text").alias("signs"), F.when(last > 0, counted).otherwise(F.array(F.struct(F.col("text"), F.lit(None).cast("int").alias("own")))).alias("parts"))
-    cut = listed.select("doc_id", "signs", F.transform("parts", lambda p: p["own"]).alias("counts"), F.posexplode("parts").alias("i", "part"))
+    cut = listed.withColumn("counts", F.transform("parts", lambda p: p["own"])).select("doc_id", "signs", "counts", F.posexplode("parts").alias("i", "part"))
     i, words = F.col("i"), _words(F.col("part.text"))
     torn_first, torn_last = F.col("part.text").rlike("^" + wordy).cast("int"), (i * size + size + 1 + reach < F.col("signs")).cast("int")
     whole = F.when(F.size("counts") == 1, words).otherwise(F.slice(words, torn_first + 1, F.greatest(F.size(words) - torn_first - torn_last, F.lit(0))))
