@@ -30,6 +30,10 @@ class Grid:
         return self.lat.start - self.pad, self.lat.stop + self.pad, self.lon.start - self.pad, self.lon.stop + self.pad
 
 
+#: The versions of the record: the whole grid, and its eastern half from 75 degrees on.
+VERSIONS = {"v2": Grid(), "v3": Grid(lon=Axis(75.0, 100.0, 0.25))}
+
+
 # The record's period and the products' coverage.
 RECORD = (dt.date(1993, 1, 1), dt.date(2024, 12, 15))
 COVERAGE = {
@@ -114,15 +118,27 @@ def is_leap(year: int) -> bool:
     return year % 4 == 0 and (year % 100 != 0 or year % 400 == 0)
 
 
-def year_bounds(year: int, product: str) -> tuple[dt.date, dt.date]:
-    """First and last day of year that product and record both have; the first is later if there are none."""
-    start, end = COVERAGE[product]
-    return max(dt.date(year, 1, 1), start, RECORD[0]), min(dt.date(year, 12, 31), end, RECORD[1])
+@dataclass(frozen=True)
+class Period:
+    """Days from first to last; none if last is before first."""
+
+    first: dt.date
+    last: dt.date
+
+    def __and__(self, other: Period) -> Period:
+        return Period(max(self.first, other.first), min(self.last, other.last))
+
+    def __len__(self) -> int:
+        return max(0, (self.last - self.first).days + 1)
+
+
+def covered(year: int, product: str) -> Period:
+    """The days of year that product and record both have."""
+    return Period(dt.date(year, 1, 1), dt.date(year, 12, 31)) & Period(*COVERAGE[product]) & Period(*RECORD)
 
 
 def expected_days(year: int, product: str) -> int:
-    first, last = year_bounds(year, product)
-    return max(0, (last - first).days + 1)
+    return len(covered(year, product))
 
 
 def norm_groups(filters: int, most: int = 8) -> int:

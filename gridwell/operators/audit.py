@@ -78,12 +78,14 @@ def value_profile(table: DataFrame, columns: Sequence[str], limit: float = 25.0)
 
 
 def year_audit(table: DataFrame, values: Sequence[str], least_finite: int, bounds: Mapping[str, tuple[float, float]]) -> DataFrame:
-    """For each year: days, first and last, repeated cells, finite values at least, and values beyond bounds."""
-    beyond = {f"{c}_beyond": F.count_if(~F.col(c).between(a, b)) for c, (a, b) in bounds.items()}
-    return table.groupBy("year").agg(
-        F.countDistinct("day").alias("days"), F.min("day").alias("first"), F.max("day").alias("last"), (F.count("*") - F.countDistinct("day", "lat_i", "lon_j")).alias("repeated"),
-        F.least(*[F.count(v) for v in values], F.lit(1 << 60)).alias("finite"), *[x.alias(c) for c, x in beyond.items()],
-    ).withColumn("enough", F.col("finite") > least_finite)
+    """For each year: days, first and last, repeated cells, finite values at least, and values beyond bounds. All rows are shuffled once."""
+    counts = {f"_{v}": F.count(v) for v in values} | {f"{c}_beyond": F.count_if(~F.col(c).between(a, b)) for c, (a, b) in bounds.items()}
+    totals = [F.sum(c).alias(c) for c in counts]
+    cells = table.groupBy("year", "day", "lat_i", "lon_j").agg(F.count("*").alias("n"), *[x.alias(c) for c, x in counts.items()])
+    days = cells.groupBy("year", "day").agg(F.sum("n").alias("n"), F.count("*").alias("cells"), *totals)
+    years = days.groupBy("year").agg(F.count("*").alias("days"), F.min("day").alias("first"), F.max("day").alias("last"), (F.sum("n") - F.sum("cells")).alias("repeated"), *totals)
+    found = years.withColumn("finite", F.least(*[F.col(f"_{v}") for v in values], F.lit(1 << 60))).drop(*[f"_{v}" for v in values])
+    return found.select("year", "days", "first", "last", "repeated", "finite", *[f"{c}_beyond" for c in bounds]).withColumn("enough", F.col("finite") > least_finite)
 
 
 def stats_plausibility(stats: DataFrame, bounds: DataFrame) -> DataFrame:
@@ -129,6 +131,30 @@ def changed_settings(spark: SparkSession, old: Mapping, new: Mapping) -> DataFra
     return spark.createDataFrame(rows, "name string, old string, new string")
 
 
+def file_problems(present: DataFrame, steps: DataFrame, shares: DataFrame, least: float = 0.05) -> DataFrame:
+    """What is wrong with present files, as rows (file, problem).
+
+    present: file, variable, kind (its type; only floating-point ones pass). steps: file, least, most, repeated, regular, as of
+    uneven_steps. shares: file, variable, first, last, the shares of finite values on the first and last day, of which
+    each should be least at least.
+    """
+    kinds = present.where(~F.col("kind").isin("float", "double")).select("file", F.concat("variable", F.lit(" is of type "), "kind").alias("problem"))
+    times = steps.select("file", F.when(F.col("repeated") > 0, F.lit("times repeat")).when(~F.col("regular"), F.lit("uneven steps")).alias("problem")).where("problem IS NOT NULL")
+    edge = F.explode(F.array(*[F.struct(F.lit(c).alias("edge"), F.col(c).alias("share")) for c in ("first", "last")]))
+    thin = shares.select("file", "variable", edge.alias("e")).where(F.coalesce(F.col("e.share"), F.lit(0.0)) < least)
+    word = F.when(F.coalesce(F.col("e.share"), F.lit(0.0)) == 0, F.lit(" day has no values of ")).otherwise(F.lit(" day has few values of "))
+    return kinds.unionByName(times).unionByName(thin.select("file", F.concat("e.edge", word, "variable").alias("problem")))
+
+
+def file_audit(planned: DataFrame, present: DataFrame, problems: DataFrame) -> DataFrame:
+    """Each file of planned (source, file) with status (missing, failed or ok) and its problems, sorted."""
+    there = present.select("file").distinct().withColumn("there", F.lit(True))
+    listed = problems.groupBy("file").agg(F.array_sort(F.collect_set("problem")).alias("problems"))
+    status = F.when(F.col("there").isNull(), "missing").when(F.col("problems").isNotNull(), "failed").otherwise("ok")
+    marked = planned.join(there, "file", "left").join(listed, "file", "left").withColumn("status", status)
+    return marked.select("source", "file", "status", F.when(F.col("there"), F.coalesce("problems", F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>")).alias("problems"))
+
+
 def files(table: DataFrame) -> DataFrame:
     """The Parquet files of table: name, rows, bytes, and the compression that the name tells."""
     name = F.col("_metadata.file_name")

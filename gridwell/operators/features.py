@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import Inputs
 from ..functions.scalars import season
+from . import splits
 
 
 def channel_names(inputs: Inputs) -> list[str]:
@@ -47,6 +48,11 @@ def split_climatology(both: Column, n: int) -> tuple[Column, Column]:
     return F.slice(both, 1, n), F.slice(both, n + 1, n)
 
 
+def datasets(samples: DataFrame, labelled: DataFrame, history: int) -> dict[str, DataFrame]:
+    """samples (t, x, y) of train, val and test, days with less history before them left out."""
+    return {name: samples.join(splits.split_rows(labelled, name, history).select("t"), "t", "left_semi") for name in splits.NAMES}
+
+
 def tensors(samples: DataFrame, size: int, function, schema: str) -> DataFrame:
     """function(batch of rows as pandas) on every batch: the edge to a learning library. samples have a column batch."""
 

@@ -93,14 +93,58 @@ def unmasked_cells(table: DataFrame, mask: DataFrame) -> DataFrame:
 
 
 def ocean_fractions(mask: DataFrame, columns: int) -> DataFrame:
-    """The share of ocean in the whole, in four ranges of columns with both edges in, and in the west and the east half."""
+    """The share of ocean in the whole, in four ranges of columns with both edges in, and in the west (up to the middle, which is east) and the east half."""
     share = F.avg(F.col("ocean").cast("double"))
-    edges = [(columns - 1) * k / 4 for k in range(5)]
-    parts = [("all", 0.0, columns - 1.0), *[(f"quarter{k + 1}", edges[k], edges[k + 1]) for k in range(4)], ("west", 0.0, edges[2]), ("east", edges[2], edges[4])]
-    tagged = mask.withColumn("part", F.explode(F.array(*[F.when(F.col("lon_j").between(a, b), F.lit(n)) for n, a, b in parts]))).where("part IS NOT NULL")
+    edges, j = [(columns - 1) * k / 4 for k in range(5)], F.col("lon_j")
+    parts = {"all": F.lit(True), **{f"quarter{k + 1}": j.between(edges[k], edges[k + 1]) for k in range(4)}, "west": j < edges[2], "east": j >= edges[2]}
+    tagged = mask.withColumn("part", F.explode(F.array(*[F.when(c, F.lit(n)) for n, c in parts.items()]))).where("part IS NOT NULL")
     return tagged.groupBy("part").agg(share.alias("share"), F.count("*").alias("cells"))
 
 
+def checked_mask(mask: DataFrame, columns: int, least: float = 0.1) -> DataFrame:
+    """mask, if each half has least of ocean; else an error, since the source then hardly covers the grid."""
+    thin = {r.part: r.share for r in ocean_fractions(mask, columns).where(F.col("part").isin("west", "east") & (F.col("share") < least)).collect()}  # two rows
+    if thin:
+        raise RuntimeError(f"a half of the grid is nearly all land: {thin}")
+    return mask
+
+
+def checked_overlap(binned: DataFrame) -> DataFrame:
+    """binned, if any row of a source is on the grid."""
+    if binned.isEmpty():
+        raise ValueError("the source doesn't overlap the grid")
+    return binned
+
+
+def complete(table: DataFrame, all_cells: DataFrame, days: DataFrame) -> DataFrame:
+    """table (day, lat_i, lon_j, values) with a row for every cell on every day of days; what has no source is null."""
+    places = all_cells.select("lat_i", "lon_j").crossJoin(days.select("day"))  # the size of the result
+    return places.join(table, ["day", "lat_i", "lon_j"], "left")
+
+
+def cropped(table: DataFrame, grid: Grid, to: Grid) -> DataFrame:
+    """Rows of table (lat_i, lon_j on grid) that are on the part to of it, with that part's numbers."""
+    i, j = (round((b.start - a.start) / a.step) for a, b in ((grid.lat, to.lat), (grid.lon, to.lon)))
+    moved = table.withColumns({"lat_i": (F.col("lat_i") - i).cast("int"), "lon_j": (F.col("lon_j") - j).cast("int")})
+    return moved.where(F.col("lat_i").between(0, to.lat.size - 1) & F.col("lon_j").between(0, to.lon.size - 1))
+
+
+def padding(size: int, multiple: int) -> tuple[int, int]:
+    """Rows before and behind that bring size to a multiple, the odd one before."""
+    lack = -size % multiple
+    return lack - lack // 2, lack // 2
+
+
+def padded(spark: SparkSession, grid: Grid, multiple: int) -> DataFrame:
+    """All places (pad_i, pad_j) of the grid padded to multiples, with the cell (lat_i, lon_j) that is there, null in the margin."""
+    (top, bottom), (left, right) = padding(grid.lat.size, multiple), padding(grid.lon.size, multiple)
+    rows = spark.range(top + grid.lat.size + bottom).select(F.col("id").cast("int").alias("pad_i"))
+    columns = spark.range(left + grid.lon.size + right).select(F.col("id").cast("int").alias("pad_j"))
+    i, j = F.col("pad_i") - top, F.col("pad_j") - left
+    inside = i.between(0, grid.lat.size - 1) & j.between(0, grid.lon.size - 1)
+    return rows.crossJoin(F.broadcast(columns)).withColumns({"lat_i": F.when(inside, i), "lon_j": F.when(inside, j)})  # as many rows as the padded grid
+
+
 def pair_mask(target: DataFrame) -> DataFrame:
     """target (lat_i, lon_j, depth_k, valid): pairs of a level and the next one that are both valid."""
     below = target.select("lat_i", "lon_j", (F.col("depth_k") - 1).alias("depth_k"), F.col("valid").alias("below"))

@@ -27,6 +27,27 @@ def search_ridge(samples: DataFrame, ridges: Sequence[float], seed: int = 42, x:
     return samples.sparkSession.createDataFrame([(float(r), float(m)) for r, m in zip(ridges, fit.validationMetrics, strict=True)], "ridge double, rmse double").orderBy("rmse")
 
 
+def search(settings: Sequence[dict], run, seconds: float, done: Sequence[dict] = ()) -> list[dict]:
+    """run(setting) for each of settings until seconds have gone by; done are trials of an earlier search, which aren't run again.
+
+    A trial is its setting with objective (None if it failed) and error. A trial that has begun is ended.
+    """
+    import time
+
+    trials, until = list(done), time.monotonic() + seconds
+    seen = [{k: v for k, v in t.items() if k not in ("objective", "error")} for t in done]
+    for setting in settings:
+        if setting in seen:
+            continue
+        if time.monotonic() >= until:
+            break
+        try:
+            trials.append(setting | {"objective": float(run(setting)), "error": ""})
+        except Exception as e:  # a failed trial doesn't end the search
+            trials.append(setting | {"objective": None, "error": f"{type(e).__name__}: {e}"})
+    return trials
+
+
 def best_setting(trials: DataFrame, objective: str, *ties: str) -> DataFrame:
     """The row of trials with the smallest objective, ties by ties; null and NaN objectives are failed trials. No completed trial, no row."""
     done = trials.where(F.col(objective).isNotNull() & ~F.isnan(F.col(objective).cast("double")))

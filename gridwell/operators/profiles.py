@@ -14,8 +14,16 @@ GOOD_PROFILE, GOOD_LEVEL = ("1",), ("1", "2")
 
 
 def _flag(table: DataFrame, name: str) -> Column:
-    """A flag column as text; "1" where the table lacks it or the row has none."""
-    return F.coalesce(F.trim(F.col(name).cast("string")), F.lit("1")) if name in table.columns else F.lit("1")
+    """A flag column as text, "" where the row has none (which passes nowhere); "1" where the table lacks the column."""
+    return F.coalesce(F.trim(F.col(name).cast("string")), F.lit("")) if name in table.columns else F.lit("1")
+
+
+def _used_flag(table: DataFrame, name: str, adjusted: Column) -> Column:
+    """The flag of the value that is used; without a column of adjusted flags the raw flag counts, without raw flags every level passes."""
+    raw, own = f"{name}_qc", f"{name}_adj_qc"
+    if raw not in table.columns or own not in table.columns:
+        return _flag(table, raw)
+    return F.when(adjusted, _flag(table, own)).otherwise(_flag(table, raw))
 
 
 def tidy_levels(raw: DataFrame, box: tuple[float, float, float, float] | None = None) -> DataFrame:
@@ -31,7 +39,7 @@ def tidy_levels(raw: DataFrame, box: tuple[float, float, float, float] | None =
     if {"pres_adj", "temp_adj"} <= set(raw.columns):
         adjusted = F.coalesce(F.col("data_mode").isin("D", "A") & finite(F.col("pres_adj")) & finite(F.col("temp_adj")), F.lit(False))
         pres, temp = (F.when(adjusted, F.col(f"{c}_adj")).otherwise(F.col(c)) for c in ("pres", "temp"))
-        pres_qc, temp_qc = (F.when(adjusted, _flag(raw, f"{c}_adj_qc")).otherwise(_flag(raw, f"{c}_qc")) for c in ("pres", "temp"))
+        pres_qc, temp_qc = (_used_flag(raw, c, adjusted) for c in ("pres", "temp"))
     else:
         adjusted, pres, temp = F.lit(False), F.col("pres"), F.col("temp")
         pres_qc, temp_qc = _flag(raw, "pres_qc"), _flag(raw, "temp_qc")

@@ -31,11 +31,11 @@ def level_metrics(rows: DataFrame, by: Sequence[str] = ("depth_k",)) -> DataFram
 
 
 def overall(metrics: DataFrame) -> DataFrame:
-    """All levels together: errors squared and the others linear, weighted by the number of cells."""
+    """All levels together: errors squared and the others linear, weighted by the number of cells; null where a level has none."""
     w = F.col("n_cells")
 
     def mean(x: Column) -> Column:
-        return F.sum(x * w) / F.sum(F.when(x.isNotNull(), w))
+        return F.when(F.count(x) == F.count("*"), F.sum(x * w) / F.sum(w))
 
     squared = {c: F.sqrt(mean(F.pow(c, 2))) for c in ("rmse", "rmse_clim")}
     linear = {c: mean(F.col(c)) for c in ("mae", "bias", "pearson_r", "anomaly_corr", "anom_sd_ratio", "skill")}
@@ -85,6 +85,12 @@ def combined_loss(rows: DataFrame, gate: DataFrame, valid_cells: int, pair_weigh
     return data.join(physics, "t", "left").select("t", (F.col("loss") + F.lit(float(penalty)) * F.coalesce("physics", F.lit(0.0))).alias("loss"))
 
 
+def bundle(rows: DataFrame, gate: DataFrame, scale: float = 1.0) -> DataFrame:
+    """One row of the metrics that training reports: mse, mae, rmse_scaled, n, and the shares of inversions among all and gated pairs."""
+    steps = level_steps(rows.select("t", "lat_i", "lon_j", "depth_k", "pred"), ("t", "lat_i", "lon_j"), ("pred",))
+    return pooled_errors(rows, scale).crossJoin(violations(steps, gate, ("pred",)).select("all_pairs", "gated"))  # a row each
+
+
 def pooled_errors(rows: DataFrame, scale: float = 1.0) -> DataFrame:
     """MSE, MAE and scaled RMSE over all rows: sums by counts, exact however rows are dealt."""
     e = F.col("pred") - F.col("truth")

@@ -62,8 +62,19 @@ def islands(days: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def uneven_steps(times: DataFrame, time: str, by: Sequence[str], allowed: Sequence[int] = (3600, 86400)) -> DataFrame:
     """For each by: rows, seconds between neighbours at least and at most, repeated times, and whether all steps are one of allowed."""
-    step = F.unix_seconds(F.col(time).cast("timestamp")) - F.unix_seconds(F.lag(F.col(time).cast("timestamp")).over(Window.partitionBy(*by).orderBy(time)))
-    out = times.withColumn("step", step).groupBy(*by).agg(F.count("*").alias("n"), F.min("step").alias("least"), F.max("step").alias("most"), (F.count("*") - F.countDistinct(time)).alias("repeated"))
+    at = F.col(time).cast("timestamp")
+    stretch = F.date_trunc("day", at)  # steps within a day are taken in many tasks, those between days from a row per day
+
+    def step(here: str, before: Column) -> Column:
+        return F.unix_seconds(F.col(here)) - F.unix_seconds(before)
+
+    inner = times.select(*by, at.alias("_at"), stretch.alias("_day")).withColumn("_before", F.lag("_at").over(Window.partitionBy(*by, "_day").orderBy("_at")))
+    daily = inner.groupBy(*by, "_day").agg(
+        F.count("*").alias("n"), F.min(step("_at", F.col("_before"))).alias("least"), F.max(step("_at", F.col("_before"))).alias("most"),
+        F.count_if(F.col("_at") == F.col("_before")).alias("repeated"), F.min("_at").alias("_first"), F.max("_at").alias("_last"),
+    )
+    between = step("_first", F.lag("_last").over(Window.partitionBy(*by).orderBy("_day")))
+    out = daily.withColumn("_step", between).groupBy(*by).agg(F.sum("n").alias("n"), F.least(F.min("least"), F.min("_step")).alias("least"), F.greatest(F.max("most"), F.max("_step")).alias("most"), F.sum("repeated").alias("repeated"))
     return out.withColumn("regular", F.coalesce((F.col("least") == F.col("most")) & F.col("least").isin(list(allowed)), F.lit(False)))
 
 
@@ -111,6 +122,17 @@ def destandardise(table: DataFrame, stats: Mapping[str, tuple[float, float]]) ->
     return table.withColumns({c: F.col(c) * F.lit(s) + F.lit(m) for c, (m, s) in stats.items() if c in table.columns})
 
 
+def input_anomalies(table: DataFrame, clim: Sequence[str], stats: Mapping[str, tuple[float, float]]) -> DataFrame:
+    """Variables that stats names as standardised anomalies: less {v}_clim, then by (mean, std); all others as they are. The columns of clim go."""
+    return table.withColumns({v: (F.col(v) - F.col(f"{v}_clim") - F.lit(m)) / F.lit(s) for v, (m, s) in stats.items()}).drop(*clim)
+
+
+def standardise_windows(table: DataFrame, stats: DataFrame, keys: Sequence[str] = ("w", "var"), value: str = "m") -> DataFrame:
+    """Trailing means (w, var, m) by the constants of their own window and variable; stats has a row (w, var, mean, std) for each."""
+    own = stats.select(*keys, F.col("mean").alias("_mean"), F.col("std").alias("_std"))
+    return table.join(F.broadcast(own), list(keys)).withColumn(value, (F.col(value) - F.col("_mean")) / F.col("_std")).drop("_mean", "_std")  # a row per window and variable
+
+
 def zero_filled(table: DataFrame, inputs: Sequence[str]) -> DataFrame:
     """Nulls and NaN of inputs as 0, after standardising; targets keep theirs."""
     return table.fillna(0.0, subset=list(inputs))
@@ -125,21 +147,24 @@ def doy_means(table: DataFrame, by: Sequence[str], value: str = "value") -> Data
 
 
 def thin_days(means: DataFrame, least: int = 5) -> DataFrame:
-    return means.groupBy("doy").agg(F.min("n").alias("n")).where(F.col("n") < least)
+    """Days of the year with fewer than least values in a cell, those without any row among them with 0."""
+    own = means.groupBy("doy").agg(F.min("n").alias("n"))
+    every = means.sparkSession.range(1, DAYS + 1).select(F.col("id").cast("int").alias("doy"))
+    return every.join(own, "doy", "left").withColumn("n", F.coalesce("n", F.lit(0))).where(F.col("n") < least)
 
 
 def circular_smooth(means: DataFrame, by: Sequence[str], half: int, value: str = "clim") -> DataFrame:
     """The mean over half days either way on the ring of 366 days; days without a row count as 0.
 
-    Each row adds its share to the days that it reaches, so it is one aggregation instead of a window over a padded ring.
+    A cell's days are gathered into one array, 366 numbers, and smoothed there: one shuffle, and no row for each day that another reaches.
     """
-    reach = F.transform(F.sequence(F.lit(-half), F.lit(half)), lambda d: F.pmod(F.col("doy") - 1 + d, F.lit(DAYS)) + 1)
-    spread = means.select(*by, F.col(value).alias("own"), F.explode(reach).alias("doy"))
-    smooth = spread.groupBy(*by, "doy").agg((F.sum("own") / F.lit(2 * half + 1)).alias(value))
-    if not by:
-        return smooth
-    every = means.select(*by).distinct().withColumn("doy", F.explode(F.sequence(F.lit(1), F.lit(DAYS))))
-    return every.join(smooth, [*by, "doy"], "left").withColumn(value, F.coalesce(value, F.lit(0.0)))
+    days = F.sequence(F.lit(1), F.lit(DAYS))
+    rings = means.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("doy", value))).alias("own"))
+    ring = F.transform(days, lambda d: F.coalesce(F.try_element_at("own", d), F.lit(0.0)))
+    # behind the ring its beginning again, and before it its end: the window of day d then starts at place d
+    rings = rings.where(F.size("own") > 0).withColumn("ring", ring).withColumn("ring", F.concat(F.slice("ring", DAYS - half + 1, half), "ring", F.slice("ring", 1, half)))
+    total = F.transform(days, lambda d: F.aggregate(F.slice("ring", d, F.lit(2 * half + 1)), F.lit(0.0), lambda a, x: a + x) / F.lit(2 * half + 1))
+    return rings.select(*by, F.posexplode(total).alias("doy", value)).withColumn("doy", F.col("doy") + 1)
 
 
 def seasonal_share(anom: DataFrame, whole: DataFrame, by: Sequence[str]) -> DataFrame:

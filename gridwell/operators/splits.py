@@ -24,9 +24,41 @@ def day_labels(days: DataFrame, mode: SplitMode, history: int = 0) -> DataFrame:
 
 
 def split_rows(labelled: DataFrame, name: str, history: int) -> DataFrame:
-    """Days of a split (or "any" of them) that have history days before them."""
-    chosen = F.col("split").isin(*NAMES) if name == "any" else F.col("split") == name
-    return labelled.where(chosen & (F.col("t") >= history))
+    """Days of a split that have history days before them; "any" has every such day, buffer days too."""
+    if name not in (*NAMES, "buffer", "any"):
+        raise KeyError(f"{name} is none of {[*NAMES, 'buffer', 'any']}")
+    return labelled.where((F.lit(name == "any") | (F.col("split") == name)) & (F.col("t") >= history))
+
+
+def split_of(labelled: DataFrame, days: DataFrame) -> DataFrame:
+    """days (t) with the split that each belongs to."""
+    return days.join(labelled.select("t", "split"), "t", "left")
+
+
+def checked_training(rows: DataFrame, mode: SplitMode) -> DataFrame:
+    """rows (with year), if none is of a held-out year; else an error that names the years."""
+    if leaked := sorted(r.year for r in rows.select("year").distinct().where(F.col("year").isin(mode.held)).collect()):  # a row per held-out year
+        raise RuntimeError(f"training rows of held-out years {leaked}")
+    return rows
+
+
+def reached(days: DataFrame, lags: Sequence[int], windows: Sequence[int] = ()) -> DataFrame:
+    """The days (t) that the inputs of days (t) are made of, each once."""
+    back = sorted({*lags, *(k for w in windows for k in range(w))})
+    return days.select(F.explode(F.array(*[F.col("t") - k for k in back])).alias("t")).distinct()
+
+
+def shared_days(**sets: DataFrame) -> DataFrame:
+    """For each two of the sets (of t): how many days both have."""
+    tagged = None
+    for name, days in sets.items():
+        own = days.select("t", F.lit(name).alias("name")).distinct()
+        tagged = own if tagged is None else tagged.unionByName(own)
+    names = list(sets)
+    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for i, a in enumerate(names) for b in names[i + 1 :]])
+    held = tagged.groupBy("t").agg(F.collect_set("name").alias("in")).select(F.explode(pairs).alias("p"), "in")
+    both = F.array_contains("in", F.col("p.a")) & F.array_contains("in", F.col("p.b"))
+    return held.groupBy("p.a", "p.b").agg(F.count_if(both).alias("shared"))
 
 
 def split_years(days: DataFrame, mode: SplitMode) -> DataFrame:

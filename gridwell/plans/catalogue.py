@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import ACTUAL_DEPTHS, COVERAGE, Axis, Grid, Inputs, expected_days
+from ..config import ACTUAL_DEPTHS, COVERAGE, Axis, Grid, Inputs
 from ..functions import scalars
 from ..operators import audit, features, grids, learning, profiles, scores, series, splits
 from ..sources import tables as sources
+from . import requests
 from . import tables as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,7 +112,7 @@ def q_land_mask(spark, sf_dir):
     return longs(_mask(spark, sf_dir))
 
 
-@query(f"""{MASK}, parts AS (SELECT * FROM (VALUES ('all', 0.0, 8.0), ('quarter1', 0.0, 2.0), ('quarter2', 2.0, 4.0), ('quarter3', 4.0, 6.0), ('quarter4', 6.0, 8.0), ('west', 0.0, 4.0), ('east', 4.0, 8.0)) p(part, a, b))
+@query(f"""{MASK}, parts AS (SELECT * FROM (VALUES ('all', 0.0, 8.0), ('quarter1', 0.0, 2.0), ('quarter2', 2.0, 4.0), ('quarter3', 4.0, 6.0), ('quarter4', 6.0, 8.0), ('west', 0.0, 3.0), ('east', 4.0, 8.0)) p(part, a, b))
     SELECT part, round(avg(CASE WHEN ocean THEN 1.0::DOUBLE ELSE 0.0 END), 4) AS share, count(*) AS cells FROM parts JOIN mask ON lon_j BETWEEN a AND b GROUP BY part""")
 def q_ocean_fraction(spark, sf_dir):
     return rounded(grids.ocean_fractions(_mask(spark, sf_dir), 9))
@@ -212,9 +213,11 @@ def q_doy_climatology(spark, sf_dir):
     return longs(rounded(series.doy_means(T.split_cube(spark, sf_dir).where("split = 'train'"), series.CELL)))
 
 
-@query("SELECT CAST(doy AS BIGINT) AS doy, min(n) AS n FROM doym GROUP BY doy HAVING min(n) < 3")
+@query("""SELECT CAST(d AS BIGINT) AS doy, CAST(COALESCE(min(n), 0) AS BIGINT) AS n FROM (SELECT unnest(range(1, 367)) AS d)
+    LEFT JOIN (SELECT lat_i, lon_j, doy, count(*) AS n FROM cube WHERE split = 'train' AND doy NOT BETWEEN 200 AND 209 GROUP BY ALL) ON d = doy GROUP BY d HAVING COALESCE(min(n), 0) < 3""")
 def q_thin_days(spark, sf_dir):
-    return longs(series.thin_days(series.doy_means(T.split_cube(spark, sf_dir).where("split = 'train'"), series.CELL), 3))
+    train = T.split_cube(spark, sf_dir).where("split = 'train' AND doy NOT BETWEEN 200 AND 209")  # ten days of the year have no row
+    return longs(series.thin_days(series.doy_means(train, series.CELL), 3))
 
 
 @query("SELECT CAST(lat_i AS BIGINT) AS lat_i, CAST(lon_j AS BIGINT) AS lon_j, CAST(doy AS BIGINT) AS doy, round(clim, 4) AS clim FROM smooth")
@@ -293,15 +296,22 @@ def q_split_blocks(spark, sf_dir):
     return longs(splits.blocks(_labelled(spark, sf_dir)))
 
 
-@query("SELECT split, count(*) AS n, CAST(min(t) AS BIGINT) AS first, CAST(max(t) AS BIGINT) AS last FROM labelled WHERE split IN ('train', 'val', 'test') AND t >= 89 GROUP BY split")
+@query("SELECT split, count(*) AS n, CAST(min(t) AS BIGINT) AS first, CAST(max(t) AS BIGINT) AS last FROM labelled WHERE t >= 89 GROUP BY split")
 def q_split_indices(spark, sf_dir):
     chosen = splits.split_rows(_labelled(spark, sf_dir), "any", Inputs().history)
     return longs(chosen.groupBy("split").agg(F.count("*").alias("n"), F.min("t").alias("first"), F.max("t").alias("last")))
 
 
-@query("SELECT * FROM (VALUES ('train', 'val', 0::BIGINT), ('train', 'test', 0::BIGINT), ('val', 'test', 0::BIGINT)) x(a, b, shared)")
+_REACHED = "SELECT DISTINCT unnest([t, t - 3, t - 7]) AS t FROM marked WHERE own = '{}' AND t >= 7"
+
+
+@query(f""", r AS (SELECT 'train' AS s, t FROM ({_REACHED.format("train")}) UNION ALL SELECT 'val', t FROM ({_REACHED.format("val")}) UNION ALL SELECT 'test', t FROM ({_REACHED.format("test")}))
+    SELECT a.s AS a, b.s AS b, count(CASE WHEN a.t = b.t THEN 1 END) AS shared FROM r a JOIN r b ON (a.s, b.s) IN (('train', 'val'), ('train', 'test'), ('val', 'test')) AND a.t = b.t GROUP BY ALL""")
 def q_split_leakage(spark, sf_dir):
-    return splits.overlaps(_labelled(spark, sf_dir))
+    """Days that the inputs of two splits share where no buffer parts them."""
+    labelled = _labelled(spark, sf_dir, T.PLAIN_MODE)
+    reached = {s: splits.reached(splits.split_rows(labelled, s, 7), (0, 3, 7)) for s in splits.NAMES}
+    return splits.shared_days(**reached).where("shared > 0")
 
 
 @query("SELECT split, count(*) AS n, min(day) AS first, max(day) AS last FROM labelled GROUP BY split")
@@ -341,19 +351,18 @@ def q_profile_ids(spark, sf_dir):
     return longs(profiles.profiles(_levels(spark, sf_dir), ("platform", "cycle")))
 
 
-@query("""SELECT prof_key, round(depth_m, 4) AS depth_m, CAST(depth_k AS BIGINT) AS depth_k, round(truth, 4) AS grid_value
-    FROM (SELECT *, CAST(floor((lat - 5.0 + 0.125) / 0.25) AS INTEGER) % 8 AS li, CAST(floor((lon - 50.0 + 0.125) / 0.25) AS INTEGER) % 8 AS lj, CASE WHEN depth_m <= 150 THEN 0 WHEN depth_m <= 500 THEN 1 ELSE 2 END AS depth_k FROM deep) d
-    JOIN (SELECT lat_i, lon_j, depth_k, truth FROM predictions WHERE t = 1996 * 12 + 3) USING (depth_k) WHERE li = lat_i AND lj = lon_j""")
+#: Eight by eight cells over the levels' places, as the stand-in has.
+COARSE = Grid(Axis(5.0, 26.0, 3.0), Axis(50.0, 102.5, 7.5))
+
+
+@query("""SELECT prof_key, round(depth_m, 4) AS depth_m, CAST(d.depth_k AS BIGINT) AS depth_k, round(c.value, 4) AS grid_value
+    FROM (SELECT *, CAST(floor((lat - 5.0 + 1.5) / 3.0) AS INTEGER) AS li, CAST(floor((lon - 50.0 + 3.75) / 7.5) AS INTEGER) AS lj, CASE WHEN depth_m <= 150 THEN 0 WHEN depth_m <= 500 THEN 1 ELSE 2 END AS depth_k FROM deep) d
+    JOIN (SELECT t % 5 AS n, lat_i, lon_j, depth_k, avg(truth) AS value FROM predictions GROUP BY ALL) c ON c.depth_k = d.depth_k AND li = lat_i AND lj = lon_j AND CAST(floor(juld) AS INTEGER) = 27028 + n""")
 def q_argo_colocate(spark, sf_dir):
-    grid = Grid()
-    year = T.predictions(spark, sf_dir).where(F.col("t") == 1996 * 12 + 3).select("lat_i", "lon_j", "depth_k", F.col("truth").alias("value"))
-    # the stand-in has 8 by 8 cells and no days, so it is laid out over the grid and the days that the levels have
-    levels = _levels(spark, sf_dir)
-    days = levels.select(F.to_date("time").alias("day")).distinct()
-    wide = grids.cells(spark, grid).select(F.col("lat_i").alias("i"), F.col("lon_j").alias("j"))
-    cube = year.join(wide, (F.col("i") % 8 == F.col("lat_i")) & (F.col("j") % 8 == F.col("lon_j"))).select(F.col("i").alias("lat_i"), F.col("j").alias("lon_j"), "depth_k", "value")
-    cube = cube.join(F.broadcast(days), F.lit(True))  # a row per day of the stand-in
-    met = profiles.colocated(levels, cube, grid, [0.0, 300.0, 700.0])
+    """Levels beside the mean of all months of the stand-in, dealt to the five days that the levels have."""
+    day = F.date_add(F.lit("1950-01-01").cast("date"), F.lit(27028) + F.col("t") % 5)
+    cube = T.predictions(spark, sf_dir).groupBy(day.alias("day"), "lat_i", "lon_j", "depth_k").agg(F.avg("truth").alias("value"))
+    met = profiles.colocated(_levels(spark, sf_dir), cube, COARSE, [0.0, 300.0, 700.0])
     return longs(rounded(met.select("prof_key", "depth_m", "depth_k", "grid_value")))
 
 
@@ -442,7 +451,7 @@ def q_depth_metrics(spark, sf_dir):
 _LINEAR = ["mae", "bias", "pearson_r", "anomaly_corr", "anom_sd_ratio", "skill"]
 
 
-@query(f"SELECT CAST(sum(n_cells) AS BIGINT) AS n_cells, {', '.join(f'round(sqrt(sum({c} * {c} * n_cells) / sum(n_cells)), 4) AS {c}' for c in ('rmse', 'rmse_clim'))}, {', '.join(f'round(sum({c} * n_cells) / sum(n_cells), 4) AS {c}' for c in _LINEAR)} FROM metrics")
+@query(f"SELECT CAST(sum(n_cells) AS BIGINT) AS n_cells, {', '.join(f'round(sqrt(sum({c} * {c} * n_cells) / sum(n_cells)), 4) AS {c}' for c in ('rmse', 'rmse_clim'))}, {', '.join(f'round(CASE WHEN count({c}) = count(*) THEN sum({c} * n_cells) / sum(n_cells) END, 4) AS {c}' for c in _LINEAR)} FROM metrics")
 def q_overall_metrics(spark, sf_dir):
     return rounded(scores.overall(scores.level_metrics(T.predictions(spark, sf_dir))))
 
@@ -568,13 +577,8 @@ _PRODUCTS = ["glorys", "oisst", "sla", "sss"]
 @query("""SELECT product, CAST(y AS BIGINT) AS year, depth, row_number() OVER (ORDER BY CASE product WHEN 'glorys' THEN 0 ELSE 1 END, product, y, depth) AS place
     FROM (SELECT unnest(range(2020, 2025)) AS y), (SELECT 'glorys' AS product, unnest([0.494025, 5.0, 10.0])::DOUBLE AS depth UNION ALL SELECT unnest(['oisst', 'sla', 'sss']), NULL)""")
 def q_download_plan(spark, sf_dir):
-    years = spark.range(2020, 2025).select(F.col("id").cast("int").alias("year"))
-    nominal = F.when(F.col("product") == "glorys", F.array(F.lit(0), F.lit(5), F.lit(10))).otherwise(F.array(F.lit(None).cast("int")))
-    plan = years.withColumn("product", F.explode(F.array(*map(F.lit, _PRODUCTS)))).withColumn("nominal", F.explode(nominal)).withColumn("depth", scalars.level_depth(F.col("nominal")))
-    days = F.create_map(*[F.lit(x) for p in _PRODUCTS for y in range(2020, 2025) for x in (f"{p}{y}", expected_days(y, p))])
-    plan = plan.where(days[F.concat("product", F.col("year").cast("string"))] > 0)
-    place = F.row_number().over(Window.orderBy((F.col("product") != "glorys").cast("int"), "product", "year", F.col("depth").asc_nulls_first()))
-    return longs(plan.select("product", "year", "depth", place.alias("place")))
+    plan = requests.plan(spark, _PRODUCTS, range(2020, 2025), {"glorys": [0, 5, 10]})
+    return longs(plan.select("product", "year", "depth", "place"))
 
 
 @query("SELECT CAST(k AS BIGINT) AS depth_k, count(*) AS n FROM (SELECT arg_min(k, abs(m - x)) AS k FROM (SELECT l_orderkey, l_linenumber, l_quantity * 20.0 AS x, row_number() OVER () AS r FROM lineitem), (SELECT unnest(range(0, 15)) AS k, unnest([" + ", ".join(map(str, ACTUAL_DEPTHS)) + "])::DOUBLE AS m) GROUP BY r) GROUP BY k")
@@ -606,3 +610,6 @@ def q_flagship(spark, sf_dir):
     own = series.running_mean(T.cube_anomalies(spark, sf_dir), series.CELL, 30).where(F.col("t") >= 29)
     rows = own.select("year", "t", F.col("anom").alias("truth"), F.col("rm30").alias("pred"), F.lit(0.0).alias("clim"))
     return longs(rounded(scores.level_metrics(rows, ["year"]).select("year", F.col("n_cells").alias("n"), "rmse_clim", "rmse", "skill")))
+
+
+from . import assembly  # noqa: E402, F401  registers the rest of the catalogue

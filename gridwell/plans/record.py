@@ -2,7 +2,11 @@
 
 mask -> regridded years -> statistics of training days -> one record. Each phase is a table under one folder
 with a note of the settings that it was made with; a phase is made anew if the note differs or an
-earlier phase was. All that needs the driver are the statistics, a row per variable.
+earlier phase was. All that needs the driver are the statistics, a row per variable, and the days.
+
+What would silently shrink or spoil the record is refused: sources without a common day, gaps in the common days, years that
+are shorter than expected, a half of the grid without ocean, statistics over held-out years, and a buffer between
+splits that is shorter than the inputs' history. Every cell has a row on every day.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import Axis, Grid, SplitMode
+from ..config import RECORD, Axis, Grid, SplitMode
 from ..operators import grids, series, splits
 from ..sources import tables
 
@@ -59,9 +63,15 @@ class Record:
     #: The variable whose first day makes the mask; inputs are zero-filled, the others are targets.
     mask_variable: str = "thetao_0m"
     inputs: Sequence[str] = ()
+    #: Days that inputs reach back, which a buffer between splits must not be shorter than.
+    history: int = 0
+    #: How many days a year must have; without it, years are only held to have no gaps.
+    expected: Callable[[int], int] | None = None
+    #: The share of ocean that each half of the grid must have.
+    least_ocean: float = 0.0
 
     def _settings(self) -> str:
-        own = {"products": {k: [p.path, dict(p.columns), p.how, str(p.lat), str(p.lon)] for k, p in sorted(self.products.items())}, "mode": str(self.mode), "grid": str(self.grid), "mask": self.mask_variable, "inputs": list(self.inputs)}
+        own = {"products": {k: [p.path, dict(p.columns), p.how, str(p.lat), str(p.lon)] for k, p in sorted(self.products.items())}, "mode": str(self.mode), "grid": str(self.grid), "mask": self.mask_variable, "inputs": list(self.inputs), "history": self.history}
         return hashlib.sha256(json.dumps(own, sort_keys=True).encode()).hexdigest()
 
     def _made(self, phase: str) -> bool:
@@ -98,25 +108,40 @@ class Record:
     def mask(self) -> DataFrame:
         product = next(p for p in self.products.values() if self.mask_variable in p.columns.values())
         table = tables.read_product(self.spark, product.path, product.columns, grid=self.grid)
-        return grids.land_mask(grids.with_bins(table, self.grid), grids.cells(self.spark, self.grid), self.mask_variable)
+        binned = grids.checked_overlap(grids.with_bins(table, self.grid))
+        mask = grids.land_mask(binned, grids.cells(self.spark, self.grid), self.mask_variable)
+        return grids.checked_mask(mask, self.grid.lon.size, self.least_ocean) if self.least_ocean else mask
+
+    def days(self) -> DataFrame:
+        """The common days of all products within the record's period, if they have no gaps and years are as long as expected."""
+        own = [tables.read_product(self.spark, p.path, p.columns, grid=self.grid).select("day") for p in self.products.values()]
+        days = series.common_days(*own, first=RECORD[0], last=RECORD[1])
+        held = sorted(r.day for r in days.collect())  # a row per day
+        days = series.checked_days(self.spark.createDataFrame([(d,) for d in held], "day date"))
+        if self.expected:
+            found = {y: sum(d.year == y for d in held) for y in sorted({d.year for d in held})}
+            if short := {y: (n, self.expected(y)) for y, n in found.items() if n != self.expected(y)}:
+                raise ValueError(f"years with other numbers of days than expected: {short}")
+        return days
 
     def years(self) -> DataFrame:
         """All products on their common days, masked; one plan for all years."""
         parts = [self.gridded(n) for n in self.products]
-        days = series.common_days(*parts)
+        days = self.days()
         out = parts[0]
         for part in parts[1:]:
             out = out.join(part, ["day", "lat_i", "lon_j"], "full")
-        return grids.apply_mask(series.align(out, days), self.read("mask"), self.variables())
+        whole = grids.complete(out, grids.cells(self.spark, self.grid), days)
+        return grids.apply_mask(whole, self.read("mask"), self.variables())
 
     def _labelled(self, table: DataFrame) -> DataFrame:
         first, last = table.agg(F.min("day"), F.max("day")).first()
-        days = splits.day_labels(series.calendar(self.spark, first, last), self.mode)
-        return table.join(days.select("day", "t", "doy", "split"), "day")  # a row per day, which Spark broadcasts while it is small
+        days = splits.day_labels(series.calendar(self.spark, first, last), self.mode, self.history)
+        return table.drop("year").join(days.select("day", "t", "year", "doy", "split"), "day")  # a row per day, which Spark broadcasts while it is small
 
     def stats(self) -> DataFrame:
         """Mean and deviation of each variable over the ocean's training days."""
-        train = self._labelled(self.read("years")).where("split = 'train'")
+        train = splits.checked_training(self._labelled(self.read("years")).where("split = 'train'"), self.mode)
         return series.moments(series.long_form(train, [], self.variables()), ["var"])
 
     def record(self) -> DataFrame:

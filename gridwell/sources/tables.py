@@ -70,7 +70,32 @@ def write_metrics(table: DataFrame, path: str) -> None:
 
 
 def merged_stats(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """old with new's values where new has the key, and new's other rows."""
-    values = [c for c in new.columns if c not in keys]
+    """old with new's values where new has the key and a value, and new's other rows; columns that only one has stay."""
+    values = dict.fromkeys(c for c in (*old.columns, *new.columns) if c not in keys)
     both = old.alias("o").join(new.alias("n"), list(keys), "full_outer")
-    return both.select(*keys, *[F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}") if c in old.columns else F.lit(None)).alias(c) for c in values])
+    return both.select(*keys, *[F.coalesce(*[F.col(f"{side}.{c}") for side, table in (("n", new), ("o", old)) if c in table.columns]).alias(c) for c in values])
+
+
+def write_stats(stats: DataFrame, path: str) -> None:
+    """stats (var and its constants) as one JSON file {var: {constant: value}}, as read_stats takes it; what other keys the file has stays."""
+    import json
+
+    spark = stats.sparkSession
+    rows = {r["var"]: {k: v for k, v in r.asDict().items() if k != "var" and v is not None} for r in stats.collect()}  # a row per variable
+    try:
+        old = json.loads("\n".join(r.value for r in spark.read.option("wholetext", "true").text(path).collect()) or "{}")
+    except Exception as e:  # no such file
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        old = {}
+    merged = json.dumps(old | {k: old.get(k, {}) | v for k, v in rows.items()}, sort_keys=True)
+    spark.range(1).select(F.lit(merged).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_window_stats(spark: SparkSession, path: str) -> DataFrame:
+    """Constants (w, var, mean, std) of a JSON file that has them as {"windows": {w: {var: {mean, std}}}}; none where it has no windows."""
+    import json
+
+    held = json.loads("\n".join(r.value for r in spark.read.option("wholetext", "true").text(path).collect()) or "{}").get("windows", {})
+    rows = [(int(w), v, float(s["mean"]), float(s["std"])) for w, of in held.items() for v, s in of.items()]
+    return spark.createDataFrame(rows, "w int, var string, mean double, std double")
