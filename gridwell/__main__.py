@@ -66,7 +66,7 @@ def record(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
 
 def split(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     """The days of each split of the whole record."""
-    return splits.summary(splits.day_labels(series.calendar(spark, *RECORD), split_mode(args.mode), Inputs().history))
+    return splits.summary(splits.day_labels(series.calendar(spark, *RECORD), split_mode(args.mode), args.history))
 
 
 def evaluate(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
@@ -86,10 +86,10 @@ def parser() -> argparse.ArgumentParser:
     for run in (plan, verify):
         own = commands.add_parser(run.__name__, help=run.__doc__)
         own.add_argument("--products", nargs="+", choices=sorted(COVERAGE), default=["glorys", "oisst", "sla", "sss"])
-        own.add_argument("--years", nargs="+", type=int, default=list(range(RECORD[0].year, RECORD[1].year + 1)))
+        own.add_argument("--years", nargs="+", default=list(range(RECORD[0].year, RECORD[1].year + 1)))
         own.add_argument("--depths", nargs=2, type=float, metavar=("LEAST", "MOST"))
         own.set_defaults(run=run)
-    own.add_argument("folder")
+    own.add_argument("folder", nargs="?", help="may follow the years")
     own.add_argument("--all", action="store_true", help="files without problems too")
     own = commands.add_parser("record", help=record.__doc__)
     own.add_argument("products")
@@ -102,6 +102,7 @@ def parser() -> argparse.ArgumentParser:
     own.set_defaults(run=record)
     own = commands.add_parser("splits", help=split.__doc__)
     own.add_argument("--mode", default="chronological")
+    own.add_argument("--history", type=int, default=0, help="days that inputs reach back; a shorter buffer is refused")
     own.set_defaults(run=split)
     own = commands.add_parser("evaluate", help=evaluate.__doc__)
     own.add_argument("predictions")
@@ -110,8 +111,23 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
+def arguments(argv: Sequence[str] | None) -> argparse.Namespace:
+    """The parsed arguments; a folder that follows a list of years is taken from its end."""
+    top = parser()
+    args = top.parse_args(argv)
+    if args.command == "verify" and args.folder is None:
+        if len(args.years) < 2:
+            top.error("verify needs a folder")
+        args.folder = str(args.years.pop())
+    if args.command in ("plan", "verify"):
+        if not all(str(y).isdigit() for y in args.years):
+            top.error(f"years must be whole numbers: {args.years}")
+        args.years = [int(y) for y in args.years]
+    return args
+
+
 def main(argv: Sequence[str] | None = None) -> int:
-    args = parser().parse_args(argv)
+    args = arguments(argv)
     spark = SparkSession.builder.appName("gridwell").getOrCreate()
     rows = args.run(spark, args).collect()  # a plan, a report or a summary
     for row in rows:

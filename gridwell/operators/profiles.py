@@ -19,11 +19,11 @@ def _flag(table: DataFrame, name: str) -> Column:
 
 
 def _used_flag(table: DataFrame, name: str, adjusted: Column) -> Column:
-    """The flag of the value that is used; without a column of adjusted flags the raw flag counts, without raw flags every level passes."""
+    """The flag of the value that is used; where an adjusted value has none, the raw flag counts, and without raw flags every level passes."""
     raw, own = f"{name}_qc", f"{name}_adj_qc"
     if raw not in table.columns or own not in table.columns:
         return _flag(table, raw)
-    return F.when(adjusted, _flag(table, own)).otherwise(_flag(table, raw))
+    return F.when(adjusted & F.col(own).isNotNull(), _flag(table, own)).otherwise(_flag(table, raw))
 
 
 def tidy_levels(raw: DataFrame, box: tuple[float, float, float, float] | None = None) -> DataFrame:
