@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,3 +82,13 @@ def test_stage_leaves_one_row_of_repeated_and_null_ids(spark):
     rows = [(1, a, "s"), (1, a, "s"), (1, a, None), (2, b, "s"), (2, c, "s"), (3, c + " end", "s"), (None, a, "s"), (None, a, "s"), (None, a + " end", "s"), (1, b, "s")]
     left = P.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), SMALL).collect()
     assert sorted((str(r.doc_id), r.text[0]) for r in left) == [("1", "a"), ("1", "b"), ("2", "c"), ("None", "a")]
+
+
+def test_counts_bound_what_sets_share():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 40, 3000):
+        u, v = (np.unique(rng.integers(-(2**63), 2**63 - 1, n)) for _ in range(2))
+        v = np.unique(np.concatenate([v, u[: n // 2]]))
+        assert np.minimum(nearcopies.counts(u), nearcopies.counts(v)).sum() >= len(np.intersect1d(u, v))
+        assert nearcopies.counts(u).sum() == n
+    assert nearcopies.counts(np.arange(nearcopies.MOST + 1) * nearcopies.BUCKETS) is None
