@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import licenses, repeats, topk
+from . import licenses, manifest, repeats, topk
 from .bpe import op10_bpe
 from .language import op8_language
 from .licenses import op7_licenses
+from .manifest import op13_manifest
 from .media import op1_media_columns
 from .packing import op5_packing
 from .quality import op2_quality
@@ -18,11 +19,11 @@ from .toxicity import op4_toxicity
 def queries() -> dict:
     import corpus_pipeline
 
-    operators = (op1_media_columns, op2_quality, op3_topk, op4_toxicity, op5_packing, op6_simhash, op7_licenses, op8_language, op9_repeats, op10_bpe)
+    operators = (op1_media_columns, op2_quality, op3_topk, op4_toxicity, op5_packing, op6_simhash, op7_licenses, op8_language, op9_repeats, op10_bpe, op13_manifest)
     return {f.__name__: f for f in operators} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    return licenses.ORACLES | repeats.ORACLES | topk.ORACLES | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return licenses.ORACLES | manifest.ORACLES | repeats.ORACLES | topk.ORACLES | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
