@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import licenses, manifest, repeats, topk
 from .alignment import op12_alignment
 from .bpe import op10_bpe
+from .jaccard import op11_jaccard
 from .language import op8_language
 from .licenses import op7_licenses
 from .manifest import op13_manifest
@@ -20,7 +21,7 @@ from .toxicity import op4_toxicity
 def queries() -> dict:
     import corpus_pipeline
 
-    operators = (op1_media_columns, op2_quality, op3_topk, op4_toxicity, op5_packing, op6_simhash, op7_licenses, op8_language, op9_repeats, op10_bpe, op12_alignment, op13_manifest)
+    operators = (op1_media_columns, op2_quality, op3_topk, op4_toxicity, op5_packing, op6_simhash, op7_licenses, op8_language, op9_repeats, op10_bpe, op11_jaccard, op12_alignment, op13_manifest)
     return {f.__name__: f for f in operators} | {"pipeline": corpus_pipeline.run}
 
 
