@@ -53,9 +53,14 @@ def read_stats(spark: SparkSession, path: str) -> DataFrame:
     return table.select(F.explode(F.array(*[F.struct(F.lit(c).alias("var"), F.col(f"`{c}`.mean").cast("double").alias("mean"), F.col(f"`{c}`.std").cast("double").alias("std")) for c in table.columns])).alias("s")).select("s.*")
 
 
+def replace_parts(table: DataFrame, path: str, *parts: str) -> None:
+    """table partitioned by its columns parts; parts that it has replace what is there, others stay."""
+    table.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(*parts).parquet(path)
+
+
 def write_years(table: DataFrame, path: str) -> None:
     """table, which has a column year, by year; years that it has replace what is there, others stay."""
-    table.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("year").parquet(path)
+    replace_parts(table, path, "year")
 
 
 def append(table: DataFrame, path: str) -> None:
