@@ -17,7 +17,6 @@ further comparison, so a large class of near copies costs about a comparison a n
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, read, shared_folder, slices, written
+from .common import kept, mix, read, shared_folder, slices, written
 from .components import components
 from .nearcopies import _checked, _lists, shingles
 
@@ -41,13 +40,16 @@ MARKS = "row long, doc_id long, hash long, high long, low long, n int, least lon
 LINKS = "u long, v long"
 
 
-@cache
 def _bands(percent: int) -> np.ndarray:
     """The least size of each band; a set is similar to sets of its own band, the next and the one before at most."""
-    edges = [1]
-    while edges[-1] < 1 << 40:
-        edges.append(100 * edges[-1] // percent + 1)
-    return np.array(edges, np.int64)
+
+    def made() -> np.ndarray:
+        edges = [1]
+        while edges[-1] < 1 << 40:
+            edges.append(100 * edges[-1] // percent + 1)
+        return np.array(edges, np.int64)
+
+    return kept(("bands of sizes", percent), made)
 
 
 def _parts(scheme: int, percent: int) -> tuple[int, int]:
@@ -91,6 +93,7 @@ class Group:
     """The members of a group and its row of the matrix."""
 
     def __init__(self, members: list[tuple[int, np.ndarray]]) -> None:
+        self.held = [own for _, own in members]
         self.nodes = np.array([node for node, _ in members], np.int64)
         self.sizes = np.array([len(own) for _, own in members], np.int64)
         tokens = np.concatenate([own for _, own in members])
@@ -98,6 +101,14 @@ class Group:
         self.tokens, self.member = tokens[order], np.repeat(np.arange(len(members)), self.sizes)[order]
         self.union = np.unique(tokens)
 
+    def roots(self, percent: int) -> np.ndarray:
+        """For each member the first of those that links within the group reach."""
+        root = np.arange(len(self.nodes))
+        for i in range(len(root)):
+            met = root[self.matches(self.held[i], percent)]  # the member itself among them
+            root[np.isin(root, met)] = met.min()
+        return self.nodes[root]
+
     def matches(self, own: np.ndarray, percent: int) -> np.ndarray:
         """Which members are similar enough to own; if the union hasn't enough of own's tokens, no member is looked at."""
         at = np.minimum(np.searchsorted(self.union, own), len(self.union) - 1)
@@ -150,19 +161,13 @@ def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def _inside(percent: int):
-    """Links that connect what similar members of a group connect; rows are sorted by group."""
+    """Each member of a group with the first of those that links within the group reach, if it is another; rows are sorted by group and node."""
 
     def linked(members: list[tuple[int, np.ndarray]]) -> list[tuple[int, int]]:
         if len(members) < 2:
             return []
-        own, root, found = Group(members), list(range(len(members))), []
-        for i, (node, tokens) in enumerate(members):
-            for j in own.matches(tokens, percent).tolist():
-                if root[i] != root[j]:
-                    found.append((node, members[j][0]))
-                    old, new = root[i], root[j]
-                    root = [new if r == old else r for r in root]
-        return found
+        own = Group(members)
+        return [(int(u), int(v)) for u, v in zip(own.nodes, own.roots(percent), strict=True) if u != v]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, members = None, []
@@ -179,10 +184,10 @@ def _inside(percent: int):
 
 
 def _opened(percent: int):
-    """Links of queries (kind 1) with members (kind 0) of their group; rows are sorted by group, salt and kind, and one group is held."""
+    """Queries (kind 1) with the roots of the members (kind 0) of their group that they are similar to; rows are sorted by group, salt, kind and node, and one group is held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, members, own, found = None, [], None, []
+        key, members, own, roots, found = None, [], None, None, []
         for group, kind, node, tokens in _arrays(batches):
             if group != key:
                 key, members, own = group, [], None
@@ -191,8 +196,9 @@ def _opened(percent: int):
                 continue
             if own is None and members:
                 own = Group(members)
+                roots = own.roots(percent)
             if own is not None:
-                found += [(node, int(own.nodes[j])) for j in own.matches(tokens, percent)]
+                found += [(node, int(v)) for v in np.unique(roots[own.matches(tokens, percent)])]
             if len(found) > 10_000:
                 yield _pairs(found)
                 found = []
@@ -203,12 +209,12 @@ def _opened(percent: int):
 
 
 def _open(queries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (u, v) of queries (node, group) with the members of the groups."""
+    """Queries (node, group) as u with v, the roots within the group of the members that they are similar to."""
     queries = written(queries)
     copies = written(queries.groupBy("group").agg(F.ceil(F.count("*") / QUERIES).alias("copies")))
     asked = queries.join(copies, "group").join(sets.select("node", "own"), "node").select("group", F.pmod(F.xxhash64("node"), "copies").alias("salt"), F.lit(1).alias("kind"), "node", "own")
     held = sets.join(copies, "group").select("group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("salt"), F.lit(0).alias("kind"), "node", "own")
-    return asked.unionByName(held).repartition("group", "salt").sortWithinPartitions("group", "salt", "kind").mapInArrow(_opened(percent), LINKS)
+    return asked.unionByName(held).repartition("group", "salt").sortWithinPartitions("group", "salt", "kind", "node").mapInArrow(_opened(percent), LINKS)
 
 
 def _near(n: str, low: str, high: str, percent: int) -> str:
@@ -216,7 +222,7 @@ def _near(n: str, low: str, high: str, percent: int) -> str:
 
 
 def links(marks: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links (u, v) of nodes (row of the first text with a set) that connect all nodes whose sets are similar enough; marks is a written table of docs."""
+    """Pairs (u, v) of nodes (row of the first text with a set) that connect exactly the nodes that similar sets connect; marks is a written table of docs."""
     alike = marks.where("n > 0").groupBy("high", "low").agg(F.min("row").alias("node"), F.count("*").alias("times")).where("times > 1")
     again = _checked(marks.select("row", "high", "low").join(alike, ["high", "low"]).where("row != node").select("row"))
     nodes = marks.where("n > 0").join(again, "row", "left_anti").withColumnRenamed("row", "node")
@@ -231,23 +237,29 @@ def links(marks: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFr
     sets = texts.mapInArrow(_sets(words), "high long, low long, own array<long>").join(known.select("high", "low", "node", "group"), ["high", "low"])
     sets = written(sets.select("node", "group", "own"))
 
-    inside = sets.withColumns({"salt": F.lit(0), "kind": F.lit(0)}).repartition("group").sortWithinPartitions("group")
-    found = written(inside.mapInArrow(_inside(percent), LINKS))
+    inside = sets.withColumns({"salt": F.lit(0), "kind": F.lit(0)}).repartition("group").sortWithinPartitions("group", "node")
+    inside = written(inside.mapInArrow(_inside(percent), LINKS))
 
-    def rooted() -> DataFrame:
-        """Entries with the root of what is linked so far, of signatures that several roots have."""
-        roots = components(found).select(F.col("u").alias("node"), F.col("v").alias("root"))
+    def rooted(roots: DataFrame) -> DataFrame:
+        """Entries with the root of their node, of signatures that several roots have; roots has nodes whose root is another."""
         own = known.select("node", "group").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         every = written(shared.join(own, "node"))
-        open_ones = every.groupBy("sign").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.min(F.struct("n", "node", "root", "group")).alias("lead")).where("a != b")
-        return every.join(open_ones.select("sign", "lead"), "sign")
-
-    led = rooted().where("root != lead.root AND group != lead.group").where(_near("n", "lead.n", "lead.n", percent)).select("node", F.col("lead.group").alias("group")).distinct()
-    found = written(found.unionByName(_open(led, sets, percent)))
-    left = written(rooted().drop("lead"))
+        several = every.groupBy("sign").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.min(F.struct("n", "node", "root", "group")).alias("lead")).where("a != b")
+        return every.join(several.select("sign", "lead"), "sign")
+
+    first = inside.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    led = rooted(first).where("root != lead.root AND group != lead.group").where(_near("n", "lead.n", "lead.n", percent)).select("node", F.col("lead.group").alias("group")).distinct()
+    led = written(_open(led, sets, percent))
+    # a root that is linked with others points to one of them, and on to where that one points: what has one root then is connected, which is all that is asked here
+    point = led.join(first, F.col("u") == F.col("node"), "left").select(F.coalesce("root", "u").alias("root"), "v").where("root != v").groupBy("root").agg(F.min("v").alias("to"))
+    point = written(point)
+    second = known.select("node").join(first, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    for _ in range(2):
+        second = second.join(point, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    left = written(rooted(second).drop("lead"))
     by_group = left.groupBy("sign", F.col("group").alias("other")).agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("root").alias("a"), F.max("root").alias("b"))
     rest = left.join(by_group, "sign").where("group < other AND NOT (a = root AND b = root)").where(_near("n", "low", "high", percent))
-    return found.unionByName(_open(rest.select("node", F.col("other").alias("group")).distinct(), sets, percent))
+    return inside.unionByName(led).unionByName(_open(rest.select("node", F.col("other").alias("group")).distinct(), sets, percent))
 
 
 def similar_texts(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
