@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import SplitMode
+from . import permutation
 
 NAMES = ("train", "val", "test")
 
@@ -96,11 +97,9 @@ def buffer_distance(labelled: DataFrame) -> DataFrame:
     return labelled.select("t", "split", F.least(F.col("t") - before, behind - F.col("t")).alias("distance")).where("split = 'buffer'")
 
 
-def batches(rows: DataFrame, size: int, seed: int | None = None) -> DataFrame:
-    """rows (t) with place and batch, by t or in an order that seed fixes."""
-    order = [F.xxhash64(F.col("t"), F.lit(seed)), F.col("t")] if seed is not None else [F.col("t")]
-    placed = rows.withColumn("place", F.row_number().over(Window.orderBy(*order)) - 1)
-    return placed.withColumn("batch", F.floor(F.col("place") / size).cast("int"))
+def batches(rows: DataFrame, size: int, seed: int | None = None, epoch: int = 0) -> DataFrame:
+    """rows (t) with place and batch, by t or in an order that seed and epoch fix."""
+    return permutation.batches(rows, size, seed, epoch).withColumn("batch", F.col("batch").cast("int"))
 
 
 def sampled(rows: DataFrame, n: int, keys: Sequence[str], seed: int = 42) -> DataFrame:

@@ -1,12 +1,16 @@
-"""Queries on how a record is laid out and read: blocks of days, shuffled batches, chosen days, requests and profile files."""
+"""Queries on how a record is laid out and read: blocks of days, shuffled batches, picked days, requests and profile files."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from ..operators import series, trailing
+from ..config import Inputs
+from ..operators import permutation, series, splits, trailing
+from ..sources import tables as sources
 from . import tables as T
-from .catalogue import _rm, longs, query, rounded
+from .catalogue import _labelled, _rm, longs, query, rounded
 
 BLOCK = 64
 
@@ -16,3 +20,50 @@ def q_running_means_by_block(spark, sf_dir):
     """Both windows in one pass over blocks of 64 days and their halos."""
     own = trailing.running_means(T.cube_anomalies(spark, sf_dir), series.CELL, (30, 90), size=BLOCK)
     return longs(rounded(own.select("day", "lat_i", "lon_j", F.col("rm30") + 0.0, F.col("rm90") + 0.0).toDF("day", "lat_i", "lon_j", "rm30", "rm90")))
+
+
+SEED, EPOCH, BATCH = 7, 3, 16
+
+
+def _walk_sql(source: str) -> str:
+    """y of source (i, y, n, columns, rows) moved once by the rounds of the order."""
+    inner = f"SELECT i, n, columns, rows, y // columns AS l, y % columns AS r FROM {source}"
+    for k, (a, b, c, d) in enumerate(permutation.Permutation(1, SEED, EPOCH).rounds):
+        half, to, side = ("r", "l", "rows") if k % 2 == 0 else ("l", "r", "columns")
+        line = f"(({half} * {a} + {b}) % {permutation.PRIME})"
+        moved = f"({to} + (({line} * {line}) % {permutation.PRIME} * {c} + {d}) % {permutation.PRIME}) % {side} AS {to}"
+        inner = f"SELECT i, n, columns, rows, {half}, {moved} FROM ({inner})"
+    return f"SELECT i, l * columns + r AS y, n, columns, rows FROM ({inner})"
+
+
+_SHUFFLED = f"""
+    picked AS (SELECT t, row_number() OVER (ORDER BY t) - 1 AS i FROM labelled WHERE split = 'train' AND t >= 89),
+    size AS (SELECT count(*) AS n, CAST(pow(2, length(bin(count(*) - 1)) // 2) AS BIGINT) AS columns FROM picked),
+    walk AS ({_walk_sql("(SELECT i, i AS y, n, columns, (n + columns - 1) // columns AS rows FROM picked, size)")} UNION ALL {_walk_sql("(SELECT * FROM walk WHERE y >= n)")})"""
+
+
+def _train_days(spark, sf_dir):
+    return splits.split_rows(_labelled(spark, sf_dir), "train", Inputs().history)
+
+
+@query(f", {_SHUFFLED} SELECT CAST(t AS BIGINT) AS t, y AS place, y // {BATCH} AS batch FROM walk JOIN picked USING (i) WHERE y < n", recursive=True)
+def q_shuffled_batches(spark, sf_dir):
+    """Training days in the order of an epoch, without a sort."""
+    return longs(splits.batches(_train_days(spark, sf_dir).select("t"), BATCH, SEED, EPOCH))
+
+
+@query(f", {_SHUFFLED} SELECT y // {BATCH} AS batch, y AS place, CAST(t AS BIGINT) AS t FROM walk JOIN picked USING (i) WHERE y < n AND y // {BATCH} IN (0, 5, 40)", recursive=True)
+def q_batch_members(spark, sf_dir):
+    """What three batches of the epoch hold, found from their numbers alone."""
+    days = permutation.numbered(_train_days(spark, sf_dir).select("t"))
+    return longs(permutation.members(spark, days.count(), BATCH, [0, 5, 40], SEED, EPOCH).join(days, "number").select("batch", "place", "t"))
+
+
+@query("SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, CAST(l_shipdate AS DATE) AS day, l_quantity FROM lineitem WHERE CAST(l_shipdate AS DATE) IN (SELECT day FROM labelled WHERE split = 'train' AND t % 97 < 2)")
+def q_days_gathered(spark, sf_dir):
+    """Lines of some days of a split, from files that are laid out by day."""
+    folder = f"{sources.scratch(spark)}/by-day-{uuid.uuid4().hex}"
+    lines = T.read(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), F.to_date("l_shipdate").alias("day"), "l_quantity")
+    sources.write_by_day(lines, folder)
+    days = _labelled(spark, sf_dir).where("split = 'train' AND t % 97 < 2").select("day").collect()  # days of a calendar
+    return sources.read_days(spark, folder, [r.day for r in days])

@@ -18,13 +18,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
+def query(sql: str | None = None, recursive: bool = False):
     """Registers a function as a query by its name; sql may use the tables of tables.SQL."""
 
     def register(f):
         QUERIES[f.__name__] = f
         if sql is not None:
-            ORACLES[f.__name__] = f"WITH {T.SQL.strip()} {sql}"
+            ORACLES[f.__name__] = f"WITH {'RECURSIVE ' * recursive}{T.SQL.strip()} {sql}"
         return f
 
     return register

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import datetime as dt
+import tempfile
+from collections.abc import Iterable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,6 +56,17 @@ def read_stats(spark: SparkSession, path: str) -> DataFrame:
     return table.select(F.explode(F.array(*[F.struct(F.lit(c).alias("var"), F.col(f"`{c}`.mean").cast("double").alias("mean"), F.col(f"`{c}`.std").cast("double").alias("std")) for c in table.columns])).alias("s")).select("s.*")
 
 
+def scratch(spark: SparkSession) -> str:
+    """The folder for tables of a run: spark.checkpoint.dir, which a cluster shares; only a local session without one gets its own."""
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        named = context.getConf().get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="scratch-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
 def replace_parts(table: DataFrame, path: str, *parts: str) -> None:
     """table partitioned by its columns parts; parts that it has replace what is there, others stay."""
     table.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(*parts).parquet(path)
@@ -68,6 +82,37 @@ def append(table: DataFrame, path: str) -> None:
     table.write.mode("append").parquet(path)
 
 
+def write_by_day(table: DataFrame, path: str, group_bytes: int = 8 << 20) -> None:
+    """table (with day) for access by days: a folder a year, files of ranges of days, rows sorted by day in small row groups, whose statistics tell which days they hold."""
+    sorted_rows = table.withColumn("year", F.year("day")).repartitionByRange("year", "day").sortWithinPartitions("year", "day")
+    sorted_rows.write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", group_bytes).partitionBy("year").parquet(path)
+
+
+def day_ranges(days: Iterable[dt.date], most: int = 64) -> list[tuple[dt.date, dt.date]]:
+    """Ranges (first and last) that cover days; at most so many, by closing the smallest gaps."""
+    held = sorted(set(days))
+    if not held:
+        return []
+    gaps = sorted(((b - a).days, i) for i, (a, b) in enumerate(zip(held, held[1:], strict=False)))
+    cuts = sorted(i for days_apart, i in gaps[-(most - 1) :] if days_apart > 1) if most > 1 else []
+    starts, ends = [0, *(i + 1 for i in cuts)], [*cuts, len(held) - 1]
+    return [(held[a], held[b]) for a, b in zip(starts, ends, strict=True)]
+
+
+def read_days(spark: SparkSession, path: str, days: Sequence[dt.date], most: int = 64) -> DataFrame:
+    """The rows of these days, as many as a batch or a split has, of what write_by_day left at path.
+
+    Ranges of days reach the scan, and years its folders, so other files and row groups aren't read; a join by day keeps the days themselves.
+    """
+    table, ranges = spark.read.parquet(path), day_ranges(days, most)
+    if not ranges:
+        return table.where(F.lit(False)).drop("year")
+    within = [F.col("day").between(F.lit(a), F.lit(b)) for a, b in ranges]
+    held = table.where(F.col("year").isin(sorted({d.year for d in days}))).where(reduce(lambda a, b: a | b, within))
+    asked = spark.createDataFrame([(d,) for d in sorted(set(days))], "day date")
+    return held.drop("year").join(F.broadcast(asked), "day", "left_semi")  # a row per day that the caller named
+
+
 def write_metrics(table: DataFrame, path: str) -> None:
     """table as CSV and JSON under path."""
     table.write.mode("overwrite").option("header", "true").csv(f"{path}/csv")

@@ -1,11 +1,13 @@
 """Blocks, batches, chosen days, requests and files against plain Python."""
 
+import datetime as dt
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from gridwell.operators import series, trailing
+from gridwell.operators import permutation, series, trailing
+from gridwell.sources import tables
 
 
 def series_of(rng, cells, days, share):
@@ -61,3 +63,65 @@ def test_long_series_is_many_groups(spark):
     assert "SinglePartition" not in plan and plan.count("Window") >= 1
     whole = series.running_mean(table, ["cell"], 90).select("t", "rm90")
     assert trailing.running_means(table, ["cell"], (90,), size=50).select("t", "rm90").exceptAll(whole).count() == 0
+
+
+def test_every_number_has_its_place(spark):
+    for n in (1, 2, 3, 5, 16, 17, 100, 1023, 5000):
+        for epoch in (0, 1):
+            order = permutation.Permutation(n, 9, epoch)
+            own = spark.range(n).select("id", order.place(F.col("id")).alias("place"))
+            got = own.withColumn("back", order.number(F.col("place"))).collect()
+            assert sorted(r.place for r in got) == list(range(n))
+            assert all(r.back == r.id for r in got)
+    first, second, other = ([r.p for r in spark.range(1000).select(permutation.Permutation(1000, s, e).place(F.col("id")).alias("p")).collect()] for s, e in ((9, 0), (9, 1), (8, 0)))
+    assert first != second != other != first
+    assert abs(sum((p - 499.5) * (i - 499.5) for i, p in enumerate(first))) < 0.2 * sum((i - 499.5) ** 2 for i in range(1000))
+
+
+def test_batches_of_any_epoch_without_one_task_for_all_rows(spark):
+    rows = spark.createDataFrame([(t,) for t in range(0, 9000, 3)], "t int")
+    own = permutation.batches(rows, 16, seed=3, epoch=5)
+    assert sorted(r.place for r in own.collect()) == list(range(3000))
+    assert {r["count"] for r in own.groupBy("batch").count().collect()} == {16, 8}
+    asked = permutation.members(spark, 3000, 16, [0, 100, 187], 3, 5).join(permutation.numbered(rows), "number").select("batch", "place", "t")
+    want = own.where("batch IN (0, 100, 187)").select("batch", "place", "t")
+    assert asked.exceptAll(want).count() == want.exceptAll(asked).count() == 0
+    assert permutation.batches(rows.where("false"), 4, 1).count() == 0
+    plan = permutation.batches(rows, 16, seed=3)._jdf.queryExecution().executedPlan().toString()
+    alone = plan[plan.index("Exchange SinglePartition") :].split("\n")[1]
+    assert plan.count("SinglePartition") == 1 and "HashAggregate(keys=[_groupingexpression" in alone  # a row per stretch
+
+
+def scanned(table):
+    """Rows that the scan gave, and files that it read."""
+    table.collect()
+    leaves = table._jdf.queryExecution().executedPlan().collectLeaves()
+    scan = [leaves.apply(i) for i in range(leaves.size())]
+    metrics = [s.metrics() for s in scan if "FileScan" in s.toString()]
+    return tuple(sum(m.apply(k).value() for m in metrics) for k in ("numOutputRows", "numFiles"))
+
+
+def test_days_are_read_by_ranges(spark, tmp_path):
+    first = dt.date(2000, 1, 1)
+    table = spark.range(400_000).select(F.date_add(F.lit(first), (F.col("id") * 7919 % 1400).cast("int")).alias("day"), F.col("id"), F.rand(1).alias("x"))
+    tables.write_by_day(table, str(tmp_path / "t"), 64 << 10)
+    days = [dt.date(2001, 3, 1), dt.date(2001, 3, 2), dt.date(2002, 12, 31)]
+    for most in (64, 1):
+        own = tables.read_days(spark, str(tmp_path / "t"), days, most)
+        assert own.count() == table.where(F.col("day").isin(days)).count()
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows, files = scanned(tables.read_days(spark, str(tmp_path / "t"), days))
+        _, every = scanned(spark.read.parquet(str(tmp_path / "t")))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert rows < 400_000 / 5 and files < every
+    assert tables.read_days(spark, str(tmp_path / "t"), []).count() == 0
+
+
+def test_ranges_of_days_close_the_smallest_gaps():
+    d = [dt.date(2000, 1, k) for k in (1, 2, 3, 7, 20, 21)]
+    assert tables.day_ranges(d) == [(d[0], d[2]), (d[3], d[3]), (d[4], d[5])]
+    assert tables.day_ranges(d, 2) == [(d[0], d[3]), (d[4], d[5])]
+    assert tables.day_ranges(d, 1) == [(d[0], d[5])]
+    assert tables.day_ranges([]) == []
