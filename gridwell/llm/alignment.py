@@ -30,6 +30,15 @@ ALIGNED = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links lon
 SCORED = "row long, n_best long, count_sum long, pairs array<long>, times array<long>"
 
 
+#: Signs after an id: another of its side, its side's last in the group, the group's last.
+COMMA, BAR, SEMICOLON = range(3)
+
+
+def signed_names(n: int) -> np.ndarray:
+    """The ids below n as text, with each of the signs behind them."""
+    return np.array([[f"{i}{sign}" for i in range(n)] for sign in ",|;"], object)
+
+
 class Coder:
     """Both vocabularies with the bytes of every token."""
 
@@ -38,11 +47,11 @@ class Coder:
 
         self.a_path = vocabulary(a_path, "byte_bpe_50k.json")
         self.a, self.b = byte_tokenizer(a_path), sentencepiece.SentencePieceProcessor(model_file=vocabulary(b_path, "piece_bpe_32k.model"))
-        self.a_bytes = [self._a_token(i) for i in range(self.a.n_vocab)]
+        a_bytes = [self._a_token(i) for i in range(self.a.n_vocab)]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        self.a_lengths, self.b_lengths = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
-        self.names = [str(i) for i in range(max(len(self.a_bytes), len(self.b_bytes)))]
+        self.a_lengths, self.b_lengths = (np.array([len(x) for x in t], np.int64) for t in (a_bytes, self.b_bytes))
+        self.names = signed_names(max(len(a_bytes), len(self.b_bytes)))
 
     def _a_token(self, i: int) -> bytes:
         try:
@@ -71,24 +80,21 @@ class Coder:
         if b"".join([self.b_bytes[i] for i in b]) != data:
             return None
         a = self.encode_a(" " + text)
-        return (a, np.array(b, np.int64)) if b"".join([self.a_bytes[i] for i in a.tolist()]) == data else None
+        # bytes are all that A has, so it can leave some out but not change them
+        return (a, np.array(b, np.int64)) if int(self.a_lengths[a].sum()) == len(data) else None
 
 
 def cuts(a_ends: list[int], b_ends: list[int]) -> tuple[list[int], list[int]]:
     """How many tokens of each side are before the end of each group; the last ends are equal."""
-    i = j = 0
+    j, y = 0, b_ends[0]
     a_cuts, b_cuts = [], []
-    while i < len(a_ends):
-        x, y = a_ends[i], b_ends[j]
-        if x < y:
-            i += 1
-        elif y < x:
-            j += 1
-        else:
-            i += 1
+    for i, x in enumerate(a_ends, 1):
+        while y < x:
             j += 1
+            y = b_ends[j]
+        if y == x:
             a_cuts.append(i)
-            b_cuts.append(j)
+            b_cuts.append(j + 1)
     return a_cuts, b_cuts
 
 
@@ -101,19 +107,18 @@ class Links(NamedTuple):
     times: np.ndarray
 
 
-def linked(a: np.ndarray, b: np.ndarray, a_lengths: np.ndarray, b_lengths: np.ndarray, names: list[str]) -> Links:
-    """The groups and links of two encodings of the same bytes."""
-    a_cuts, b_cuts = cuts(np.cumsum(a_lengths[a]).tolist(), np.cumsum(b_lengths[b]).tolist())
-    a_names, b_names = [names[i] for i in a.tolist()], [names[i] for i in b.tolist()]
-    parts, i, j = [], 0, 0
-    for x, y in zip(a_cuts, b_cuts, strict=True):
-        if x == i + 1 and y == j + 1:
-            parts.append(f"{a_names[i]}|{b_names[j]}")
-        else:
-            parts.append(f"{','.join(a_names[i:x])}|{','.join(b_names[j:y])}")
-        i, j = x, y
-    a_from, b_from = (np.array([0, *c[:-1]], np.int64) for c in (a_cuts, b_cuts))
-    a_n, b_n = np.array(a_cuts, np.int64) - a_from, np.array(b_cuts, np.int64) - b_from
+def linked(a: np.ndarray, b: np.ndarray, a_lengths: np.ndarray, b_lengths: np.ndarray, names: np.ndarray) -> Links:
+    """The groups and links of two encodings of the same bytes; names has, for each of the signs after an id, all ids with it."""
+    a_cuts, b_cuts = (np.array(c, np.int64) for c in cuts(np.cumsum(a_lengths[a]).tolist(), np.cumsum(b_lengths[b]).tolist()))
+    a_from, b_from = (np.concatenate([np.zeros(1, np.int64), c[:-1]]) for c in (a_cuts, b_cuts))
+    a_n, b_n = a_cuts - a_from, b_cuts - b_from
+    # all ids in order, A's before B's in each group, with the sign that follows each
+    text = np.empty(len(a) + len(b), object)
+    a_sign, b_sign = np.full(len(a), COMMA), np.full(len(b), COMMA)
+    a_sign[a_cuts - 1], b_sign[b_cuts - 1] = BAR, SEMICOLON
+    text[np.arange(len(a)) + np.repeat(b_from, a_n)] = names[a_sign, a]
+    text[np.arange(len(b)) + np.repeat(a_cuts, b_n)] = names[b_sign, b]
+    groups = "".join(text.tolist())[:-1]
     size = a_n * b_n
     listed = np.where(size <= WIDE, size, 0)
     group = np.repeat(np.arange(len(size)), listed)
@@ -130,7 +135,7 @@ def linked(a: np.ndarray, b: np.ndarray, a_lengths: np.ndarray, b_lengths: np.nd
         pairs, back = np.unique(np.concatenate(found), return_inverse=True)
         times = np.zeros(len(pairs), np.int64)
         np.add.at(times, back, np.concatenate(weights))
-    return Links(";".join(parts), len(parts), pairs, times)
+    return Links(groups, len(a_cuts), pairs, times)
 
 
 def _align(a_path: str | None, b_path: str | None):

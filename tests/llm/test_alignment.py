@@ -87,7 +87,7 @@ def test_wide_groups_count_like_listed_ones(monkeypatch):
     lengths_b = np.append(lengths_b, total - int(lengths_b[b].sum()))
     if lengths_b[-1]:
         b = np.append(b, 4)
-    names = [str(i) for i in range(10)]
+    names = A.signed_names(10)
     listed = A.linked(a, b, lengths_a, lengths_b, names)
     monkeypatch.setattr(A, "WIDE", 1)
     wide = A.linked(a, b, lengths_a, lengths_b, names)
