@@ -8,7 +8,8 @@ these are dealt again by another hash.
 
 Nodes that share signatures are partitioned into groups: by the least token of their sets (which similar sets share as often as
 they are similar), and at most about 64 in one group. A group's row of the matrix is the union of its
-members' tokens. A query meets the groups of nodes that share a signature with it; no member can have more in common with it than the
+members' tokens. Tokens that no other group has count for nothing between groups, so a node with many of these has no match outside its
+own. All others meet, as queries, the groups of nodes that share a signature with them; no member can have more in common with a query than the
 union has, so a group is opened, and its members are compared, only if that overlap is large enough. Nodes of a
 group are held against each other first, then all nodes of a signature against the group of one of them, and what links these already needs no
 further comparison, so a large class of near copies costs about a comparison a node. Groups with many queries are dealt to many tasks.
@@ -217,8 +218,10 @@ def _open(queries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return asked.unionByName(held).repartition("group", "salt").sortWithinPartitions("group", "salt", "kind", "node").mapInArrow(_opened(percent), LINKS)
 
 
-def _near(n: str, low: str, high: str, percent: int) -> str:
-    return f"100 * {high} >= {percent} * {n} AND {percent} * {low} <= 100 * {n}"
+def _near(low: str, high: str, held: str, percent: int) -> str:
+    """Whether a node (n tokens, held of them in several groups) can be similar to one of another group, of low to high tokens and at most so many held."""
+    sizes = f"100 * {high} >= {percent} * n AND {percent} * {low} <= 100 * n"
+    return f"{sizes} AND {100 + percent} * least(held, {held}) >= {percent} * (n + {low})"
 
 
 def links(marks: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -237,28 +240,34 @@ def links(marks: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFr
     sets = texts.mapInArrow(_sets(words), "high long, low long, own array<long>").join(known.select("high", "low", "node", "group"), ["high", "low"])
     sets = written(sets.select("node", "group", "own"))
 
+    # tokens that a single group has can't be in common with another group's members
+    tokens = sets.select("node", "group", F.explode("own").alias("token"))
+    several = tokens.groupBy("token").agg(F.min("group").alias("a"), F.max("group").alias("b")).where("a != b").select("token")
+    held = tokens.join(several, "token").groupBy("node").agg(F.count("*").alias("held"))
+    outside = written(known.select("node", "group", "n").join(held, "node").where(f"100 * held >= {percent} * n").select("node", "group", "held"))
+
     inside = sets.withColumns({"salt": F.lit(0), "kind": F.lit(0)}).repartition("group").sortWithinPartitions("group", "node")
     inside = written(inside.mapInArrow(_inside(percent), LINKS))
 
     def rooted(roots: DataFrame) -> DataFrame:
         """Entries with the root of their node, of signatures that several roots have; roots has nodes whose root is another."""
-        own = known.select("node", "group").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        own = outside.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         every = written(shared.join(own, "node"))
-        several = every.groupBy("sign").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.min(F.struct("n", "node", "root", "group")).alias("lead")).where("a != b")
-        return every.join(several.select("sign", "lead"), "sign")
+        met = every.groupBy("sign").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.min(F.struct("n", "node", "root", "group", "held")).alias("lead")).where("a != b")
+        return every.join(met.select("sign", "lead"), "sign")
 
     first = inside.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    led = rooted(first).where("root != lead.root AND group != lead.group").where(_near("n", "lead.n", "lead.n", percent)).select("node", F.col("lead.group").alias("group")).distinct()
+    led = rooted(first).where("root != lead.root AND group != lead.group").where(_near("lead.n", "lead.n", "lead.held", percent)).select("node", F.col("lead.group").alias("group")).distinct()
     led = written(_open(led, sets, percent))
     # a root that is linked with others points to one of them, and on to where that one points: what has one root then is connected, which is all that is asked here
     point = led.join(first, F.col("u") == F.col("node"), "left").select(F.coalesce("root", "u").alias("root"), "v").where("root != v").groupBy("root").agg(F.min("v").alias("to"))
     point = written(point)
-    second = known.select("node").join(first, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    second = outside.select("node").join(first, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
     for _ in range(2):
         second = second.join(point, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
     left = written(rooted(second).drop("lead"))
-    by_group = left.groupBy("sign", F.col("group").alias("other")).agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("root").alias("a"), F.max("root").alias("b"))
-    rest = left.join(by_group, "sign").where("group < other AND NOT (a = root AND b = root)").where(_near("n", "low", "high", percent))
+    by_group = left.groupBy("sign", F.col("group").alias("other")).agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("held").alias("most"), F.min("root").alias("a"), F.max("root").alias("b"))
+    rest = left.join(by_group, "sign").where("group < other AND NOT (a = root AND b = root)").where(_near("low", "high", "most", percent))
     return inside.unionByName(led).unionByName(_open(rest.select("node", F.col("other").alias("group")).distinct(), sets, percent))
 
 
