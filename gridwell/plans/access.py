@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..config import Inputs
 from ..operators import permutation, series, splits, trailing
+from ..sources import subset
 from ..sources import tables as sources
 from . import tables as T
 from .catalogue import _labelled, _rm, longs, query, rounded
@@ -67,3 +68,36 @@ def q_days_gathered(spark, sf_dir):
     sources.write_by_day(lines, folder)
     days = _labelled(spark, sf_dir).where("split = 'train' AND t % 97 < 2").select("day").collect()  # days of a calendar
     return sources.read_days(spark, folder, [r.day for r in days])
+
+
+def _archive(path: str):
+    """An archive that holds the lines of a table: it reads what a request asks for, in a process of its own."""
+
+    def fetch(request: dict):
+        import datetime as dt
+
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        import pyarrow.dataset as ds
+
+        first, last = (dt.datetime.fromisoformat(request[k]) for k in ("start", "end"))
+        lines = ds.dataset(path)
+        at = pc.field("l_shipdate").cast(pa.timestamp("us"))
+        table = lines.to_table(columns=["l_shipdate", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity"], filter=(at >= first) & (at <= last))
+        lat, lon = (pc.cast(pc.subtract(table[c], pc.multiply(pc.divide(table[c], 24), 24)), pa.float64()) for c in ("l_partkey", "l_suppkey"))
+        out = pa.table({"day": pc.cast(table["l_shipdate"], pa.date32()), "lat": lat, "lon": lon, "depth": pc.cast(table["l_linenumber"], pa.float64()), "quantity": pc.cast(table["l_quantity"], pa.float64())})
+        south, north, west, east = (request[k] for k in ("south", "north", "west", "east"))
+        here = (pc.field("lat") >= south) & (pc.field("lat") <= north) & (pc.field("lon") >= west) & (pc.field("lon") <= east)
+        return out.filter(here & (pc.field("depth") == request["least"]))
+
+    return fetch
+
+
+@query("""SELECT CAST(l_shipdate AS DATE) AS day, CAST(l_linenumber AS DOUBLE) AS depth, count(*) AS n, sum(CAST(l_quantity AS DOUBLE)) AS quantity FROM lineitem
+    WHERE CAST(l_shipdate AS DATE) BETWEEN DATE '1996-11-01' AND DATE '1998-02-15' AND l_partkey % 24 < 9 AND l_suppkey % 24 >= 3 AND l_linenumber IN (2, 3) GROUP BY ALL""")
+def q_remote_subset(spark, sf_dir):
+    """A period, a box and two levels of an archive: six requests of 49."""
+    subset.register(spark, "lines", "day date, lat double, lon double, depth double, quantity double", _archive(f"{sf_dir}/lineitem.parquet"))
+    asked = spark.read.format("lines").option("products", "lines").option("years", "1993,1994,1995,1996,1997,1998,1999").option("depths", "1,2,3,4,5,6,7").option("box", "0,24,0,24").load()
+    asked = asked.where("day BETWEEN DATE '1996-11-01' AND DATE '1998-02-15' AND lat < 9 AND lon >= 3 AND depth IN (2, 3)")
+    return asked.groupBy("day", "depth").agg(F.count("*").alias("n"), F.sum("quantity").alias("quantity"))
