@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Grid
+from ..sources import tables
 from ..functions.scalars import finite, flag_text, half_bin, julian_to_timestamp, pressure_to_depth, wrap_longitude
 
 GOOD_PROFILE, GOOD_LEVEL = ("1",), ("1", "2")
@@ -19,11 +20,11 @@ def _flag(table: DataFrame, name: str) -> Column:
 
 
 def _used_flag(table: DataFrame, name: str, adjusted: Column) -> Column:
-    """The flag of the value that is used; where an adjusted value has none, the raw flag counts, and without raw flags every level passes."""
+    """The flag of the value that is used: an adjusted value's own, also where that is empty; without a column of these the raw flag, and without raw flags every level passes."""
     raw, own = f"{name}_qc", f"{name}_adj_qc"
     if raw not in table.columns or own not in table.columns:
         return _flag(table, raw)
-    return F.when(adjusted & F.col(own).isNotNull(), _flag(table, own)).otherwise(_flag(table, raw))
+    return F.when(adjusted, _flag(table, own)).otherwise(_flag(table, raw))
 
 
 def tidy_levels(raw: DataFrame, box: tuple[float, float, float, float] | None = None) -> DataFrame:
@@ -54,24 +55,38 @@ def tidy_levels(raw: DataFrame, box: tuple[float, float, float, float] | None =
 def profile_ids(levels: DataFrame) -> DataFrame:
     """Each prof_key with a number from 0, in the order of the keys.
 
-    Keys are sorted by range, numbered within each part, and the parts' counts are added, so no task sees all keys.
+    Keys are sorted by range and written once with their places, so that no later plan deals them otherwise; the parts' counts are added to the places, and no task sees all keys.
     """
     keys = levels.select("prof_key").distinct().repartitionByRange("prof_key").sortWithinPartitions("prof_key")
-    marked = keys.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    marked = tables.kept(keys.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
     sizes = marked.groupBy("part").agg(F.count("*").alias("n"))
     before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row per partition
     return marked.join(F.broadcast(before), "part").select("prof_key", (F.col("at") + F.col("before")).cast("int").alias("profile_id"))
 
 
-def profiles(levels: DataFrame, attributes: Sequence[str] = ("platform", "cycle", "data_mode")) -> DataFrame:
-    """A row per profile with the attributes of its first level by time and pressure."""
+def profiles(levels: DataFrame, attributes: Sequence[str] = ("platform", "cycle", "data_mode"), ids: DataFrame | None = None) -> DataFrame:
+    """A row per profile with the attributes of its first level by time and pressure; ids: what profile_ids gave, if it is known."""
     first = levels.groupBy("prof_key").agg(F.min_by(F.struct(*attributes), F.struct("time", "pres", *attributes)).alias("first"))
-    return profile_ids(levels).join(first, "prof_key").select("profile_id", "prof_key", *[F.col(f"first.{a}").alias(a) for a in attributes])
+    return (profile_ids(levels) if ids is None else ids).join(first, "prof_key").select("profile_id", "prof_key", *[F.col(f"first.{a}").alias(a) for a in attributes])
 
 
-def observations(levels: DataFrame) -> DataFrame:
-    """Levels with their profile's number, sorted within each output part."""
-    return levels.join(profile_ids(levels), "prof_key").repartitionByRange("time", "prof_key").sortWithinPartitions("time", "prof_key", "pres")
+def observations(levels: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """Levels with their profile's number, sorted within each output part; ids: what profile_ids gave, if it is known."""
+    return levels.join(profile_ids(levels) if ids is None else ids, "prof_key").repartitionByRange("time", "prof_key").sortWithinPartitions("time", "prof_key", "pres")
+
+
+def write_year(levels: DataFrame, year: int, path: str) -> tuple[int, int]:
+    """The levels of a year as two tables under path, observations by time and profiles by number, each in a folder of the year; returns how many rows they have.
+
+    Levels of other years are left out. A year that is there is replaced; quality control runs once, before both tables are made.
+    """
+    own = tables.kept(levels.where(F.year("time") == year))
+    ids = tables.kept(profile_ids(own))
+    values = [F.col(c).cast("float").alias(c) for c in ("lat", "lon", "pres", "depth_m", "temp")]
+    seen = observations(own, ids).select("time", *values, "profile_id", "adjusted")
+    seen.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/observations/year={year}")
+    profiles(own, ids=ids).repartitionByRange("profile_id").sortWithinPartitions("profile_id").write.mode("overwrite").parquet(f"{path}/profiles/year={year}")
+    return own.count(), ids.count()
 
 
 def colocated(levels: DataFrame, cube: DataFrame, grid: Grid, depths: Sequence[float], value: str = "value") -> DataFrame:

@@ -128,9 +128,11 @@ def input_anomalies(table: DataFrame, clim: Sequence[str], stats: Mapping[str, t
 
 
 def standardise_windows(table: DataFrame, stats: DataFrame, keys: Sequence[str] = ("w", "var"), value: str = "m") -> DataFrame:
-    """Trailing means (w, var, m) by the constants of their own window and variable; stats has a row (w, var, mean, std) for each."""
-    own = stats.select(*keys, F.col("mean").alias("_mean"), F.col("std").alias("_std"))
-    return table.join(F.broadcast(own), list(keys)).withColumn(value, (F.col(value) - F.col("_mean")) / F.col("_std")).drop("_mean", "_std")  # a row per window and variable
+    """Trailing means (w, var, m) by the constants of their own window and variable; stats has a row (w, var, mean, std) for each. Rows without constants are an error."""
+    own = stats.select(*keys, F.col("mean").alias("_mean"), F.col("std").alias("_std"), F.lit(True).alias("_known"))
+    joined = table.join(F.broadcast(own), list(keys), "left")  # a row per window and variable
+    missing = F.raise_error(F.concat(F.lit("no constants for window "), F.concat_ws(" of ", *[F.col(k).cast("string") for k in keys]))).cast("double")
+    return joined.withColumn(value, F.when(F.col("_known"), (F.col(value) - F.col("_mean")) / F.col("_std")).otherwise(missing)).drop("_mean", "_std", "_known")
 
 
 def zero_filled(table: DataFrame, inputs: Sequence[str]) -> DataFrame:

@@ -7,11 +7,11 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..config import Inputs
-from ..operators import permutation, series, splits, trailing
-from ..sources import subset
+from ..operators import permutation, profiles, series, splits, trailing
+from ..sources import classic, subset
 from ..sources import tables as sources
 from . import tables as T
-from .catalogue import _labelled, _rm, longs, query, rounded
+from .catalogue import ORACLES, _labelled, _rm, longs, query, rounded
 
 BLOCK = 64
 
@@ -101,3 +101,18 @@ def q_remote_subset(spark, sf_dir):
     asked = spark.read.format("lines").option("products", "lines").option("years", "1993,1994,1995,1996,1997,1998,1999").option("depths", "1,2,3,4,5,6,7").option("box", "0,24,0,24").load()
     asked = asked.where("day BETWEEN DATE '1996-11-01' AND DATE '1998-02-15' AND lat < 9 AND lon >= 3 AND depth IN (2, 3)")
     return asked.groupBy("day", "depth").agg(F.count("*").alias("n"), F.sum("quantity").alias("quantity"))
+
+
+@query(ORACLES["q_argo_qc"].removeprefix(f"WITH {T.SQL.strip()} "))
+def q_levels_from_files(spark, sf_dir):
+    """The levels of q_argo_qc by way of profile files: 2,000 events a file, written in the classic layout and decoded by a table function."""
+
+    def written(rows):
+        import pandas as pd
+
+        return pd.DataFrame({"path": [f"profiles_{rows['file'].iloc[0]}"], "content": [classic.profile_file(rows)]})
+
+    raw = T.raw_levels(spark, sf_dir).withColumns({"juld_qc": F.lit("1"), "file": F.floor(F.col("event_id") / 2000), "profile": F.col("event_id") % 2000, "level": F.lit(0)})
+    decoded = classic.read_levels(raw.groupBy("file").applyInPandas(written, "path string, content binary")).where("error = ''")
+    levels = profiles.tidy_levels(decoded)
+    return rounded(levels.select("prof_key", "lat", "lon", "pres", "temp", "adjusted", F.unix_micros("time").alias("micros")))

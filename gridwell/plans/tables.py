@@ -79,7 +79,7 @@ def raw_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("event_id") % 40 / 8).cast("int").alias("cycle"), F.when(F.col("event_id") % 3 == 0, "R").when(F.col("event_id") % 3 == 1, "A").otherwise("D").alias("data_mode"),
         (F.col("event_id") % 2000).cast("double").alias("pres"), (F.lit(5.0) + F.col("event_id") % 25).alias("temp"),
         F.when(F.col("event_id") % 7 == 0, F.lit(float("nan"))).otherwise((F.col("event_id") % 2000 + 1).cast("double")).alias("pres_adj"), (F.lit(4.5) + F.col("event_id") % 25).alias("temp_adj"),
-        digit.alias("pres_qc"), F.when(F.col("event_id") % 13 != 0, "1").alias("temp_qc"), digit.alias("temp_adj_qc"), F.lit("2").alias("pres_adj_qc"), F.col("event_id"),
+        digit.alias("pres_qc"), F.when(F.col("event_id") % 13 != 0, "1").alias("temp_qc"), F.when(F.col("event_id") % 17 != 0, digit).alias("temp_adj_qc"), F.lit("2").alias("pres_adj_qc"), F.col("event_id"),
     )
 
 
@@ -128,13 +128,13 @@ raw AS (
     SELECT CAST(user_id % 25 + (event_id % 4) / 4.0 AS DOUBLE) AS lat, CAST(40 + event_id % 270 AS DOUBLE) AS lon0, 27028.0::DOUBLE + (event_id % 40) / 8.0 AS juld, CASE WHEN event_id % 11 = 0 THEN NULL WHEN event_id % 5 = 0 THEN '4' ELSE '1' END AS position_qc, CASE WHEN event_id % 13 <> 0 THEN '1' END AS temp_qc,
         CAST(user_id AS VARCHAR) AS platform, CAST((event_id % 40) // 8 AS INTEGER) AS cycle, CASE event_id % 3 WHEN 0 THEN 'R' WHEN 1 THEN 'A' ELSE 'D' END AS data_mode,
         CAST(event_id % 2000 AS DOUBLE) AS p, CAST(5.0 + event_id % 25 AS DOUBLE) AS tm, CASE WHEN event_id % 7 = 0 THEN NULL ELSE CAST(event_id % 2000 + 1 AS DOUBLE) END AS pa, CAST(4.5 + event_id % 25 AS DOUBLE) AS ta,
-        CAST(CAST(json_extract(props, '$.k') AS INTEGER) % 9 AS VARCHAR) AS digit FROM events
+        CAST(CAST(json_extract(props, '$.k') AS INTEGER) % 9 AS VARCHAR) AS digit, CASE WHEN event_id % 17 <> 0 THEN CAST(CAST(json_extract(props, '$.k') AS INTEGER) % 9 AS VARCHAR) END AS adj_digit FROM events
 ),
 chosen AS (SELECT *, CASE WHEN lon0 > 180 THEN lon0 - 360 ELSE lon0 END AS lon, data_mode IN ('D', 'A') AND pa IS NOT NULL AS adjusted FROM raw),
 levels AS (
     SELECT lat, lon, juld, platform, cycle, data_mode, adjusted, CASE WHEN adjusted THEN pa ELSE p END AS pres, CASE WHEN adjusted THEN ta ELSE tm END AS temp, platform || '_' || CAST(cycle AS VARCHAR) AS prof_key,
         make_timestamp(CAST(round(juld * 86400000000) AS BIGINT) - 631152000000000) AS time
-    FROM chosen WHERE lat BETWEEN 4.8 AND 25.2 AND lon BETWEEN 49.8 AND 100.2 AND position_qc = '1' AND (CASE WHEN adjusted THEN '2' ELSE digit END) IN ('1', '2') AND (CASE WHEN adjusted THEN digit ELSE temp_qc END) IN ('1', '2')
+    FROM chosen WHERE lat BETWEEN 4.8 AND 25.2 AND lon BETWEEN 49.8 AND 100.2 AND position_qc = '1' AND (CASE WHEN adjusted THEN '2' ELSE digit END) IN ('1', '2') AND (CASE WHEN adjusted THEN adj_digit ELSE temp_qc END) IN ('1', '2')
 ),
 deep AS (
     SELECT *, ((((-1.82e-15 * pres + 2.279e-10) * pres - 2.2512e-5) * pres + 9.72659) * pres) / (9.780318 * (1 + (5.2788e-3 + 2.36e-5 * pow(sin(radians(lat)), 2)) * pow(sin(radians(lat)), 2)) + 1.092e-6 * pres) AS depth_m FROM levels

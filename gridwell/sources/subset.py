@@ -11,15 +11,19 @@ archives take the nearest time, which would be a day later for the day's last se
 from __future__ import annotations
 
 import datetime as dt
+import sys
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import asdict, dataclass, replace
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 from pyspark.sql import datasource as D
 from pyspark.sql import types as T
 
 from ..config import Grid
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need the libraries only
+
 #: Columns that filters narrow, with the ends of the request that they are.
 ENDS = {"lat": ("south", "north"), "lon": ("west", "east"), "depth": ("least", "most"), "day": ("first", "last")}
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 import tempfile
+import uuid
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
@@ -50,10 +52,15 @@ def read_parts(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     return first
 
 
+def _document(spark: SparkSession, path: str) -> dict:
+    """What a small JSON file has."""
+    return json.loads("\n".join(r.value for r in spark.read.option("wholetext", "true").text(path).collect()) or "{}")
+
+
 def read_stats(spark: SparkSession, path: str) -> DataFrame:
-    """Statistics (var, mean, std) of a JSON file {var: {mean, std}}."""
-    table = spark.read.option("multiLine", "true").json(path)
-    return table.select(F.explode(F.array(*[F.struct(F.lit(c).alias("var"), F.col(f"`{c}`.mean").cast("double").alias("mean"), F.col(f"`{c}`.std").cast("double").alias("std")) for c in table.columns])).alias("s")).select("s.*")
+    """Statistics (var, mean, std) of a JSON file {var: {mean, std}}; entries without both, such as those of windows, are none."""
+    held = {k: v for k, v in _document(spark, path).items() if isinstance(v, dict) and {"mean", "std"} <= v.keys()}
+    return spark.createDataFrame([(k, float(v["mean"]), float(v["std"])) for k, v in held.items()], "var string, mean double, std double")
 
 
 def scratch(spark: SparkSession) -> str:
@@ -67,6 +74,13 @@ def scratch(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
+def kept(table: DataFrame) -> DataFrame:
+    """table, written once to the run's folder and read from there, so that every plan on it reads the same rows."""
+    folder = f"{scratch(table.sparkSession)}/kept-{uuid.uuid4().hex}"
+    table.write.parquet(folder)
+    return table.sparkSession.read.parquet(folder)
+
+
 def replace_parts(table: DataFrame, path: str, *parts: str) -> None:
     """table partitioned by its columns parts; parts that it has replace what is there, others stay."""
     table.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(*parts).parquet(path)
@@ -128,12 +142,10 @@ def merged_stats(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFra
 
 def write_stats(stats: DataFrame, path: str) -> None:
     """stats (var and its constants) as one JSON file {var: {constant: value}}, as read_stats takes it; what other keys the file has stays."""
-    import json
-
     spark = stats.sparkSession
     rows = {r["var"]: {k: v for k, v in r.asDict().items() if k != "var" and v is not None} for r in stats.collect()}  # a row per variable
     try:
-        old = json.loads("\n".join(r.value for r in spark.read.option("wholetext", "true").text(path).collect()) or "{}")
+        old = _document(spark, path)
     except Exception as e:  # no such file
         if "PATH_NOT_FOUND" not in str(e):
             raise
@@ -144,8 +156,6 @@ def write_stats(stats: DataFrame, path: str) -> None:
 
 def read_window_stats(spark: SparkSession, path: str) -> DataFrame:
     """Constants (w, var, mean, std) of a JSON file that has them as {"windows": {w: {var: {mean, std}}}}; none where it has no windows."""
-    import json
-
-    held = json.loads("\n".join(r.value for r in spark.read.option("wholetext", "true").text(path).collect()) or "{}").get("windows", {})
+    held = _document(spark, path).get("windows", {})
     rows = [(int(w), v, float(s["mean"]), float(s["std"])) for w, of in held.items() for v, s in of.items()]
     return spark.createDataFrame(rows, "w int, var string, mean double, std double")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridwell.operators import permutation, series, trailing
-from gridwell.sources import tables
+from gridwell.sources import subset, tables
 
 
 def series_of(rng, cells, days, share):
@@ -125,3 +125,58 @@ def test_ranges_of_days_close_the_smallest_gaps():
     assert tables.day_ranges(d, 2) == [(d[0], d[3]), (d[4], d[5])]
     assert tables.day_ranges(d, 1) == [(d[0], d[5])]
     assert tables.day_ranges([]) == []
+
+
+@pytest.fixture(scope="module")
+def archive(spark, tmp_path_factory):
+    """An archive of points that writes down what it is asked for."""
+    log = tmp_path_factory.mktemp("asked")
+
+    def fetch(request):
+        import json
+        import uuid
+
+        import pandas as pd
+
+        (log / uuid.uuid4().hex).write_text(json.dumps(request))
+        if request["product"] == "gap":
+            return None
+        days = pd.date_range(request["start"], request["end"])
+        at = [(request["south"] + request["north"]) / 2]
+        own = pd.DataFrame({"day": days.date}).assign(lat=at[0], lon=request["west"], depth=request["least"], salt=1.5, heat=2.5)
+        return own
+
+    subset.register(spark, "points", "product string, day date, lat double, lon double, depth double, salt double, heat double", fetch)
+
+    def asked():
+        import json
+
+        found = [json.loads(p.read_text()) for p in log.iterdir()]
+        for p in log.iterdir():
+            p.unlink()
+        return found
+
+    return lambda **o: spark.read.format("points").options(products="sea,gap", years="2000,2001,2002", depths="0,10,100", box="5,25,50,100", **o).load(), asked
+
+
+def test_filters_become_requests(archive):
+    load, asked = archive
+    rows = load().where("product = 'sea' AND day >= DATE '2001-12-30' AND day < DATE '2002-01-03' AND depth <= 10 AND lat BETWEEN 6 AND 8 AND lon > 60").collect()
+    found = asked()
+    assert len(found) == 4 and {(r["product"], r["least"], r["start"][:4]) for r in found} == {("sea", d, y) for d in (0.0, 10.0) for y in ("2001", "2002")}
+    assert all((r["south"], r["north"], r["west"], r["east"]) == (6.0, 8.0, 60.0, 100.0) and r["variables"] == ["salt", "heat"] for r in found)
+    assert {r["end"] for r in found} == {"2001-12-31T00:00:00", "2002-01-03T00:00:00"}  # midnight, and what isn't asked for is filtered again
+    assert rows == []  # the archive's lon is the box's edge, which lon > 60 leaves out
+    assert len(load().where("product = 'sea' AND day >= DATE '2001-12-30' AND day < DATE '2002-01-03' AND depth <= 10 AND lon >= 60").collect()) == 2 * 4
+    asked()
+
+
+def test_gaps_levels_and_impossible_filters(archive):
+    load, asked = archive
+    assert load().where("product = 'gap' AND depth = 100").count() == 0 and len(asked()) == 3
+    assert load().where("depth IN (10, 100) AND day = DATE '2000-02-29' AND product = 'sea'").count() == 2 and len(asked()) == 2
+    assert load().where("lat > 30").count() == 0 and asked() == []
+    own = load(variables="heat").where("product = 'sea' AND depth = 0 AND day <= DATE '2000-01-02'")
+    assert own.columns == ["product", "day", "lat", "lon", "depth", "heat"] and own.count() == 2
+    assert [r["variables"] for r in asked()] == [["heat"]]
+    assert load().where("depth + 1 > 10 OR product = 'sea'").count() > 0 and len(asked()) == 18  # nothing that can be told apart reaches the source

@@ -213,12 +213,12 @@ def test_profiles(spark):
     rows = [good, change(temp_adj=float("nan"), pres=30.0), change(data_mode="R", pres=20.0), change(position_qc="4"), change(juld_qc="9"), change(lon=260.0), change(lat=None), change(temp_adj_qc="3"), change(pres_adj_qc=None), change(platform="B", cycle=3, pres_adj_qc="7"), change(platform="0", cycle=2)]
     levels = profiles.tidy_levels(spark.createDataFrame(rows, RAW))
     got = sorted((r.prof_key, r.pres, r.adjusted) for r in levels.collect())
-    assert got == [("0_2", 11.0, True), ("A_1", 11.0, True), ("A_1", 11.0, True), ("A_1", 20.0, False), ("A_1", 30.0, False)]
+    assert got == [("0_2", 11.0, True), ("A_1", 11.0, True), ("A_1", 20.0, False), ("A_1", 30.0, False)]  # an adjusted value without a flag goes
     assert [(r.profile_id, r.prof_key) for r in profiles.profiles(levels).orderBy("profile_id").collect()] == [(0, "0_2"), (1, "A_1")]
-    assert profiles.observations(levels).count() == 5
+    assert profiles.observations(levels).count() == 4
     assert profiles.tidy_levels(spark.createDataFrame(rows, RAW).drop("pres_adj", "position_qc", "juld_qc")).where("adjusted").count() == 0
     cube = spark.createDataFrame([(dt.date(1999, 4, 14), 20, 120, 1, 5.0)], "day date, lat_i int, lon_j int, depth_k int, value double")
-    assert profiles.colocated(levels, cube, config.Grid(), [0.0, 15.0, 200.0]).where("grid_value = 5.0").count() == 5
+    assert profiles.colocated(levels, cube, config.Grid(), [0.0, 15.0, 200.0]).where("grid_value = 5.0").count() == 4
 
 
 def test_profile_ids_are_dense_and_ordered(spark):
