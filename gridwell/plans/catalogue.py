@@ -614,3 +614,4 @@ def q_flagship(spark, sf_dir):
 
 from . import assembly  # noqa: E402, F401  registers the rest of the catalogue
 from . import access  # noqa: E402, F401
+from . import fits  # noqa: E402, F401
