@@ -9,7 +9,8 @@ these are dealt again by another hash.
 Nodes that share signatures are partitioned into groups: by the least token of their sets (which similar sets share as often as
 they are similar), and at most about 64 in one group. A group's row of the matrix is the union of its
 members' tokens. Tokens that no other group has count for nothing between groups, so a node with many of these has no match outside its
-own. All others meet, as queries, the groups of nodes that share a signature with them; no member can have more in common with a query than the
+own. All others meet, as queries, the groups of nodes that share a signature with them and whose sizes and sketches (which tokens are in an odd
+number, by remainder) aren't further apart than similar sets can be; no member can have more in common with a query than the
 union has, so a group is opened, and its members are compared, only if that overlap is large enough. Nodes of a
 group are held against each other first, then all nodes of a signature against the group of one of them, and what links these already needs no
 further comparison, so a large class of near copies costs about a comparison a node. Groups with many queries are dealt to many tasks.
@@ -37,7 +38,10 @@ MEMBERS, TOKENS = 64, 1 << 20
 #: Queries that are held against a copy of a group.
 QUERIES = 4096
 
-MARKS = "row long, doc_id long, hash long, high long, low long, n int, least long, signatures array<long>"
+#: Bits of a sketch, one for each remainder of the tokens: whether an odd number of tokens have it.
+BITS = 512
+
+MARKS = "row long, doc_id long, hash long, high long, low long, n int, least long, odd array<long>, signatures array<long>"
 LINKS = "u long, v long"
 
 
@@ -85,6 +89,11 @@ def signatures(own: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     return np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)
 
 
+def odd(own: np.ndarray) -> np.ndarray:
+    """The sketch of a set: two sets differ in at least as many tokens as their sketches in bits."""
+    return np.packbits(np.bincount(own & (BITS - 1), minlength=BITS).astype(np.uint8) & 1).view(np.int64)
+
+
 def similar(common: np.ndarray, n: int, sizes: np.ndarray, percent: int) -> np.ndarray:
     """Whether sets of sizes with so many common tokens are similar enough to one of n."""
     return 100 * common >= percent * (n + sizes - common)
@@ -129,9 +138,10 @@ def _marks(words: int, percent: int):
             own = [shingles(t or b"", words) for t in part.column("text").cast(pa.binary()).to_pylist()]
             digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(o.tobytes()) for o in own), ">i8").astype(np.int64)
             least = pa.array([int(o[0]) if len(o) else None for o in own], pa.int64())
+            sketches = _lists([odd(o) for o in own])
             signs = _lists([signatures(o, percent) if len(o) else o for o in own])
-            columns = [part.column("row"), part.column("doc_id"), part.column("hash"), pa.array(digests[0::2]), pa.array(digests[1::2]), pa.array(map(len, own), pa.int32()), least, signs]
-            yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "hash", "high", "low", "n", "least", "signatures"])
+            columns = [part.column("row"), part.column("doc_id"), part.column("hash"), pa.array(digests[0::2]), pa.array(digests[1::2]), pa.array(map(len, own), pa.int32()), least, sketches, signs]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "hash", "high", "low", "n", "least", "odd", "signatures"])
 
     return run
 
@@ -218,10 +228,11 @@ def _open(queries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return asked.unionByName(held).repartition("group", "salt").sortWithinPartitions("group", "salt", "kind", "node").mapInArrow(_opened(percent), LINKS)
 
 
-def _near(low: str, high: str, held: str, percent: int) -> str:
-    """Whether a node (n tokens, held of them in several groups) can be similar to one of another group, of low to high tokens and at most so many held."""
-    sizes = f"100 * {high} >= {percent} * n AND {percent} * {low} <= 100 * n"
-    return f"{sizes} AND {100 + percent} * least(held, {held}) >= {percent} * (n + {low})"
+def _near(other: str, percent: int) -> str:
+    """Whether a node (n tokens, held of them in several groups, a sketch) can be similar to another of another group, by columns with this prefix."""
+    sizes = f"100 * {other}n >= {percent} * n AND {percent} * {other}n <= 100 * n AND {100 + percent} * least(held, {other}held) >= {percent} * (n + {other}n)"
+    apart = " + ".join(f"bit_count(odd[{k}] ^ {other}odd[{k}])" for k in range(BITS // 64))
+    return f"{sizes} AND {100 + percent} * ({apart}) <= {100 - percent} * (n + {other}n)"
 
 
 def links(marks: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -244,7 +255,7 @@ def links(marks: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFr
     tokens = sets.select("node", "group", F.explode("own").alias("token"))
     several = tokens.groupBy("token").agg(F.min("group").alias("a"), F.max("group").alias("b")).where("a != b").select("token")
     held = tokens.join(several, "token").groupBy("node").agg(F.count("*").alias("held"))
-    outside = written(known.select("node", "group", "n").join(held, "node").where(f"100 * held >= {percent} * n").select("node", "group", "held"))
+    outside = written(known.select("node", "group", "n", "odd").join(held, "node").where(f"100 * held >= {percent} * n").select("node", "group", "held", "odd"))
 
     inside = sets.withColumns({"salt": F.lit(0), "kind": F.lit(0)}).repartition("group").sortWithinPartitions("group", "node")
     inside = written(inside.mapInArrow(_inside(percent), LINKS))
@@ -253,11 +264,11 @@ def links(marks: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFr
         """Entries with the root of their node, of signatures that several roots have; roots has nodes whose root is another."""
         own = outside.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         every = written(shared.join(own, "node"))
-        met = every.groupBy("sign").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.min(F.struct("n", "node", "root", "group", "held")).alias("lead")).where("a != b")
+        met = every.groupBy("sign").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.min(F.struct("n", "node", "root", "group", "held", "odd")).alias("lead")).where("a != b")
         return every.join(met.select("sign", "lead"), "sign")
 
     first = inside.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    led = rooted(first).where("root != lead.root AND group != lead.group").where(_near("lead.n", "lead.n", "lead.held", percent)).select("node", F.col("lead.group").alias("group")).distinct()
+    led = rooted(first).where("root != lead.root AND group != lead.group").where(_near("lead.", percent)).select("node", F.col("lead.group").alias("group")).distinct()
     led = written(_open(led, sets, percent))
     # a root that is linked with others points to one of them, and on to where that one points: what has one root then is connected, which is all that is asked here
     point = led.join(first, F.col("u") == F.col("node"), "left").select(F.coalesce("root", "u").alias("root"), "v").where("root != v").groupBy("root").agg(F.min("v").alias("to"))
@@ -266,9 +277,9 @@ def links(marks: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFr
     for _ in range(2):
         second = second.join(point, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
     left = written(rooted(second).drop("lead"))
-    by_group = left.groupBy("sign", F.col("group").alias("other")).agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("held").alias("most"), F.min("root").alias("a"), F.max("root").alias("b"))
-    rest = left.join(by_group, "sign").where("group < other AND NOT (a = root AND b = root)").where(_near("low", "high", "most", percent))
-    return inside.unionByName(led).unionByName(_open(rest.select("node", F.col("other").alias("group")).distinct(), sets, percent))
+    names = {c: f"other_{c}" for c in ("node", "n", "group", "root", "held", "odd")}
+    rest = left.join(left.withColumnsRenamed(names), "sign").where("group < other_group AND root != other_root").where(_near("other_", percent))
+    return inside.unionByName(led).unionByName(_open(rest.select("node", F.col("other_group").alias("group")).distinct(), sets, percent))
 
 
 def similar_texts(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
