@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..config import Inputs
 from ..operators import permutation, profiles, series, splits, trailing
-from ..sources import classic, subset
+from ..sources import classic, reuse, subset
 from ..sources import tables as sources
 from . import tables as T
 from .catalogue import ORACLES, _labelled, _rm, longs, query, rounded
@@ -116,3 +116,43 @@ def q_levels_from_files(spark, sf_dir):
     decoded = classic.read_levels(raw.groupBy("file").applyInPandas(written, "path string, content binary")).where("error = ''")
     levels = profiles.tidy_levels(decoded)
     return rounded(levels.select("prof_key", "lat", "lon", "pres", "temp", "adjusted", F.unix_micros("time").alias("micros")))
+
+
+_FILES = """, parts AS (SELECT l_linenumber AS k, l_quantity AS q, l_orderkey AS o, CAST(year(l_shipdate) AS INTEGER) AS y, CAST(month(l_shipdate) AS INTEGER) AS m FROM lineitem),
+    held AS (SELECT y, m, concat('lines_', y, '_', m) AS file, count(*) * 8 AS bytes, sha256(concat(count(*), '|', sum(o), '|', CAST(sum(q) AS BIGINT))) AS digest FROM parts WHERE NOT (m = 7 AND k = 1) AND m <> 11 GROUP BY ALL),
+    known AS (SELECT y, concat('lines_', y, '_', m) AS file, count(*) * 8 AS bytes, sha256(concat(count(*), '|', sum(o), '|', CAST(sum(q) AS BIGINT) + CASE m WHEN 5 THEN 1 ELSE 0 END)) AS digest FROM parts WHERE y <> 1998 GROUP BY y, m)"""
+
+
+@query(f"""{_FILES} SELECT p.file, CASE WHEN k.file IS NULL THEN 'new' WHEN p.y = 1997 THEN 'settings' WHEN h.file IS NULL THEN 'absent' WHEN h.bytes < k.bytes THEN 'torn' ELSE 'changed' END AS reason
+    FROM (SELECT DISTINCT CAST(year(o_orderdate) AS INTEGER) AS y, concat('lines_', CAST(year(o_orderdate) AS INTEGER), '_', CAST(month(o_orderdate) AS INTEGER)) AS file FROM orders) p LEFT JOIN known k USING (file) LEFT JOIN held h USING (file)
+    WHERE k.file IS NULL OR p.y = 1997 OR h.file IS NULL OR k.digest <> h.digest""")
+def q_files_to_fetch(spark, sf_dir):
+    """Months of lines as files: some torn, gone or changed since the manifest was made, some new, some made under other settings."""
+    lines = T.read(spark, sf_dir, "lineitem").select("l_linenumber", "l_quantity", "l_orderkey", F.year("l_shipdate").alias("y"), F.month("l_shipdate").alias("m"))
+
+    def files(rows, more=0):
+        text = F.concat_ws("|", F.count("*"), F.sum("l_orderkey"), F.sum("l_quantity").cast("long") + more)
+        own = rows.groupBy("y", "m").agg((F.count("*") * 8).alias("bytes"), text.alias("text"))
+        return own.select("y", F.concat_ws("_", F.lit("lines"), "y", "m").alias("file"), "bytes", F.sha2("text", 256).alias("digest"))
+
+    present = files(lines.where("NOT (m = 7 AND l_linenumber = 1) AND m <> 11"))
+    settings = F.when(F.col("y") == 1997, "old").otherwise("lines")
+    manifest = files(lines.where("y <> 1998"), F.when(F.col("m") == 5, 1).otherwise(0)).withColumn("spec", reuse.spec_of(settings, F.col("y")))
+    plan = T.read(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("y"), F.month("o_orderdate").alias("m")).distinct()
+    plan = plan.select(F.concat_ws("_", F.lit("lines"), "y", "m").alias("file"), reuse.spec_of(F.lit("lines"), F.col("y")).alias("spec"))
+    return reuse.to_fetch(plan, manifest, present).select("file", "reason")
+
+
+@query("""SELECT CAST(y AS BIGINT) AS year, why = '' AND f1 IS NOT NULL AND f2 IS NOT NULL AS ready, why = '' AND (written IS NULL OR newest > written) AS stale,
+        CASE WHEN why <> '' THEN why WHEN written IS NULL THEN 'never made' WHEN newest > written THEN concat(last, ' is newer') ELSE '' END AS reason
+    FROM (SELECT *, CASE WHEN f1 IS NULL THEN 'no 1' WHEN f2 IS NULL THEN 'no 2' WHEN y % 4 = 1 THEN concat(f2, ' can''t be read') WHEN y % 3 = 0 THEN concat(f1, ' lacks b') ELSE '' END AS why FROM (
+        SELECT y, max(CASE WHEN p = '1' THEN concat('1_', y) END) AS f1, max(CASE WHEN p = '2' THEN concat('2_', y) END) AS f2, max(modified) AS newest, arg_max(concat(p, '_', y), concat(modified, p)) AS last
+        FROM (SELECT CAST(year(o_orderdate) AS INTEGER) AS y, substr(o_orderpriority, 1, 1) AS p, CAST(max(o_orderdate) AS DATE) AS modified FROM orders GROUP BY ALL) WHERE p IN ('1', '2') AND NOT (y = 1995 AND p = '2') GROUP BY y))
+    FULL JOIN (SELECT CAST(year(l_shipdate) AS INTEGER) AS y, CAST(max(l_shipdate) AS DATE) - 2 AS written FROM lineitem WHERE year(l_shipdate) % 2 = 0 AND year(l_shipdate) <= 1997 GROUP BY 1) USING (y)""")
+def q_year_vintage(spark, sf_dir):
+    """Years by what their files hold and when they changed, against when the years were made."""
+    own = T.read(spark, sf_dir, "orders").groupBy(F.year("o_orderdate").alias("year"), F.substring("o_orderpriority", 1, 1).alias("product")).agg(F.to_date(F.max("o_orderdate")).alias("modified"))
+    own = own.where("product IN ('1', '2') AND NOT (year = 1995 AND product = '2')").withColumn("file", F.concat_ws("_", "product", "year"))
+    variables = F.when((F.col("product") == "2") & (F.col("year") % 4 == 1), F.lit(None)).when((F.col("product") == "1") & (F.col("year") % 3 == 0), F.array(F.lit("a"))).otherwise(F.array(F.lit("a"), F.lit("b")))
+    made = T.read(spark, sf_dir, "lineitem").groupBy(F.year("l_shipdate").alias("year")).agg(F.date_sub(F.to_date(F.max("l_shipdate")), 2).alias("written")).where("year % 2 = 0 AND year <= 1997")
+    return longs(reuse.vintage(own.withColumn("variables", variables), made, {"1": ["a", "b"], "2": ["a"]}))
