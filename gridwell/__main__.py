@@ -7,6 +7,7 @@ import json
 import os
 import sys
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,8 +33,8 @@ def plan(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
 
 
 def verify(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
-    """Files of the plan that are under a folder as Parquet, with what is wrong with each."""
-    planned, rows, parts = plan(spark, args), [], []
+    """Files of the plan that are under a folder as Parquet, with what is wrong with each: types, times that repeat or are uneven, too few days, first or last days without values."""
+    planned, rows, parts, places = plan(spark, args), [], [], []
     for r in planned.select("file").collect():  # a row per file of the plan
         try:
             table = spark.read.parquet(f"{args.folder}/{r.file}")
@@ -41,17 +42,20 @@ def verify(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
             if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
                 raise
             continue
-        values = [c for c in table.columns if c not in ("day", "lat", "lon", "depth")]
+        keys = [c for c in ("day", "lat", "lon", "depth") if c in table.columns]
+        values = [c for c in table.columns if c not in keys]
         rows += [(r.file, c, dict(table.dtypes)[c]) for c in values]
         numbers = [c for c in values if dict(table.dtypes)[c] in ("float", "double")]
         parts.append(series.long_form(table.withColumn("file", F.lit(r.file)), ["file", "day"], numbers))
+        places.append(table.groupBy(F.lit(r.file).alias("file"), *keys).agg(F.count("*").alias("n")).groupBy("file", "day").agg(F.count_if(F.col("n") > 1).alias("repeated")))
     present = spark.createDataFrame(rows, "file string, variable string, kind string")
-    long = parts[0] if parts else spark.createDataFrame([], "file string, day date, var string, value double")
-    for part in parts[1:]:
-        long = long.unionByName(part)
-    steps = series.uneven_steps(long.select("file", "day").distinct(), "day", ["file"])
+    long = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "file string, day date, var string, value double")
+    days = reduce(DataFrame.unionByName, places) if places else spark.createDataFrame([], "file string, day date, repeated long")
+    held = days.groupBy("file").agg(F.count("*").alias("held"), F.sum("repeated").alias("repeated"))
+    steps = series.uneven_steps(days, "day", ["file"]).drop("repeated").join(held.select("file", "repeated"), "file")
     shares = audit.edge_shares(long.withColumnRenamed("var", "variable"), ["file", "variable"])
-    found = audit.file_audit(planned, present, audit.file_problems(present, steps, shares))
+    few = held.join(planned.select("file", "days"), "file").where("held < days").select("file", F.concat(F.col("held").cast("string"), F.lit(" days of "), F.col("days").cast("string")).alias("problem"))
+    found = audit.file_audit(planned, present, audit.file_problems(present, steps, shares).unionByName(few))
     return found if args.all else found.where("status != 'ok'")
 
 

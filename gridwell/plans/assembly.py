@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
 
 from pyspark.sql import functions as F
 
@@ -55,22 +54,27 @@ def q_argo_without_adjusted_flags(spark, sf_dir):
 
 
 @query("""SELECT 'glorys' AS product, CAST(y AS BIGINT) AS year, m AS nominal, CASE WHEN m = 0 THEN 0.494025 ELSE m END::DOUBLE AS depth, row_number() OVER (ORDER BY y, m) AS place, 'glorys_' || m || 'm_' || y AS file
-    FROM (SELECT unnest(range(1992, 1996)) AS y), (SELECT unnest([100, 125, 150, 200]) AS m) WHERE y >= 1993""")
+    FROM (SELECT DISTINCT CAST(year(day) AS INTEGER) AS y FROM daily), (SELECT unnest([100, 125, 150, 200]) AS m) WHERE y >= 1993""")
 def q_plan_of_levels(spark, sf_dir):
-    """The files of a range of levels; a year that the product doesn't cover has none."""
-    plan = requests.files(requests.plan(spark, ["glorys"], range(1992, 1996), requests.all_levels(), (100, 200)))
+    """The files of a range of levels for the years of the orders; a year that the product doesn't cover has none."""
+    from .catalogue import _years
+
+    plan = requests.files(requests.plan(spark, ["glorys"], _years(spark, sf_dir), requests.all_levels(), (100, 200)))
     return plan.select("product", F.col("year").cast("long").alias("year"), F.col("nominal").cast("long").alias("nominal"), "depth", F.col("place").cast("long").alias("place"), "file")
 
 
-@query("SELECT * FROM (VALUES ('rows', '81', '96'), ('columns', '101', '112')) x(axis, size, padded)")
+@query("""SELECT axis, size, padded, seen, n FROM (VALUES ('rows', '81', '96'), ('columns', '101', '112')) x(axis, size, padded)
+    JOIN (SELECT unnest(['rows', 'columns']) AS axis, unnest([count(DISTINCT l_partkey % 81), count(DISTINCT l_suppkey % 201)]) AS seen, count(*) AS n FROM lineitem WHERE l_suppkey % 201 >= 100) USING (axis)""")
 def q_grid_version(spark, sf_dir):
-    """The eastern version of the grid, cropped from the whole one, and padded to sixteens."""
+    """The eastern version of the grid, cropped from the whole one, and padded to sixteens; lines lie on it, and those in the west go."""
     east = VERSIONS["v3"]
+    lines = T.read(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 81).cast("int").alias("lat_i"), (F.col("l_suppkey") % 201).cast("int").alias("lon_j"))
+    seen = grids.cropped(lines, VERSIONS["v2"], east).agg(F.count_distinct("lat_i").alias("rows"), F.count_distinct("lon_j").alias("columns"), F.count("*").alias("n"))
     cells = grids.cropped(grids.cells(spark, VERSIONS["v2"]), VERSIONS["v2"], east)
     own = cells.agg(F.count_distinct("lat_i").alias("r"), F.count_distinct("lon_j").alias("c"))
     wide = grids.padded(spark, east, 16).agg(F.count_distinct("pad_i").alias("pr"), F.count_distinct("pad_j").alias("pc"))
-    pairs = F.array(F.struct(F.lit("rows").alias("axis"), F.col("r").cast("string").alias("size"), F.col("pr").cast("string").alias("padded")), F.struct(F.lit("columns").alias("axis"), F.col("c").cast("string").alias("size"), F.col("pc").cast("string").alias("padded")))
-    return own.crossJoin(wide).select(F.explode(pairs).alias("x")).select("x.*")  # a row each
+    pairs = F.array(*[F.struct(F.lit(k).alias("axis"), F.col(a).cast("string").alias("size"), F.col(b).cast("string").alias("padded"), F.col(k).alias("seen"), F.col("n")) for k, a, b in (("rows", "r", "pr"), ("columns", "c", "pc"))])
+    return own.crossJoin(wide).crossJoin(seen).select(F.explode(pairs).alias("x")).select("x.*")  # a row each
 
 
 @query(f"{POINTS} SELECT day, CAST(lat_i AS BIGINT) - 2 AS lat_i, CAST(lon_j AS BIGINT) - 3 AS lon_j, round(avg(value), 4) AS value FROM binned WHERE lat_i BETWEEN 2 AND 6 AND lon_j BETWEEN 3 AND 8 GROUP BY ALL")
@@ -81,10 +85,14 @@ def q_grid_crop(spark, sf_dir):
     return longs(rounded(grids.cropped(own, FINE, Grid(Axis(5.5, 6.5, 0.25), Axis(50.75, 52.0, 0.25))).drop("n")))
 
 
-@query("""SELECT CAST(i AS BIGINT) AS pad_i, CAST(j AS BIGINT) AS pad_j, CASE WHEN i BETWEEN 4 AND 12 AND j BETWEEN 4 AND 12 THEN CAST(i - 4 AS BIGINT) ELSE -1 END AS lat_i, CASE WHEN i BETWEEN 4 AND 12 AND j BETWEEN 4 AND 12 THEN CAST(j - 4 AS BIGINT) ELSE -1 END AS lon_j
-    FROM (SELECT unnest(range(0, 16)) AS i), (SELECT unnest(range(0, 16)) AS j)""")
+@query(f"""{POINTS} SELECT CAST(i AS BIGINT) AS pad_i, CAST(j AS BIGINT) AS pad_j, count(value) AS n, round(COALESCE(avg(value), 0), 4) AS value
+    FROM (SELECT unnest(range(0, 16)) AS i), (SELECT unnest(range(0, 16)) AS j) LEFT JOIN binned ON lat_i = i - 4 AND lon_j = j - 4 GROUP BY i, j""")
 def q_padded_grid(spark, sf_dir):
-    return longs(grids.padded(spark, FINE, 16).fillna(-1))
+    """A mean over all days on the padded grid, 0 in the margin."""
+    from .catalogue import _points
+
+    own = grids.block_average(grids.with_bins(_points(spark, sf_dir), FINE), [])
+    return longs(rounded(grids.padded(spark, FINE, 16).join(own, ["lat_i", "lon_j"], "left").fillna(0, ["n", "value"]).select("pad_i", "pad_j", "n", "value")))
 
 
 # --- splits and guards -----------------------------------------------------------------------------------------------
@@ -92,10 +100,10 @@ def q_padded_grid(spark, sf_dir):
 
 @query("""SELECT mode, split, count(*) AS n FROM (SELECT mode, y, CASE WHEN list_contains(v, y) THEN 'val' WHEN list_contains(te, y) THEN 'test' ELSE 'train' END AS split
         FROM (VALUES ('chronological', [2021, 2022], [2023, 2024]), ('interleaved', [2000, 2013], [2004, 2017]), ('legacy', [2021], [2022])) m(mode, v, te),
-        (SELECT year(DATE '1993-01-01' + CAST(d AS INTEGER)) AS y FROM (SELECT unnest(range(0, 11672)) AS d))) GROUP BY ALL""")
+        (SELECT year(day + 9131) AS y FROM days)) GROUP BY ALL""")
 def q_split_modes(spark, sf_dir):
-    """How many days of the whole record each mode holds out, buffers aside."""
-    days = series.calendar(spark, dt.date(1993, 1, 1), dt.date(2024, 12, 15))
+    """How many days of the orders' calendar, 25 years later, each mode holds out, buffers aside."""
+    days = T.calendar(spark, T.daily(spark, sf_dir)).withColumn("day", F.date_add("day", 9131)).withColumn("year", F.year("day"))
     out = None
     for name, mode in SPLIT_MODES.items():
         own = splits.summary(splits.day_labels(days, SplitMode(mode.val_years, mode.test_years))).select(F.lit(name).alias("mode"), "split", "n")
@@ -132,9 +140,16 @@ def q_first_gaps(spark, sf_dir):
     return longs(series.gaps(T.daily(spark, sf_dir)).orderBy("after").limit(3))
 
 
-@query("SELECT * FROM (VALUES ('lags', '[0, 3]', '[0, 3, 7]'), ('margin', 'None', '0.5')) x(name, old, new)")
+@query("""SELECT name, COALESCE(CAST(max(CASE WHEN y = 1995 THEN n END) AS VARCHAR), 'None') AS old, COALESCE(CAST(max(CASE WHEN y = 1996 THEN n END) AS VARCHAR), 'None') AS new
+    FROM (SELECT CASE WHEN o_orderpriority LIKE '5%' THEN 'least' ELSE o_orderpriority END AS name, year(o_orderdate) AS y, CASE WHEN o_orderpriority LIKE '5%' THEN 7 ELSE count(*) END AS n FROM orders GROUP BY o_orderpriority, year(o_orderdate)) WHERE y IN (1995, 1996)
+    GROUP BY name HAVING max(CASE WHEN y = 1995 THEN n END) IS DISTINCT FROM max(CASE WHEN y = 1996 THEN n END)""")
 def q_changed_settings(spark, sf_dir):
-    return audit.changed_settings(spark, {"lags": [0, 3], "ridge": 0.1}, {"lags": [0, 3, 7], "ridge": 0.1, "margin": 0.5})
+    """Orders of each priority as settings of two years, and one that stays the same."""
+    least = F.col("o_orderpriority").startswith("5")
+    own = T.read(spark, sf_dir, "orders").groupBy(F.year("o_orderdate").alias("y"), "o_orderpriority").agg(F.count("*").alias("n")).where("y IN (1995, 1996)")
+    rows = own.select("y", F.when(least, "least").otherwise(F.col("o_orderpriority")).alias("name"), F.when(least, 7).otherwise(F.col("n")).alias("n")).collect()  # a row per priority and year
+    old, new = ({r["name"]: r.n for r in rows if r.y == y} for y in (1995, 1996))
+    return audit.changed_settings(spark, old, new)
 
 
 # --- standardising and assembly --------------------------------------------------------------------------------------

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import ACTUAL_DEPTHS, COVERAGE, Axis, Grid, Inputs
+from ..config import ACTUAL_DEPTHS, COVERAGE, Axis, Grid, Inputs, expected_days
 from ..functions import scalars
 from ..operators import audit, features, grids, learning, profiles, scores, series, splits
 from ..sources import tables as sources
@@ -57,11 +57,14 @@ POINTS = """, points AS (
 # --- grids ---------------------------------------------------------------------------------------------------------
 
 
-@query("""SELECT CAST(i AS BIGINT) AS lat_i, CAST(j AS BIGINT) AS lon_j, 5.0::DOUBLE + i * 0.25::DOUBLE AS lat, 50.0::DOUBLE + j * 0.25::DOUBLE AS lon,
-    round((5.0::DOUBLE + i * 0.25 - 15.0) / 10.0, 4) AS lat_plane, round((50.0::DOUBLE + j * 0.25 - 75.0) / 25.0, 4) AS lon_plane
-    FROM (SELECT unnest(range(0, 81)) AS i), (SELECT unnest(range(0, 201)) AS j)""")
+@query(f"""{POINTS}, seen AS (SELECT lat_i, lon_j, count(*) AS n FROM points WHERE lat_i BETWEEN 0 AND 80 AND lon_j BETWEEN 0 AND 200 GROUP BY ALL)
+    SELECT CAST(i AS BIGINT) AS lat_i, CAST(j AS BIGINT) AS lon_j, 5.0::DOUBLE + i * 0.25::DOUBLE AS lat, 50.0::DOUBLE + j * 0.25::DOUBLE AS lon,
+    round((5.0::DOUBLE + i * 0.25 - 15.0) / 10.0, 4) AS lat_plane, round((50.0::DOUBLE + j * 0.25 - 75.0) / 25.0, 4) AS lon_plane, COALESCE(n, 0) AS n
+    FROM (SELECT unnest(range(0, 81)) AS i), (SELECT unnest(range(0, 201)) AS j) LEFT JOIN seen ON lat_i = i AND lon_j = j""")
 def q_grid_dims(spark, sf_dir):
-    return longs(rounded(grids.cells(spark, Grid())))
+    """All cells of the grid, with how many points lie in each."""
+    seen = grids.with_bins(_points(spark, sf_dir), Grid()).groupBy("lat_i", "lon_j").agg(F.count("*").alias("n"))
+    return longs(rounded(grids.cells(spark, Grid()).join(seen, ["lat_i", "lon_j"], "left").fillna(0, ["n"])))
 
 
 _BINNED = "SELECT day, CAST(lat_i AS BIGINT) AS lat_i, CAST(lon_j AS BIGINT) AS lon_j, round(avg(value), 4) AS value, count(value) AS n FROM binned GROUP BY ALL"
@@ -127,15 +130,14 @@ def q_apply_mask(spark, sf_dir):
 # --- calendars -----------------------------------------------------------------------------------------------------
 
 
-@query("""SELECT product, CAST(y AS BIGINT) AS year, greatest(0, date_diff('day', greatest(make_date(y, 1, 1), s, DATE '1993-01-01'), least(make_date(y, 12, 31), e, DATE '2024-12-15')) + 1) AS days
+@query("""SELECT product, CAST(y AS BIGINT) AS year, greatest(0, date_diff('day', greatest(make_date(y, 1, 1), s, DATE '1993-01-01'), least(make_date(y, 12, 31), e, DATE '2024-12-15')) + 1) AS days, held
     FROM (VALUES ('era5', DATE '1940-01-01', DATE '2026-06-30'), ('glorys', DATE '1993-01-01', DATE '2026-06-23'), ('oisst', DATE '1981-09-01', DATE '2026-06-30'), ('sla', DATE '1993-01-01', DATE '2026-01-16'), ('sss', DATE '1993-01-01', DATE '2024-12-15')) p(product, s, e),
-    (SELECT CAST(unnest(range(1993, 2026)) AS INTEGER) AS y)""".replace("CAST(unnest", "CAST(unnest"))
+    (SELECT CAST(year(day) AS INTEGER) AS y, count(*) AS held FROM daily GROUP BY 1)""")
 def q_calendar_expected_days(spark, sf_dir):
-    coverage = F.array(*[F.struct(F.lit(p).alias("product"), F.lit(a).alias("s"), F.lit(b).alias("e")) for p, (a, b) in COVERAGE.items()])
-    plan = spark.range(1993, 2026).select(F.col("id").alias("year"), F.explode(coverage).alias("c")).select("year", "c.*")
-    first = F.greatest(F.make_date("year", F.lit(1), F.lit(1)), "s", F.lit("1993-01-01").cast("date"))
-    last = F.least(F.make_date("year", F.lit(12), F.lit(31)), "e", F.lit("2024-12-15").cast("date"))
-    return plan.select("product", "year", F.greatest(F.lit(0), F.datediff(last, first) + 1).cast("long").alias("days"))
+    """The days that each product should have in the years of the orders, and how many days have orders."""
+    held = T.daily(spark, sf_dir).groupBy(F.year("day").alias("year")).agg(F.count("*").alias("held"))
+    rows = [(p, r.year, expected_days(r.year, p)) for p in COVERAGE for r in held.select("year").collect()]  # a row per year
+    return longs(spark.createDataFrame(rows, "product string, year int, days long").join(held, "year"))
 
 
 @query("SELECT days.day FROM days ANTI JOIN daily USING (day)")
@@ -571,13 +573,19 @@ def q_best_setting(spark, sf_dir):
     return learning.best_setting(trials, "objective", "setting")
 
 
+def _years(spark, sf_dir) -> list[int]:
+    """The years of the orders."""
+    return sorted(r.year for r in T.daily(spark, sf_dir).select(F.year("day").alias("year")).distinct().collect())  # a row per year
+
+
 _PRODUCTS = ["glorys", "oisst", "sla", "sss"]
 
 
 @query("""SELECT product, CAST(y AS BIGINT) AS year, depth, row_number() OVER (ORDER BY CASE product WHEN 'glorys' THEN 0 ELSE 1 END, product, y, depth) AS place
-    FROM (SELECT unnest(range(2020, 2025)) AS y), (SELECT 'glorys' AS product, unnest([0.494025, 5.0, 10.0])::DOUBLE AS depth UNION ALL SELECT unnest(['oisst', 'sla', 'sss']), NULL)""")
+    FROM (SELECT DISTINCT CAST(year(day) AS INTEGER) AS y FROM daily WHERE year(day) >= 1993), (SELECT 'glorys' AS product, unnest([0.494025, 5.0, 10.0])::DOUBLE AS depth UNION ALL SELECT unnest(['oisst', 'sla', 'sss']), NULL)""")
 def q_download_plan(spark, sf_dir):
-    plan = requests.plan(spark, _PRODUCTS, range(2020, 2025), {"glorys": [0, 5, 10]})
+    """The files for the years of the orders; years before the record have none."""
+    plan = requests.plan(spark, _PRODUCTS, _years(spark, sf_dir), {"glorys": [0, 5, 10]})
     return longs(plan.select("product", "year", "depth", "place"))
 
 

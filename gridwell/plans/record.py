@@ -72,6 +72,7 @@ class Record:
 
     def _settings(self) -> str:
         own = {"products": {k: [p.path, dict(p.columns), p.how, str(p.lat), str(p.lon)] for k, p in sorted(self.products.items())}, "mode": str(self.mode), "grid": str(self.grid), "mask": self.mask_variable, "inputs": list(self.inputs), "history": self.history}
+        own |= {"least_ocean": self.least_ocean, "expected": self.expected and {y: self.expected(y) for y in range(RECORD[0].year, RECORD[1].year + 1)}}  # a guard that is tightened makes its phase anew
         return hashlib.sha256(json.dumps(own, sort_keys=True).encode()).hexdigest()
 
     def _made(self, phase: str) -> bool:

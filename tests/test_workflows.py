@@ -80,3 +80,23 @@ def test_file_audit(spark, tmp_path):
     spark.range(10).coalesce(1).write.option("compression", "zstd").parquet(str(tmp_path / "t"))
     row = audit.files(spark.read.parquet(str(tmp_path / "t"))).first()
     assert (row.rows, row.codec) == (10, "zstd") and row.bytes > 0
+
+
+def test_verify_finds_repeats_and_missing_days(spark, tmp_path, monkeypatch):
+    import argparse
+    import datetime as dt
+
+    from gridwell import __main__ as cli
+
+    folder = str(tmp_path)
+
+    def write(year, days, twice=False):
+        rows = [(dt.date(year, 1, 1) + dt.timedelta(days=d), 10.0, 60.0 + k, 1.0) for d in range(days) for k in range(2)]
+        spark.createDataFrame(rows + rows[:1] * twice, "day date, lat double, lon double, sst double").write.parquet(f"{folder}/oisst_{year}")
+
+    write(2001, 365)
+    write(2002, 365, twice=True)
+    write(2003, 364)
+    args = argparse.Namespace(products=["oisst"], years=[2001, 2002, 2003, 2004], depths=None, folder=folder, all=True)
+    found = {r.file: (r.status, r.problems) for r in cli.verify(spark, args).collect()}
+    assert found == {"oisst_2001": ("ok", []), "oisst_2002": ("failed", ["times repeat"]), "oisst_2003": ("failed", ["364 days of 365"]), "oisst_2004": ("missing", [])}
