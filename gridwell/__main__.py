@@ -1,4 +1,4 @@
-"""python -m gridwell COMMAND: plan, verify, record, splits or evaluate. Each prints a table, and ends with 1 if something isn't right."""
+"""python -m gridwell COMMAND: plan, verify, profiles, record, splits, climatology, fit, search or evaluate. Each prints a table, and ends with 1 if something isn't right."""
 
 from __future__ import annotations
 
@@ -13,10 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import COVERAGE, RECORD, VERSIONS, Axis, Inputs, expected_days, split_mode
-from .operators import audit, grids, scores, series, splits
-from .plans import requests
+from .operators import audit, fitting, grids, profiles, scores, series, splits
+from .plans import climatology, requests
 from .plans.record import PHASES, Product, Record
-from .sources import tables
+from .sources import classic, runs, tables
 
 
 def version(name: str | None) -> str:
@@ -84,6 +84,47 @@ def evaluate(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     return metrics.orderBy("depth_k")
 
 
+def climate(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
+    """The climatology of a record, its anomalies and trailing means; prints the statistics of the means."""
+    history = Inputs(windows=args.windows).history
+    if args.running_means_only:
+        climatology.running_means(spark, args.folder, args.windows, history, args.since)
+    else:
+        climatology.build(spark, args.record, args.folder, args.variables, args.windows, args.half, history)
+    return tables.read_window_stats(spark, f"{args.folder}/stats").orderBy("w", "var")
+
+
+def fit(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
+    """Fits samples (x, y, split) at a path, going on where the folder's last epoch ended; prints the epochs."""
+    how = fitting.Fit(epochs=args.epochs, rate=args.rate, ridge=args.ridge)
+    fitting.fit(spark.read.parquet(args.samples), how, args.folder)
+    return fitting.history(spark, args.folder).orderBy("epoch")
+
+
+def search(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
+    """Searches rates and ridges for the smallest validation loss of samples (x, y, split); goes on with the folder's trials, and prints them, the best first."""
+    samples = spark.read.parquet(args.samples)
+    space = fitting.Space({"rate": [10.0**-k for k in range(1, 5)], "ridge": [10.0**-k for k in range(1, 7)]}, ("rate", "ridge"))
+
+    def objective(s: dict) -> float:
+        name = runs.fingerprint(s)[:16]
+        return fitting.fit(samples, fitting.Fit(epochs=args.epochs, rate=s["rate"], ridge=s["ridge"]), f"{args.folder}/fits/{name}").best_loss
+
+    trials = fitting.search(spark, space, objective, f"{args.folder}/trials", args.trials, {"samples": args.samples, "epochs": args.epochs}, args.hours * 3600)
+    rows = [(t["rate"], t["ridge"], t["objective"], t["error"]) for t in trials]
+    return spark.createDataFrame(rows, "rate double, ridge double, objective double, error string").orderBy(F.col("objective").asc_nulls_last(), "rate", "ridge")
+
+
+def argo(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
+    """Decodes profile files and writes the good levels of each year as observations and profiles; prints the years, and files that can't be decoded."""
+    decoded = tables.kept(classic.read_profile_files(spark, args.pattern))
+    levels = tables.kept(profiles.tidy_levels(decoded.where("error = ''")))
+    years = sorted(r.y for r in levels.select(F.year("time").alias("y")).distinct().collect())  # a row per year
+    made = [(str(y), *map(str, profiles.write_year(levels, y, args.folder))) for y in years]
+    bad = decoded.where("error != ''").select("path", F.lit("failed"), "error")
+    return spark.createDataFrame(made, "what string, levels string, profiles string").unionByName(bad.toDF("what", "levels", "profiles"))
+
+
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="python -m gridwell", description=__doc__)
     commands = top.add_subparsers(dest="command", required=True)
@@ -112,6 +153,31 @@ def parser() -> argparse.ArgumentParser:
     own.add_argument("predictions")
     own.add_argument("--to")
     own.set_defaults(run=evaluate)
+    own = commands.add_parser("climatology", help=climate.__doc__)
+    own.add_argument("folder")
+    own.add_argument("--record")
+    own.add_argument("--variables", nargs="+", default=[])
+    own.add_argument("--windows", nargs="+", type=int, default=[30, 90])
+    own.add_argument("--half", type=int, default=7, help="days either way that the climatology is smoothed over")
+    own.add_argument("--running-means-only", action="store_true", help="from the anomalies that are there")
+    own.add_argument("--since", type=int, help="the first day (t) that was added; earlier blocks of means stay")
+    own.set_defaults(run=climate)
+    for run in (fit, search):
+        own = commands.add_parser(run.__name__, help=run.__doc__)
+        own.add_argument("samples")
+        own.add_argument("folder")
+        own.add_argument("--epochs", type=int, default=200)
+        own.set_defaults(run=run)
+        if run is fit:
+            own.add_argument("--rate", type=float, default=0.05)
+            own.add_argument("--ridge", type=float, default=0.0)
+        else:
+            own.add_argument("--trials", type=int, default=12)
+            own.add_argument("--hours", type=float, default=6.0, help="no trial begins later")
+    own = commands.add_parser("profiles", help=argo.__doc__)
+    own.add_argument("pattern")
+    own.add_argument("folder")
+    own.set_defaults(run=argo)
     return top
 
 

@@ -140,18 +140,34 @@ def merged_stats(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFra
     return both.select(*keys, *[F.coalesce(*[F.col(f"{side}.{c}") for side, table in (("n", new), ("o", old)) if c in table.columns]).alias(c) for c in values])
 
 
-def write_stats(stats: DataFrame, path: str) -> None:
-    """stats (var and its constants) as one JSON file {var: {constant: value}}, as read_stats takes it; what other keys the file has stays."""
-    spark = stats.sparkSession
-    rows = {r["var"]: {k: v for k, v in r.asDict().items() if k != "var" and v is not None} for r in stats.collect()}  # a row per variable
+def _merge_document(spark: SparkSession, path: str, more: dict) -> None:
+    """A small JSON file with more in it; dictionaries are merged, whatever else has a key is replaced, and other keys stay."""
     try:
         old = _document(spark, path)
     except Exception as e:  # no such file
         if "PATH_NOT_FOUND" not in str(e):
             raise
         old = {}
-    merged = json.dumps(old | {k: old.get(k, {}) | v for k, v in rows.items()}, sort_keys=True)
-    spark.range(1).select(F.lit(merged).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+    def merged(a: object, b: object) -> object:
+        return a | {k: merged(a.get(k), v) for k, v in b.items()} if isinstance(a, dict) and isinstance(b, dict) else b
+
+    text = json.dumps(merged(old, more), sort_keys=True)
+    spark.range(1).select(F.lit(text).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_stats(stats: DataFrame, path: str) -> None:
+    """stats (var and its constants) as one JSON file {var: {constant: value}}, as read_stats takes it; what other keys the file has stays."""
+    rows = {r["var"]: {k: v for k, v in r.asDict().items() if k != "var" and v is not None} for r in stats.collect()}  # a row per variable
+    _merge_document(stats.sparkSession, path, rows)
+
+
+def write_window_stats(stats: DataFrame, path: str) -> None:
+    """Constants (w, var, mean, std) into the JSON file that read_window_stats takes; what else it has stays."""
+    held: dict[str, dict] = {}
+    for r in stats.collect():  # a row per window and variable
+        held.setdefault(str(r.w), {})[r["var"]] = {"mean": r["mean"], "std": r["std"]}
+    _merge_document(stats.sparkSession, path, {"windows": held})
 
 
 def read_window_stats(spark: SparkSession, path: str) -> DataFrame:

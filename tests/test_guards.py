@@ -148,7 +148,7 @@ def test_search_ends_at_its_deadline_and_goes_on(spark):
 def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["plan", "--products", "glorys", "sss", "--years", "1992", "1993", "--depths", "0", "5"]) == 0
     assert [x.split("\t")[-1] for x in capsys.readouterr().out.strip().split("\n")] == ["glorys_0m_1993", "glorys_5m_1993", "sss_1993"]
-    product(spark, tmp_path / "sss_1993", [dt.date(1993, 1, 1), dt.date(1993, 1, 2)], "sos")
+    product(spark, tmp_path / "sss_1993", [dt.date(1993, 1, 1) + dt.timedelta(days=k) for k in range(365)], "sos")
     assert cli.main(["verify", "--products", "sss", "--years", "1993", str(tmp_path)]) == 0
     assert cli.main(["verify", "--products", "sss", "--years", "1993", "1994", str(tmp_path)]) == 1
     assert "missing" in capsys.readouterr().out
