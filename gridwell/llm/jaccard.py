@@ -18,7 +18,7 @@ further comparison, so a large class of near copies costs about a comparison a n
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +26,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import kept, mix, read, shared_folder, slices, written
 from .components import components
-from .nearcopies import _checked, _lists, shingles
 
 WORDS, PERCENT = 3, 90
 #: Hashes by which a set's tokens are dealt anew while too many parts are empty; with the last one empty parts count as well.
@@ -41,7 +41,10 @@ QUERIES = 4096
 #: Bits of a sketch, one for each remainder of the tokens: whether an odd number of tokens have it.
 BITS = 512
 
-MARKS = "row long, doc_id long, hash long, high long, low long, n int, least long, odd array<long>, signatures array<long>"
+#: Rows of 8 bytes up to which a list of keys is broadcast; a longer one is joined by shuffles.
+BROADCAST_KEYS = 1_000_000
+
+MARKS = "row long, doc_id long, key long, hash long, high long, low long, n int, fp long, least long, odd array<long>, signatures array<long>"
 LINKS = "u long, v long"
 
 
@@ -132,16 +135,40 @@ class Group:
         return np.flatnonzero(similar(common, len(own), self.sizes, percent))
 
 
-def _marks(words: int, percent: int):
+def shingles(text: bytes, words: int) -> np.ndarray:
+    """Sorted distinct hashes of the text's shingles; a shorter text is one shingle, a text without words has none."""
+    return set_of(simhash.hashed(text, words))
+
+
+def set_of(digests: bytes) -> np.ndarray:
+    """Sorted distinct hashes."""
+    return np.unique(np.frombuffer(digests, ">i8").astype(np.int64))
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *arrays])))
+
+
+def _checked(keys: DataFrame) -> DataFrame:
+    """keys (one long column), to be broadcast if a count says that there are few."""
+    keys = written(keys)
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
+def _marks(words: int, percent: int, fingerprint: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            own = [shingles(t or b"", words) for t in part.column("text").cast(pa.binary()).to_pylist()]
+            hashes = [simhash.hashed(t or b"", words) for t in part.column("text").cast(pa.binary()).to_pylist()]
+            fp = pa.array([simhash.majority(h) if fingerprint else None for h in hashes], pa.int64())
+            own = list(map(set_of, hashes))
             digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(o.tobytes()) for o in own), ">i8").astype(np.int64)
             least = pa.array([int(o[0]) if len(o) else None for o in own], pa.int64())
             sketches = _lists([odd(o) for o in own])
             signs = _lists([signatures(o, percent) if len(o) else o for o in own])
-            columns = [part.column("row"), part.column("doc_id"), part.column("hash"), pa.array(digests[0::2]), pa.array(digests[1::2]), pa.array(map(len, own), pa.int32()), least, sketches, signs]
-            yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "hash", "high", "low", "n", "least", "odd", "signatures"])
+            given = [part.column(c) for c in ("row", "doc_id", "key", "hash")]
+            columns = [*given, pa.array(digests[0::2]), pa.array(digests[1::2]), pa.array(map(len, own), pa.int32()), fp, least, sketches, signs]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "key", "hash", "high", "low", "n", "fp", "least", "odd", "signatures"])
 
     return run
 
@@ -235,15 +262,18 @@ def _near(other: str, percent: int) -> str:
     return f"{sizes} AND {100 + percent} * ({apart}) <= {100 - percent} * (n + {other}n)"
 
 
-def links(marks: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Pairs (u, v) of nodes (row of the first text with a set) that connect exactly the nodes that similar sets connect; marks is a written table of docs."""
+def links(marks: DataFrame, docs: DataFrame, words: int, percent: int, candidates: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Pairs (u, v) of nodes (row of the first text with a set) that connect exactly the nodes that similar sets connect; marks is a written table of docs.
+
+    candidates: gives, for nodes (node, fp), pairs (u, v) that are to be held against each other before others are.
+    """
     alike = marks.where("n > 0").groupBy("high", "low").agg(F.min("row").alias("node"), F.count("*").alias("times")).where("times > 1")
     again = _checked(marks.select("row", "high", "low").join(alike, ["high", "low"]).where("row != node").select("row"))
-    nodes = marks.where("n > 0").join(again, "row", "left_anti").withColumnRenamed("row", "node")
+    nodes = marks.where("n > 0").join(again, "row", "left_anti").withColumnRenamed("row", "node").drop("doc_id", "key")
     entries = nodes.select("node", "n", F.explode("signatures").alias("sign"))
     often = entries.groupBy("sign").agg(F.count("*").alias("times")).where("times > 1").select("sign")
     shared = written(entries.join(often, "sign"))
-    known = written(nodes.drop("signatures").join(shared.select("node").distinct(), "node", "left_semi"))
+    known = written(nodes.drop("signatures", "fp").join(shared.select("node").distinct(), "node", "left_semi"))
     chunks = known.groupBy("least").agg(F.ceil(F.greatest(F.count("*") / MEMBERS, F.sum(F.col("n").cast("long")) / TOKENS)).alias("chunks"))
     known = written(known.join(chunks, "least").withColumn("group", F.xxhash64("least", F.pmod(F.xxhash64("node"), "chunks"))).drop("chunks", "least"))
     wanted = _checked(known.select("hash").distinct())
@@ -269,6 +299,10 @@ def links(marks: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFr
 
     first = inside.select(F.col("u").alias("node"), F.col("v").alias("root"))
     led = rooted(first).where("root != lead.root AND group != lead.group").where(_near("lead.", percent)).select("node", F.col("lead.group").alias("group")).distinct()
+    if candidates:
+        u, v = (outside.select(F.col("node").alias(c), F.col("group").alias(f"group_{c}")) for c in "uv")
+        more = candidates(nodes.select("node", "fp")).join(u, "u").join(v, "v").where("group_u != group_v")
+        led = led.unionByName(more.select(F.col("u").alias("node"), F.col("group_v").alias("group"))).distinct()
     led = written(_open(led, sets, percent))
     # a root that is linked with others points to one of them, and on to where that one points: what has one root then is connected, which is all that is asked here
     point = led.join(first, F.col("u") == F.col("node"), "left").select(F.coalesce("root", "u").alias("root"), "v").where("root != v").groupBy("root").agg(F.min("v").alias("to"))
@@ -282,6 +316,19 @@ def links(marks: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFr
     return inside.unionByName(led).unionByName(_open(rest.select("node", F.col("other_group").alias("group")).distinct(), sets, percent))
 
 
+def marked(docs: DataFrame, words: int, percent: int, fingerprint: bool = False) -> DataFrame:
+    """A written table of docs (doc_id long, text string and perhaps key long) with what links() takes: a number for each row, its set's digest and size, and signatures."""
+    key = F.col("key") if "key" in docs.columns else F.lit(None).cast("long")
+    keyed = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", key.alias("key"), "text", F.xxhash64("text").alias("hash"))
+    return written(keyed.mapInArrow(_marks(words, percent, fingerprint), MARKS))
+
+
+def rooted_sets(marks: DataFrame, roots: DataFrame) -> DataFrame:
+    """For each set (high, low) of marks: its node, the smallest doc_id that has it (first), and its root by roots (node, root)."""
+    first = marks.groupBy("high", "low").agg(F.min("row").alias("node"), F.min("doc_id").alias("first"))
+    return first.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
 def similar_texts(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Per row of docs (doc_id, text; others are ignored): doc_id, n (distinct n-grams of lower-cased words) and component_id.
 
@@ -294,11 +341,9 @@ def similar_texts(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -
         raise ValueError("a per cent from 1 to 100")
     shared_folder(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    keyed = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", F.xxhash64("text").alias("hash"))
-    marks = written(keyed.mapInArrow(_marks(words, percent), MARKS))
+    marks = marked(docs, words, percent)
     roots = components(links(marks, docs, words, percent)).select(F.col("u").alias("node"), F.col("v").alias("root"))
-    first = marks.where("n > 0").groupBy("high", "low").agg(F.min("row").alias("node"), F.min("doc_id").alias("first"))
-    rooted = written(first.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    rooted = written(rooted_sets(marks.where("n > 0"), roots))
     named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("high", "low", "component_id")
     alone = marks.where("n = 0").select("doc_id", F.col("n").cast("long").alias("n"), F.col("doc_id").alias("component_id"))
     return marks.where("n > 0").join(named, ["high", "low"]).select("doc_id", F.col("n").cast("long").alias("n"), "component_id").unionByName(alone)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
-from gridwell.llm import nearcopies
+from gridwell.llm import jaccard, nearcopies
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -59,10 +59,10 @@ def made(rng):
     return texts
 
 
-@pytest.mark.parametrize("many", [nearcopies.MANY, 1, 10**9])
-def test_near_copies_against_brute_force(spark, monkeypatch, many):
-    monkeypatch.setattr(nearcopies, "MANY", many)
-    texts = made(random.Random(many % 97))
+@pytest.mark.parametrize("members", [jaccard.MEMBERS, 1, 10**9])
+def test_near_copies_against_brute_force(spark, monkeypatch, members):
+    monkeypatch.setattr(jaccard, "MEMBERS", members)
+    texts = made(random.Random(members % 97))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("key", F.xxhash64("text"))
     found = {}
     for r in nearcopies.near_copies(docs).collect():
@@ -84,11 +84,24 @@ def test_stage_leaves_one_row_of_repeated_and_null_ids(spark):
     assert sorted((str(r.doc_id), r.text[0]) for r in left) == [("1", "a"), ("1", "b"), ("2", "c"), ("None", "a")]
 
 
-def test_counts_bound_what_sets_share():
+def test_sketches_bound_how_far_sets_are_apart():
     rng = np.random.default_rng(5)
     for n in (0, 1, 40, 3000):
         u, v = (np.unique(rng.integers(-(2**63), 2**63 - 1, n)) for _ in range(2))
         v = np.unique(np.concatenate([v, u[: n // 2]]))
-        assert np.minimum(nearcopies.counts(u), nearcopies.counts(v)).sum() >= len(np.intersect1d(u, v))
-        assert nearcopies.counts(u).sum() == n
-    assert nearcopies.counts(np.arange(nearcopies.MOST + 1) * nearcopies.BUCKETS) is None
+        bits = sum(int(x).bit_count() for x in (jaccard.odd(u) ^ jaccard.odd(v)).view(np.uint64))
+        assert bits <= len(np.setxor1d(u, v)) and len(jaccard.odd(u)) == jaccard.BITS // 64
+
+
+def test_a_line_that_many_share_makes_no_candidates(spark, monkeypatch):
+    """Texts that have one of ten lines and are otherwise unlike: no pair of them is ever held against another, however many there are."""
+    asked = []
+    whole = jaccard._open
+    monkeypatch.setattr(jaccard, "_open", lambda queries, *more: asked.append(queries.count()) or whole(queries, *more))
+    for n in (400, 1600):
+        rng = random.Random(n)
+        lines = [" ".join(f"l{k}.{i}" for i in range(12)) for k in range(10)]
+        texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) + " " + lines[i % 10] for i in range(n)]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("key", F.xxhash64("text"))
+        assert nearcopies.near_copies(docs).select("root").distinct().count() == n
+    assert max(asked) <= 3
