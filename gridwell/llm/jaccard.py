@@ -304,16 +304,12 @@ def links(marks: DataFrame, docs: DataFrame, words: int, percent: int, candidate
         more = candidates(nodes.select("node", "fp")).join(u, "u").join(v, "v").where("group_u != group_v")
         led = led.unionByName(more.select(F.col("u").alias("node"), F.col("group_v").alias("group"))).distinct()
     led = written(_open(led, sets, percent))
-    # a root that is linked with others points to one of them, and on to where that one points: what has one root then is connected, which is all that is asked here
-    point = led.join(first, F.col("u") == F.col("node"), "left").select(F.coalesce("root", "u").alias("root"), "v").where("root != v").groupBy("root").agg(F.min("v").alias("to"))
-    point = written(point)
-    second = outside.select("node").join(first, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
-    for _ in range(2):
-        second = second.join(point, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    joined = written(inside.unionByName(led))
+    second = components(joined).select(F.col("u").alias("node"), F.col("v").alias("root"))
     left = written(rooted(second).drop("lead"))
     names = {c: f"other_{c}" for c in ("node", "n", "group", "root", "held", "odd")}
     rest = left.join(left.withColumnsRenamed(names), "sign").where("group < other_group AND root != other_root").where(_near("other_", percent))
-    return inside.unionByName(led).unionByName(_open(rest.select("node", F.col("other_group").alias("group")).distinct(), sets, percent))
+    return joined.unionByName(_open(rest.select("node", F.col("other_group").alias("group")).distinct(), sets, percent))
 
 
 def marked(docs: DataFrame, words: int, percent: int, fingerprint: bool = False) -> DataFrame:
