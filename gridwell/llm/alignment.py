@@ -77,7 +77,7 @@ class Coder:
         """The ids of both, or None where a vocabulary doesn't give the text's bytes back."""
         data = b" " + text.encode()
         b = self.b.encode(text)
-        if b"".join([self.b_bytes[i] for i in b]) != data:
+        if b"".join(map(self.b_bytes.__getitem__, b)) != data:
             return None
         a = self.encode_a(" " + text)
         # bytes are all that A has, so it can leave some out but not change them
