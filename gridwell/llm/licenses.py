@@ -26,8 +26,8 @@ SHINGLE, CONTAINED, MISS = 5, 0.8, 1e-6
 SHORT_BLOCK, BAND_ROWS = 2, 2
 #: Shingles of all templates up to which the index is broadcast; a larger one is joined by shuffles, with the same result.
 KNOWN_SHINGLES = 20_000
-#: Signs of a text that are cut into words at once, and for each word that a window may reach beyond them; shingles that are joined at once.
-PIECE, REACH, CHUNK = 1 << 18, 256, 2048
+#: Signs of a text that are cut into words at once; shingles that are joined at once.
+PIECE, CHUNK = 1 << 18, 2048
 
 #: Notices of public licences, as projects state them.
 TEMPLATES = {
@@ -55,8 +55,13 @@ def templates(spark: SparkSession, texts: dict[str, str] = TEMPLATES) -> DataFra
     return spark.range(1).select(F.explode(rows).alias("t")).select("t.template", "t.text")
 
 
+def _plain(text: Column) -> Column:
+    """Lower-case words with one space between them."""
+    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
+
+
 def _words(text: Column) -> Column:
-    return F.split(F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), " ")
+    return F.split(_plain(text), " ")
 
 
 def _shingled(words: Column, size: int = SHINGLE) -> Column:
@@ -95,21 +100,25 @@ def _index(forms: DataFrame) -> DataFrame:
     return signed.select(first.alias("part"), "template", "block", lows.alias("lows")).groupBy("part", "template", "block").agg(F.collect_list("lows").alias("lows"))
 
 
-def _pieces(docs: DataFrame, block: int) -> DataFrame:
+def _pieces(docs: DataFrame, block: int, longest: int) -> DataFrame:
     """docs by parts of their texts: doc_id, base (words before), own (shingles that windows may start at) and hashes, which go on for two blocks.
 
-    A row that is exploded is copied for each part, so rows carry no more than a part each.
+    A row that is exploded is copied for each part, so rows carry no more than a part each. Words of a text in
+    parts that are longer than longest, the longest of the templates, are shortened to a sign more than that: no
+    template has them before or after. So it is known how many signs the two blocks of words take at most.
     """
-    wordy, size, reach = r"[\p{L}\p{N}]", F.lit(PIECE), F.lit(REACH * (2 * block + SHINGLE))
-    spaced = docs.where(F.col("text").isNotNull()).select("doc_id", F.concat(F.lit(" "), "text").alias("text"))
+    size, reach = F.lit(PIECE), F.lit(min((longest + 2) * (2 * block + SHINGLE + 1), 1 << 30))
+    plain = docs.where(F.col("text").isNotNull()).select("doc_id", _plain(F.col("text")).alias("text"))
+    short = F.regexp_replace("text", f"([^ ]{{{longest + 1}}})[^ ]+", "$1")
+    spaced = plain.select("doc_id", F.concat(F.lit(" "), F.when(F.length("text") > size, short).otherwise(F.col("text"))).alias("text"))
     last = F.greatest(F.ceil((F.length("text") - 1) / size), F.lit(1)).cast("int") - 1
-    # each part begins with the sign before it: if a word starts there, it is the end of one that the part before has
+    # each part begins with the sign before it, so that a word starts in the part wherever a space stands in its first signs
     parts = F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(F.col("text"), i * size + 1, size + 1 + reach))
-    counted = F.transform(parts, lambda p: F.struct(p.alias("text"), (F.regexp_count(F.substring(p, F.lit(2), size), F.lit(wordy + "+")) - p.rlike(f"^{wordy}{{2}}").cast("int")).alias("own")))
+    counted = F.transform(parts, lambda p: F.struct(p.alias("text"), (size - F.length(F.replace(F.substring(p, F.lit(1), size), F.lit(" "), F.lit("")))).alias("own")))
     listed = spaced.select("doc_id", F.length("text").alias("signs"), F.when(last > 0, counted).otherwise(F.array(F.struct(F.col("text"), F.lit(None).cast("int").alias("own")))).alias("parts"))
     cut = listed.withColumn("counts", F.transform("parts", lambda p: p["own"])).select("doc_id", "signs", "counts", F.posexplode("parts").alias("i", "part"))
-    i, words = F.col("i"), _words(F.col("part.text"))
-    torn_first, torn_last = F.col("part.text").rlike("^" + wordy).cast("int"), (i * size + size + 1 + reach < F.col("signs")).cast("int")
+    i, words = F.col("i"), F.split(F.trim("part.text"), " ")
+    torn_first, torn_last = (~F.startswith("part.text", F.lit(" "))).cast("int"), (i * size + size + 1 + reach < F.col("signs")).cast("int")
     whole = F.when(F.size("counts") == 1, words).otherwise(F.slice(words, torn_first + 1, F.greatest(F.size(words) - torn_first - torn_last, F.lit(0))))
     base = F.when(i > 0, F.aggregate(F.slice("counts", 1, i), F.lit(0), lambda a, x: a + x)).otherwise(0)
     hashed = cut.select("doc_id", base.alias("base"), F.when(i + 1 < F.size("counts"), F.col("part.own")).alias("own"), whole.alias("words")).select("doc_id", "base", "own", _shingled(F.col("words")).alias("hashes"))
@@ -118,6 +127,15 @@ def _pieces(docs: DataFrame, block: int) -> DataFrame:
     return chunk.select("doc_id", (F.col("base") + F.col("s")).alias("base"), F.least(F.col("own") - F.col("s"), F.lit(CHUNK)).alias("own"), F.slice("hashes", F.col("s") + 1, CHUNK + 2 * block).alias("hashes"))
 
 
+def _looked_up(pieces: DataFrame, index: DataFrame) -> DataFrame:
+    """pieces beside the places of them that index has. The shingles are shuffled alone; what meets the index finds its piece again by digest."""
+    keyed = pieces.withColumn("digest", F.xxhash64("hashes"))
+    found = keyed.select("doc_id", "base", "own", "digest", F.posexplode("hashes").alias("at", "part")).join(index, "part").alias("found")
+    whole = keyed.distinct().alias("whole")  # repeated rows of docs would meet each other's places
+    same = [F.col(f"found.{c}").eqNullSafe(F.col(f"whole.{c}")) for c in ("doc_id", "base", "own", "digest")]
+    return found.join(whole, same[0] & same[1] & same[2] & same[3]).select("whole.doc_id", "whole.base", "whole.own", "whole.hashes", "found.at", "found.template", "found.block", "found.lows")
+
+
 def scan(docs: DataFrame, forms: DataFrame, contained: float = CONTAINED) -> DataFrame:
     """docs (doc_id, text) against forms (template, text): doc_id, template, found, shingles, containment, start.
 
@@ -125,12 +143,13 @@ def scan(docs: DataFrame, forms: DataFrame, contained: float = CONTAINED) -> Dat
     row tells the best window (the first of equals): how many it has and the word that it starts at. A
     null or short text and a template of fewer words than a shingle match nothing. Rows of docs with the
     same doc_id count as one document, null ids among them; other columns are ignored; an empty table gives none.
-    A very long text is cut into words in parts of PIECE signs; a window that goes on into the next part ends there
-    after REACH signs for each of its words.
+    A very long text is cut into words in parts of PIECE signs; windows go on into the next part, however long the
+    words there are.
     """
-    forms = forms.select("template", F.array_distinct(shingles(F.col("text"))).alias("parts")).where(F.size("parts") > 0)
+    forms = forms.select("template", F.array_distinct(shingles(F.col("text"))).alias("parts"), F.array_max(F.transform(_words(F.col("text")), F.length)).alias("longest")).where(F.size("parts") > 0)
     forms = forms.withColumn("block", F.pow(F.lit(2), F.ceil(F.log2(F.size("parts")))).cast("int"))
-    sizes = {r.block: r.n for r in forms.groupBy("block").agg(F.sum(F.size("parts")).alias("n")).collect()}  # one row for each power of two
+    known = forms.groupBy("block").agg(F.sum(F.size("parts")).alias("n"), F.max("longest").alias("longest")).collect()  # one row for each power of two
+    sizes = {r.block: r.n for r in known}
     if not sizes:
         return docs.select("doc_id", F.lit("").alias("template"), F.lit(0).alias("found"), F.lit(0).alias("shingles"), F.lit(0.0).alias("containment"), F.lit(0).cast("long").alias("start")).where(F.lit(False))
     few = sum(sizes.values()) <= KNOWN_SHINGLES
@@ -142,7 +161,11 @@ def scan(docs: DataFrame, forms: DataFrame, contained: float = CONTAINED) -> Dat
         return F.create_map(*[F.lit(x) for b in sizes for x in (b, f(b))])[F.col("block")]
 
     forms = forms.withColumns({"bands": by_block(lambda b: bands(b, contained)), "rows": by_block(band_rows)})
-    hits = _pieces(docs, max(sizes)).select("doc_id", "base", "own", "hashes", F.posexplode_outer("hashes").alias("at", "part")).join(checked(_index(forms)), "part")
+    pieces, index = _pieces(docs, max(sizes), max(r.longest for r in known)), _index(forms)
+    if few:
+        hits = pieces.select("doc_id", "base", "own", "hashes", F.posexplode("hashes").alias("at", "part")).join(F.broadcast(index), "part")
+    else:
+        hits = _looked_up(pieces, index)
     home = F.floor((F.col("base") + F.col("at")) / F.col("block")) * F.col("block")
     near = hits.withColumn("start", F.explode(F.array(home, home - F.col("block"))))
     near = near.where((F.col("start") >= F.col("base")) & (F.col("start") < F.col("base") + F.col("own")))

@@ -375,6 +375,58 @@ def test_license_bands_and_the_join_without_a_list_of_shingles(spark, documents,
     assert whole == sorted(map(tuple, licenses.scan(documents, licenses.templates(spark, {"MIT": licenses.TEMPLATES["MIT"], "GPL": licenses.TEMPLATES["GPL-3.0"]})).collect()))
 
 
+def _notices(rows, known):
+    """What scan() tells of rows, by holding every window of every text against every template."""
+    import regex
+
+    def shingles(text):
+        words = regex.sub(r"[^\p{L}\p{N}]+", " ", (text or "").lower()).strip(" ").split(" ")
+        return [tuple(words[i : i + licenses.SHINGLE]) for i in range(len(words) - licenses.SHINGLE + 1)]
+
+    out = []
+    forms = {name: set(shingles(text)) for name, text in known.items()}
+    for doc_id, text in rows:
+        own = shingles(text)
+        for name, parts in forms.items():
+            block = 1 << (len(parts) - 1).bit_length()
+            best = max(((len(parts.intersection(own[s : s + 2 * block])), -s) for s in range(0, len(own), block)), default=(0, 0))
+            if best[0] >= licenses.CONTAINED * len(parts):
+                out.append((doc_id, name, best[0], len(parts), best[0] / len(parts), -best[1]))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("known", [20_000, 0])
+def test_licenses_across_parts_with_very_long_words(spark, monkeypatch, known):
+    """Notices before, on and after the end of a part, with words or white space of many signs in their middle."""
+    monkeypatch.setattr(licenses, "KNOWN_SHINGLES", known)
+    notice = licenses.TEMPLATES["Apache-2.0-header"].split()
+    middle = {"none": [], "word": ["é" * 90_000], "longer": ["x" * 400_000], "space": ["\n " * 200_000], "dots": [". . " * 100_000]}
+    rows = [(1, None), (2, ""), (3, " " * 600_000)]
+    for n, (at, words) in enumerate((at, w) for at in (0, licenses.PIECE - 200, licenses.PIECE - 1, licenses.PIECE + 7) for w in middle.values()):
+        lead = ("lorem ipsum " * (at // 12 + 1))[:at]
+        rows.append((10 + n, lead + " ".join([*notice[:30], *words, *notice[30:]]) + " end of the text" * (n % 3 * 9_000)))
+    docs = spark.createDataFrame(rows + rows[5:7], "doc_id long, text string")
+    texts = {k: licenses.TEMPLATES[k] for k in ("Apache-2.0-header", "Apache-2.0", "MIT")}
+    found = sorted((r.doc_id, r.template, r.found, r.shingles, r.containment, r.start) for r in licenses.scan(docs, licenses.templates(spark, texts)).collect())
+    assert {r[0] for r in found if r[1] == "Apache-2.0-header"} == set(range(10, 30))
+    assert found == _notices(rows, texts)
+
+
+def test_license_parts_have_the_windows_of_the_whole(spark, monkeypatch):
+    """Parts of a few hundred signs, cut anywhere in words and spaces, give what one part gives."""
+    rng = random.Random(5)
+    texts = {k: licenses.TEMPLATES[k] for k in ("MIT", "CC0-1.0", "ISC", "GPL-3.0")}
+    rows = []
+    for i in range(60):
+        words = [rng.choice([rng.choice(["of", "the", "İstanbul", "y" * rng.randint(1, 90), "𝔘𝔫𝔦", "—"]), rng.choice(list(texts.values()))]) for _ in range(rng.randint(0, 60))]
+        rows.append((i, rng.choice(["", "  ", "a"]) + rng.choice([" ", "  ", ", "]).join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = sorted(map(tuple, licenses.scan(docs, licenses.templates(spark, texts)).collect()))
+    for size in (1, 97, 256):
+        monkeypatch.setattr(licenses, "PIECE", size)
+        assert whole and sorted(map(tuple, licenses.scan(docs.where("doc_id < 12") if size == 1 else docs, licenses.templates(spark, texts)).collect())) == [r for r in whole if size > 1 or r[0] < 12]
+
+
 def test_licenses_run_no_python(spark, documents):
     plan = licenses.scan(documents, licenses.templates(spark))._jdf.queryExecution().toString()
     assert not any(word in plan for word in ("Python", "Pandas", "Arrow"))
