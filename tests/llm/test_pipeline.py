@@ -56,3 +56,12 @@ def test_language_stage_keeps_texts_where_no_language_is_known(spark, documents)
     unknown = documents.withColumn("lang", F.lit(None).cast("string"))
     left = {r.doc_id for r in P.keep_one_language(spark, unknown, SMALL).collect()}
     assert left == {r.doc_id for r in documents.collect() if r.text and any(map(str.isalpha, r.text))} != set()
+
+
+def test_near_duplicates_change_what_is_packed(spark):
+    """Short copies, and what differs in a long near copy, are in no later stage's way: without this stage they would be packed."""
+    words = [f"w{i}" for i in range(300)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:150], "other", *words[151:]])), (3, "a short text"), (4, "a short text"), (5, "quite another text of a few words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    packed = [{r.doc_id for r in P.pack(spark, P.drop_repeats(spark, d, SMALL), SMALL).collect()} for d in (P.drop_near_duplicates(spark, docs, SMALL), docs)]
+    assert packed == [{1, 3, 5}, {1, 2, 3, 4, 5}]
