@@ -18,7 +18,7 @@ further comparison, so a large class of near copies costs about a comparison a n
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +44,7 @@ BITS = 512
 #: Rows of 8 bytes up to which a list of keys is broadcast; a longer one is joined by shuffles.
 BROADCAST_KEYS = 1_000_000
 
-MARKS = "row long, doc_id long, key long, hash long, high long, low long, n int, fp long, least long, odd array<long>, signatures array<long>"
+MARKS = "row long, doc_id long, key long, hash long, high long, low long, n int, least long, odd array<long>, signatures array<long>"
 LINKS = "u long, v long"
 
 
@@ -156,19 +156,18 @@ def _checked(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
 
 
-def _marks(words: int, percent: int, fingerprint: bool):
+def _marks(words: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             hashes = [simhash.hashed(t or b"", words) for t in part.column("text").cast(pa.binary()).to_pylist()]
-            fp = pa.array([simhash.majority(h) if fingerprint else None for h in hashes], pa.int64())
             own = list(map(set_of, hashes))
             digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(o.tobytes()) for o in own), ">i8").astype(np.int64)
             least = pa.array([int(o[0]) if len(o) else None for o in own], pa.int64())
             sketches = _lists([odd(o) for o in own])
             signs = _lists([signatures(o, percent) if len(o) else o for o in own])
             given = [part.column(c) for c in ("row", "doc_id", "key", "hash")]
-            columns = [*given, pa.array(digests[0::2]), pa.array(digests[1::2]), pa.array(map(len, own), pa.int32()), fp, least, sketches, signs]
-            yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "key", "hash", "high", "low", "n", "fp", "least", "odd", "signatures"])
+            columns = [*given, pa.array(digests[0::2]), pa.array(digests[1::2]), pa.array(map(len, own), pa.int32()), least, sketches, signs]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "key", "hash", "high", "low", "n", "least", "odd", "signatures"])
 
     return run
 
@@ -262,18 +261,15 @@ def _near(other: str, percent: int) -> str:
     return f"{sizes} AND {100 + percent} * ({apart}) <= {100 - percent} * (n + {other}n)"
 
 
-def links(marks: DataFrame, docs: DataFrame, words: int, percent: int, candidates: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Pairs (u, v) of nodes (row of the first text with a set) that connect exactly the nodes that similar sets connect; marks is a written table of docs.
-
-    candidates: gives, for nodes (node, fp), pairs (u, v) that are to be held against each other before others are.
-    """
+def links(marks: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Pairs (u, v) of nodes (row of the first text with a set) that connect exactly the nodes that similar sets connect; marks is a written table of docs."""
     alike = marks.where("n > 0").groupBy("high", "low").agg(F.min("row").alias("node"), F.count("*").alias("times")).where("times > 1")
     again = _checked(marks.select("row", "high", "low").join(alike, ["high", "low"]).where("row != node").select("row"))
     nodes = marks.where("n > 0").join(again, "row", "left_anti").withColumnRenamed("row", "node").drop("doc_id", "key")
     entries = nodes.select("node", "n", F.explode("signatures").alias("sign"))
     often = entries.groupBy("sign").agg(F.count("*").alias("times")).where("times > 1").select("sign")
     shared = written(entries.join(often, "sign"))
-    known = written(nodes.drop("signatures", "fp").join(shared.select("node").distinct(), "node", "left_semi"))
+    known = written(nodes.drop("signatures").join(shared.select("node").distinct(), "node", "left_semi"))
     chunks = known.groupBy("least").agg(F.ceil(F.greatest(F.count("*") / MEMBERS, F.sum(F.col("n").cast("long")) / TOKENS)).alias("chunks"))
     known = written(known.join(chunks, "least").withColumn("group", F.xxhash64("least", F.pmod(F.xxhash64("node"), "chunks"))).drop("chunks", "least"))
     wanted = _checked(known.select("hash").distinct())
@@ -289,6 +285,15 @@ def links(marks: DataFrame, docs: DataFrame, words: int, percent: int, candidate
 
     inside = sets.withColumns({"salt": F.lit(0), "kind": F.lit(0)}).repartition("group").sortWithinPartitions("group", "node")
     inside = written(inside.mapInArrow(_inside(percent), LINKS))
+    return between(shared, outside, sets, inside, inside, percent)
+
+
+def between(shared: DataFrame, outside: DataFrame, sets: DataFrame, before: DataFrame, stars: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) that connect, with those of before, which are among them, all nodes of different groups that similar sets connect.
+
+    shared (sign, node, n) has the signatures of nodes, outside (node, group, held, odd) those that can have a match in another group, sets (node,
+    group, own) their sets. stars: each node that isn't the first of its component as u, that first one as v. All are written tables.
+    """
 
     def rooted(roots: DataFrame) -> DataFrame:
         """Entries with the root of their node, of signatures that several roots have; roots has nodes whose root is another."""
@@ -297,14 +302,10 @@ def links(marks: DataFrame, docs: DataFrame, words: int, percent: int, candidate
         met = every.groupBy("sign").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.min(F.struct("n", "node", "root", "group", "held", "odd")).alias("lead")).where("a != b")
         return every.join(met.select("sign", "lead"), "sign")
 
-    first = inside.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    first = stars.select(F.col("u").alias("node"), F.col("v").alias("root"))
     led = rooted(first).where("root != lead.root AND group != lead.group").where(_near("lead.", percent)).select("node", F.col("lead.group").alias("group")).distinct()
-    if candidates:
-        u, v = (outside.select(F.col("node").alias(c), F.col("group").alias(f"group_{c}")) for c in "uv")
-        more = candidates(nodes.select("node", "fp")).join(u, "u").join(v, "v").where("group_u != group_v")
-        led = led.unionByName(more.select(F.col("u").alias("node"), F.col("group_v").alias("group"))).distinct()
     led = written(_open(led, sets, percent))
-    joined = written(inside.unionByName(led))
+    joined = written(before.unionByName(led))
     second = components(joined).select(F.col("u").alias("node"), F.col("v").alias("root"))
     left = written(rooted(second).drop("lead"))
     names = {c: f"other_{c}" for c in ("node", "n", "group", "root", "held", "odd")}
@@ -312,11 +313,11 @@ def links(marks: DataFrame, docs: DataFrame, words: int, percent: int, candidate
     return joined.unionByName(_open(rest.select("node", F.col("other_group").alias("group")).distinct(), sets, percent))
 
 
-def marked(docs: DataFrame, words: int, percent: int, fingerprint: bool = False) -> DataFrame:
+def marked(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """A written table of docs (doc_id long, text string and perhaps key long) with what links() takes: a number for each row, its set's digest and size, and signatures."""
     key = F.col("key") if "key" in docs.columns else F.lit(None).cast("long")
     keyed = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", key.alias("key"), "text", F.xxhash64("text").alias("hash"))
-    return written(keyed.mapInArrow(_marks(words, percent, fingerprint), MARKS))
+    return written(keyed.mapInArrow(_marks(words, percent), MARKS))
 
 
 def rooted_sets(marks: DataFrame, roots: DataFrame) -> DataFrame:

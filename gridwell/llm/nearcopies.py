@@ -1,23 +1,57 @@
 """Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, found exactly.
 
-SimHash fingerprints of the same shingles give the first candidates: pairs within a few bits, by the grid join
-of simhash.py. Similar sets are often further apart (at a similarity of 0.8 about 10 of 64 bits differ), so
-the signatures of jaccard.py find the others: they join by the content of parts of whole sets, which a line that many texts
-share fills differently in each text. What either finds is verified on the whole sets.
+Most links are found cheaply first: nodes with the same least token, then those with the same least token by another hash
+and those whose SimHash fingerprints are within a few bits (the grid join of simhash.py), meet in groups of bounded
+size and are compared by their whole sets. None of this finds all pairs (at a similarity of 0.8 about 10 of 64 bits differ).
+
+What is left is between components. A node whose tokens are more than a fifth in its own component alone has no match outside; a
+third of all tokens tells this of nearly all nodes, the others of the rest. Nodes that may have one are joined by the signatures of jaccard.py, of which similar sets have
+one in common: they are the content of parts of whole sets, which a line that many texts share fills differently in each text. Tokens and
+signatures are hundreds a text, so they are never written: tasks make them from the texts and pack them by ranges, and a range
+gives back counts, or signatures of several components alone. Every link is verified on the whole sets.
 
 Texts with equal sets are one node, and what is connected already isn't held against each other again, so a large group costs about a link per node.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from . import jaccard, simhash
-from .common import shared_folder, written
+from .common import mix, shared_folder, slices, written
 from .components import components
 
 WORDS, BITS, PERCENT = 5, 3, 80
+#: Values that a task packs at once, and that a range has, about; small tables have up to RANGES ranges all the same.
+PACKED, RANGE, RANGES = 1 << 20, 1 << 20, 32
+#: The tokens that are looked at first: those with remainder 0 by this.
+SHARE = 3
+
+MARKS = "row long, doc_id long, key long, hash long, high long, low long, n int, fp long, least long, second long, odd array<long>"
+PACKS = "part int, first long, gaps binary, roots binary, counts binary, signs binary"
+
+
+def _digests(own: list[np.ndarray]) -> np.ndarray:
+    """The 128 bits of each set in two columns."""
+    return np.frombuffer(b"".join(xxhash.xxh3_128_digest(o.tobytes()) for o in own), ">i8").astype(np.int64).reshape(-1, 2)
+
+
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in slices(batches):
+        hashes = [simhash.hashed(t or b"", WORDS) for t in part.column("text").cast(pa.binary()).to_pylist()]
+        own = list(map(jaccard.set_of, hashes))
+        digests = _digests(own)
+        least = pa.array([int(o[0]) if len(o) else None for o in own], pa.int64())
+        second = pa.array([int(mix(o.view(np.uint64)).view(np.int64).min()) if len(o) else None for o in own], pa.int64())
+        given = [part.column(c) for c in ("row", "doc_id", "key", "hash")]
+        columns = [*given, pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array(map(len, own), pa.int32()), pa.array(map(simhash.majority, hashes), pa.int64()), least, second, jaccard._lists(list(map(jaccard.odd, own)))]
+        yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "key", "hash", "high", "low", "n", "fp", "least", "second", "odd"])
 
 
 def by_fingerprint(nodes: DataFrame) -> DataFrame:
@@ -30,16 +64,184 @@ def by_fingerprint(nodes: DataFrame) -> DataFrame:
     return same.unionByName(named.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")))
 
 
+def _texts(docs: DataFrame, wanted: DataFrame, *more: str) -> DataFrame:
+    """The texts of wanted nodes (node, hash, times, high, low and more), a row for each row of wanted; a text whose hash alone is a node's may be among them."""
+    given = jaccard._checked(wanted.select("hash", "times", "high", "low", "node", *more))
+    found = docs.select("text", F.xxhash64("text").alias("hash")).join(given, "hash")
+    return found.where("times = 1").unionByName(found.where("times > 1").dropDuplicates(["node", *more, "text"]))
+
+
+def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Rows (high, low, text and others) and their sets; rows whose set isn't that of these digests are left out."""
+    for part in slices(batches):
+        own = [jaccard.shingles(t or b"", WORDS) for t in part.column("text").cast(pa.binary()).to_pylist()]
+        digests = _digests(own)
+        held = np.flatnonzero((digests[:, 0] == part.column("high").to_numpy()) & (digests[:, 1] == part.column("low").to_numpy()))
+        if len(held):
+            yield part.take(pa.array(held)), [own[i] for i in held]
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part, own in _with_sets(batches):
+        yield pa.RecordBatch.from_arrays([part.column("node"), part.column("group"), jaccard._lists(own)], names=["node", "group", "own"])
+
+
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links inside groups, of rows sorted by group and node."""
+
+    def sets() -> Iterator[pa.RecordBatch]:
+        for part, own in _with_sets(batches):
+            zeros = pa.array(np.zeros(len(own), np.int32))
+            yield pa.RecordBatch.from_arrays([part.column("group"), zeros, zeros, part.column("node"), jaccard._lists(own)], names=["group", "salt", "kind", "node", "own"])
+
+    return jaccard._inside(PERCENT)(sets())
+
+
+def _grouped(docs: DataFrame, nodes: DataFrame, groups: DataFrame) -> DataFrame:
+    """Links (u, v) of similar nodes (with their roots so far) that meet in a group; large groups are dealt into smaller ones at random, and those of one root are left out."""
+    at = groups.join(nodes, "node").select("group", "node", "root", "n", "hash", "times", "high", "low")
+    chunks = at.groupBy("group").agg(F.ceil(F.greatest(F.count("*") / jaccard.MEMBERS, F.sum(F.col("n").cast("long")) / jaccard.TOKENS)).alias("chunks"), F.min("root").alias("a"), F.max("root").alias("b"))
+    dealt = at.join(chunks.where("a != b").select("group", "chunks"), "group").withColumn("group", F.xxhash64("group", F.pmod(F.xxhash64("node", "group"), "chunks")))
+    dealt = written(dealt.drop("chunks"))
+    several = dealt.groupBy("group").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("group")
+    texts = _texts(docs, dealt.join(several, "group", "left_semi"), "group").select("group", "node", "high", "low", "text")
+    return written(texts.repartition("group").sortWithinPartitions("group", "node").mapInArrow(_linked, jaccard.LINKS))
+
+
+def _least_type(values: np.ndarray) -> np.ndarray:
+    return values.astype(np.min_scalar_type(int(values.max())))
+
+
+def _some(tokens: np.ndarray) -> np.ndarray:
+    return tokens[tokens.view(np.uint64) % np.uint64(SHARE) == 0]
+
+
+def _others(tokens: np.ndarray) -> np.ndarray:
+    return tokens[tokens.view(np.uint64) % np.uint64(SHARE) != 0]
+
+
+def _pack(parts: int, values: Callable[[np.ndarray], np.ndarray]):
+    """What values() gives of the sets of rows (node, root, high, low, text), by ranges: of each node the distance to the one before, 32 bits of its root, how many values it has there, and 32 bits of each."""
+
+    def packed(rows: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
+        rows.sort(key=lambda r: r[0])
+        nodes, roots = (np.array([r[k] for r in rows], np.int64) for k in (0, 1))
+        signs = np.concatenate([r[2] for r in rows]).view(np.uint64)
+        part = ((signs >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        part, signs = part[order], signs[order].astype(np.uint32)
+        owner = np.repeat(np.arange(len(rows)), [len(r[2]) for r in rows])[order]
+        start = np.flatnonzero(np.diff(part, prepend=-1) | np.diff(owner, prepend=-1))
+        count, owner, at = np.diff(start, append=len(part)), owner[start], part[start]
+        first = np.flatnonzero(np.diff(at, prepend=-1))
+        columns = [[] for _ in range(6)]
+        for i, j in zip(first, np.append(first[1:], len(at)), strict=True):
+            p, own = int(at[i]), nodes[owner[i:j]]
+            tags = (mix((roots[owner[i:j]] ^ np.int64(p << 1 | 1)).view(np.uint64)) >> np.uint64(32)).astype(np.uint32)
+            ends = start[i], start[j] if j < len(at) else len(part)
+            for column, value in zip(columns, (p, int(own[0]), _least_type(np.diff(own, prepend=own[0])).tobytes(), tags.tobytes(), _least_type(count[i:j]).tobytes(), signs[slice(*ends)].tobytes()), strict=True):
+                column.append(value)
+        kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 4]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["part", "first", "gaps", "roots", "counts", "signs"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, n = [], 0
+        for part, own in _with_sets(batches):
+            for node, root, tokens in zip(part.column("node").to_pylist(), part.column("root").to_pylist(), own, strict=True):
+                found = values(tokens)
+                if len(found):
+                    rows.append((node, root, found))
+                    n += len(found)
+            if n >= PACKED:
+                yield packed(rows)
+                rows, n = [], 0
+        if rows:
+            yield packed(rows)
+
+    return run
+
+
+def _unpacked(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of one range: nodes, 32 bits of their values, and whether nodes of several roots have the value."""
+    nodes, roots, signs = [], [], []
+    for r in table.to_pylist():
+        tags = np.frombuffer(r["roots"], np.uint32)
+        gaps, counts = (np.frombuffer(r[c], f"u{len(r[c]) // len(tags)}").astype(np.int64) for c in ("gaps", "counts"))
+        nodes.append(np.repeat(r["first"] + np.cumsum(gaps), counts))
+        roots.append(np.repeat(tags, counts))
+        signs.append(np.frombuffer(r["signs"], np.uint32))
+    nodes, roots, signs = map(np.concatenate, (nodes, roots, signs))
+    order = np.argsort(signs, kind="stable")
+    nodes, roots, signs = nodes[order], roots[order], signs[order]
+    start = np.flatnonzero(np.diff(signs.astype(np.int64), prepend=-1))
+    several = np.minimum.reduceat(roots, start) != np.maximum.reduceat(roots, start)
+    return nodes, signs, np.repeat(several, np.diff(start, append=len(signs)))
+
+
+def _of_several(table: pa.Table) -> pa.Table:
+    """The values of a range that nodes of several roots have, with these nodes."""
+    nodes, signs, several = _unpacked(table)
+    return pa.table({"sign": signs[several].astype(np.int64) | table.column("part")[0].as_py() << 32, "node": nodes[several]})
+
+
+def _alone(table: pa.Table) -> pa.Table:
+    """How many values of a range each node has that no other root has."""
+    nodes, _, several = _unpacked(table)
+    node, times = np.unique(nodes[~several], return_counts=True)
+    return pa.table({"node": node, "alone": times})
+
+
+def _packs(docs: DataFrame, nodes: DataFrame, values: Callable[[np.ndarray], np.ndarray], share: float) -> GroupedData:
+    """The ranges of what values() gives of the nodes' sets, about share times as many as tokens.
+
+    A root is told by 32 bits that are others in each range: two roots that are taken for one in a range (a chance of 2**-32) hide what they alone share
+    there. Two values that are taken for one only make a candidate more.
+    """
+    total = int(share * (nodes.agg(F.sum(F.col("n").cast("long"))).first()[0] or 0))
+    parts = max(total // RANGE, min(RANGES, total >> 12), 1)
+    return _texts(docs, nodes, "root").select("node", "root", "high", "low", "text").mapInArrow(_pack(parts, values), PACKS).groupBy("part")
+
+
+def _open_nodes(docs: DataFrame, nodes: DataFrame, values: Callable[[np.ndarray], np.ndarray], share: float) -> DataFrame:
+    """The nodes (with alone, tokens known so far that other roots lack) that can have a match of another root as far as these tokens tell."""
+    alone = _packs(docs, nodes, values, share).applyInArrow(_alone, "node long, alone long").groupBy("node").agg(F.sum("alone").alias("more"))
+    counted = nodes.join(alone, "node", "left").withColumn("alone", F.col("alone") + F.coalesce("more", F.lit(0))).drop("more")
+    return written(counted.where(f"100 * alone <= {100 - PERCENT} * n"))
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
     """Per row of docs (doc_id, key long, text; others are ignored): doc_id, key and root, the same for all that links reach.
 
     Rows of one key must have one text. Texts without words, null ones among them, are copies of each other.
     Repeated rows and null ids stay; an empty table gives none. A very long text is one set of 8 bytes a word.
-    docs is read twice; the tables between stay in the shared folder until delete_written().
+    docs is read several times and must give the same texts each time; the tables between stay in the shared folder until delete_written().
     """
     shared_folder(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("key").cast("long").alias("key"), F.col("text").cast("string").alias("text"))
-    marks = jaccard.marked(docs, WORDS, PERCENT, fingerprint=True)
-    roots = components(jaccard.links(marks, docs, WORDS, PERCENT, by_fingerprint)).select(F.col("u").alias("node"), F.col("v").alias("root"))
-    rooted = jaccard.rooted_sets(marks, roots)
-    return marks.select("doc_id", "key", "high", "low").join(rooted.select("high", "low", "root"), ["high", "low"]).select("doc_id", "key", "root")
+    marks = written(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "key", "text", F.xxhash64("text").alias("hash")).mapInArrow(_marked, MARKS))
+    firsts = marks.where("n > 0").groupBy("high", "low").agg(F.min(F.struct("row", "hash", "n", "fp", "least", "second", "odd")).alias("r"), F.count("*").alias("times"))
+    nodes = written(firsts.select("high", "low", "times", F.col("r.row").alias("node"), *(f"r.{c}" for c in ("hash", "n", "fp", "least", "second", "odd"))))
+
+    def rooted(stars: DataFrame) -> DataFrame:
+        roots = stars.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        return written(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+
+    found = _grouped(docs, nodes.withColumn("root", F.col("node")), nodes.select("node", F.col("least").alias("group")))
+    alike = components(by_fingerprint(nodes.select("node", "fp"))).select(F.col("u").alias("node"), F.col("v").alias("group"))
+    alike = alike.unionByName(alike.select(F.col("group").alias("node"), "group").distinct()).select("node", F.xxhash64("group", F.lit(1)).alias("group"))
+    again = _grouped(docs, rooted(components(found)), nodes.select("node", F.xxhash64("second", F.lit(2)).alias("group")).unionByName(alike))
+    found = written(found.unionByName(again))
+    stars = components(found)
+    left = _open_nodes(docs, rooted(stars).withColumn("alone", F.lit(0).cast("long")), _some, 1 / SHARE)
+    left = _open_nodes(docs, left, _others, 1 - 1 / SHARE)
+    shared = _packs(docs, left, lambda own: jaccard.signatures(own, PERCENT), 0.5).applyInArrow(_of_several, "sign long, node long")
+    shared = written(shared.join(left.select("node", "n"), "node"))
+    known = written(left.join(shared.select("node").distinct(), "node", "left_semi"))
+    chunks = known.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / jaccard.MEMBERS, F.sum(F.col("n").cast("long")) / jaccard.TOKENS)).alias("chunks"))
+    known = written(known.join(chunks, "root").withColumn("group", F.xxhash64("root", F.pmod(F.xxhash64("node"), "chunks"))).drop("chunks"))
+    sets = written(_texts(docs, known, "group").select("node", "group", "high", "low", "text").mapInArrow(_sets, "node long, group long, own array<long>"))
+    outside = known.select("node", "group", (F.col("n") - F.col("alone")).alias("held"), "odd")
+    linked = jaccard.between(shared, outside, sets, found, stars, PERCENT)
+    roots = components(linked).select(F.col("u").alias("node"), F.col("v").alias("root"))
+    rooted_sets = jaccard.rooted_sets(marks, roots)
+    return marks.select("doc_id", "key", "high", "low").join(rooted_sets.select("high", "low", "root"), ["high", "low"]).select("doc_id", "key", "root")

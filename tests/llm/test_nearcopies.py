@@ -1,13 +1,15 @@
 """Near copies against brute force over all pairs."""
 
 import random
+from pathlib import Path
+from urllib.parse import urlparse
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
-from gridwell.llm import jaccard, nearcopies
+from gridwell.llm import common, jaccard, nearcopies
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -105,3 +107,14 @@ def test_a_line_that_many_share_makes_no_candidates(spark, monkeypatch):
         docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("key", F.xxhash64("text"))
         assert nearcopies.near_copies(docs).select("root").distinct().count() == n
     assert max(asked) <= 3
+
+
+def test_tokens_and_signatures_are_not_written_with_the_nodes(spark):
+    """Texts of a thousand words have some 500 signatures each; no table that is left behind holds them."""
+    before = len(common.WRITTEN)
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(1000)) for _ in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("key", F.xxhash64("text"))
+    assert nearcopies.near_copies(docs).select("root").distinct().count() == len(texts)
+    sizes = [sum(f.stat().st_size for f in Path(urlparse(folder).path).rglob("*.parquet")) for folder in common.WRITTEN[before:]]
+    assert 0 < max(sizes) < 1500 * len(texts)
