@@ -147,7 +147,7 @@ def written(table: DataFrame) -> DataFrame:
     folder = f"{shared_folder(table.sparkSession)}/table-{uuid.uuid4().hex}"
     WRITTEN.append(folder)
     table.write.parquet(folder)
-    return table.sparkSession.read.parquet(folder)
+    return table.sparkSession.read.schema(table.schema).parquet(folder)  # without a job that reads the schema
 
 
 def delete(spark: SparkSession, folder: str) -> None:

@@ -21,6 +21,8 @@ from .common import SPACE, Powers, crc_mod, joined, kept, labelled_sample, other
 #: Labelled documents of each class that the field is trained on, at most.
 LEARNED_DOCS = 800
 STEPS, RIDGE = 250, 1e-3
+#: Bytes of training texts whose lines are found at once, for the driver's memory: about 50 bytes a byte.
+LEARN_BYTES = 1 << 18
 
 #: Kinds of bytes whose shares are features of a line.
 KINDS = [
@@ -91,6 +93,14 @@ def lines_of(texts: pa.Array) -> Lines:
     return Lines(np.concatenate([own, before, after], axis=1), size, starts)
 
 
+def lines_in_steps(texts: pa.Array) -> Lines:
+    """The same as lines_of, with no more memory than LEARN_BYTES or one text take, besides the lines."""
+    found = [lines_of(part.column("text")) for part in slices(iter([pa.RecordBatch.from_arrays([texts], names=["text"])]), step=LEARN_BYTES)]
+    before = np.cumsum([0, *(p.starts[-1] for p in found)])
+    starts = np.concatenate([*(p.starts[:-1] + n for p, n in zip(found, before, strict=False)), before[-1:]])
+    return Lines(np.concatenate([p.features for p in found]), np.concatenate([p.length for p in found]), starts)
+
+
 def _by_place(starts: np.ndarray) -> Iterator[np.ndarray]:
     """For each place of a line in its document: the lines at that place, longer documents first."""
     n = np.diff(starts)
@@ -145,7 +155,7 @@ def train(rows: list[tuple[str, int]], good_share: float, steps: int = STEPS, ri
     prior = min(max(good_share, 1e-3), 1 - 1e-3)
     if not len(rows) or labels.min() == labels.max():
         return blank._replace(curve=(0.0, float(np.log(prior / (1 - prior)))))
-    lines = lines_of(pa.array([t for t, _ in rows], pa.string()))
+    lines = lines_in_steps(pa.array([t for t, _ in rows], pa.string()))
     counts = np.diff(lines.starts)
     truth = np.repeat(labels, counts)
     mean, scale = lines.features.mean(axis=0), lines.features.std(axis=0) + 1e-3
