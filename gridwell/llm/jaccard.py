@@ -254,11 +254,16 @@ def _open(queries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return asked.unionByName(held).repartition("group", "salt").sortWithinPartitions("group", "salt", "kind", "node").mapInArrow(_opened(percent), LINKS)
 
 
-def _near(other: str, percent: int) -> str:
-    """Whether a node (n tokens, held of them in several groups, a sketch) can be similar to another of another group, by columns with this prefix."""
+def _near(other: str, percent: int, bits: int = BITS, apart: bool = False) -> str:
+    """Whether a node (n tokens, held of them in several groups, a sketch) can be similar to another of another group, by columns with this prefix.
+
+    apart: the sketches are of held tokens alone, so the other tokens of both, which they can't have in common, are counted beside them.
+    """
     sizes = f"100 * {other}n >= {percent} * n AND {percent} * {other}n <= 100 * n AND {100 + percent} * least(held, {other}held) >= {percent} * (n + {other}n)"
-    apart = " + ".join(f"bit_count(odd[{k}] ^ {other}odd[{k}])" for k in range(BITS // 64))
-    return f"{sizes} AND {100 + percent} * ({apart}) <= {100 - percent} * (n + {other}n)"
+    differ = " + ".join(f"bit_count(odd[{k}] ^ {other}odd[{k}])" for k in range(bits // 64))
+    if apart:
+        differ = f"n - held + {other}n - {other}held + {differ}"
+    return f"{sizes} AND {100 + percent} * ({differ}) <= {100 - percent} * (n + {other}n)"
 
 
 def links(marks: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -288,11 +293,11 @@ def links(marks: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFr
     return between(shared, outside, sets, inside, inside, percent)
 
 
-def between(shared: DataFrame, outside: DataFrame, sets: DataFrame, before: DataFrame, stars: DataFrame, percent: int) -> DataFrame:
+def between(shared: DataFrame, outside: DataFrame, sets: DataFrame, before: DataFrame, stars: DataFrame, percent: int, bits: int = BITS, apart: bool = False) -> DataFrame:
     """Pairs (u, v) that connect, with those of before, which are among them, all nodes of different groups that similar sets connect.
 
     shared (sign, node, n) has the signatures of nodes, outside (node, group, held, odd) those that can have a match in another group, sets (node,
-    group, own) their sets. stars: each node that isn't the first of its component as u, that first one as v. All are written tables.
+    group, own) their sets. bits and apart tell the sketches, see _near(). stars: each node that isn't the first of its component as u, that first one as v. All are written tables.
     """
 
     def rooted(roots: DataFrame) -> DataFrame:
@@ -303,13 +308,13 @@ def between(shared: DataFrame, outside: DataFrame, sets: DataFrame, before: Data
         return every.join(met.select("sign", "lead"), "sign")
 
     first = stars.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    led = rooted(first).where("root != lead.root AND group != lead.group").where(_near("lead.", percent)).select("node", F.col("lead.group").alias("group")).distinct()
+    led = rooted(first).where("root != lead.root AND group != lead.group").where(_near("lead.", percent, bits, apart)).select("node", F.col("lead.group").alias("group")).distinct()
     led = written(_open(led, sets, percent))
     joined = written(before.unionByName(led))
     second = components(joined).select(F.col("u").alias("node"), F.col("v").alias("root"))
     left = written(rooted(second).drop("lead"))
     names = {c: f"other_{c}" for c in ("node", "n", "group", "root", "held", "odd")}
-    rest = left.join(left.withColumnsRenamed(names), "sign").where("group < other_group AND root != other_root").where(_near("other_", percent))
+    rest = left.join(left.withColumnsRenamed(names), "sign").where("group < other_group AND root != other_root").where(_near("other_", percent, bits, apart))
     return joined.unionByName(_open(rest.select("node", F.col("other_group").alias("group")).distinct(), sets, percent))
 
 

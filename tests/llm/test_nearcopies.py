@@ -118,3 +118,44 @@ def test_tokens_and_signatures_are_not_written_with_the_nodes(spark):
     assert nearcopies.near_copies(docs).select("root").distinct().count() == len(texts)
     sizes = [sum(f.stat().st_size for f in Path(urlparse(folder).path).rglob("*.parquet")) for folder in common.WRITTEN[before:]]
     assert 0 < max(sizes) < 1500 * len(texts)
+
+
+def test_signatures_left_of_two_similar_sets_have_one_in_common():
+    """Whatever order of all signatures there is, what each set keeps of its own has one in common with each similar set's."""
+    rng = np.random.default_rng(3)
+    for n in [*range(4, 40), 90, 400, 2000]:
+        for _ in range(6):
+            own = np.unique(rng.integers(-(2**63), 2**63 - 1, n))
+            lost = int(rng.integers(0, n // 5 + 1))
+            added = (len(own) - lost) * 5 // 4 - len(own)
+            other = np.unique(np.concatenate([own[lost:], rng.integers(-(2**63), 2**63 - 1, added)]))
+            assert 5 * (len(own) - lost) >= 4 * (len(own) + added)
+            seed = np.uint64(rng.integers(1, 2**63))
+            left = []
+            for tokens in (own, other):
+                signs, spare = nearcopies.signatures(tokens), nearcopies._spare(tokens)
+                signs = signs[np.argsort(common.mix(signs.view(np.uint64) ^ seed))]
+                left.append({s for k in range(nearcopies.KINDS) for s in signs[signs % nearcopies.KINDS == k][spare[k] :].tolist()})
+            assert left[0] & left[1] or lost + added == 0
+
+
+def test_copies_that_are_nearly_similar_enough_make_few_candidates(spark, monkeypatch):
+    """Copies of a text with about a ninth of its lines changed, each to one that others have as well: many pairs are a little below four fifths."""
+    made, closely = [], nearcopies.jaccard.between
+
+    def between(shared, outside, sets, before, stars, percent, *more, **named):
+        entries = shared.join(outside, "node").select("sign", "node", "group", "n", "held", "odd")
+        other = entries.withColumnsRenamed({c: f"other_{c}" for c in ("node", "group", "n", "held", "odd")})
+        made.append(entries.join(other, "sign").where("group < other_group").where(jaccard._near("other_", percent, *more, **named)).count())
+        return closely(shared, outside, sets, before, stars, percent, *more, **named)
+
+    monkeypatch.setattr(jaccard, "between", between)
+    rng = random.Random(11)
+    lines = [[" ".join(f"w{rng.randrange(10**6)}" for _ in range(10)) for _ in range(2)] for _ in range(40)]
+    texts = [" ".join(choices[rng.random() < 0.11] for choices in lines) for _ in range(150)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("key", F.xxhash64("text"))
+    found = {}
+    for r in nearcopies.near_copies(docs).collect():
+        found.setdefault(r.root, set()).add(r.doc_id)
+    assert {frozenset(g) for g in found.values()} == groups(texts)
+    assert 0 < max(made) < 35_000  # 70,341 with all signatures and sketches of whole sets
